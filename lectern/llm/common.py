@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,42 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def bloom_positions(key: Column, bits: int, seed: int, hashes: int = 5) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed * 64 + j), key), F.lit(bits)) for j in range(hashes)]
+
+
+def bloom_words(keys: DataFrame, words: int, seed: int = 0) -> list[int]:
+    """A Bloom filter of a one-column frame in so many 64-bit words; no more than these reach the driver."""
+    at = keys.toDF("key").select(F.explode(F.array(*bloom_positions(F.col("key"), 64 * words, seed))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    found = {r["word"]: r["bits"] for r in at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()}
+    return [found.get(i, 0) for i in range(words)]
+
+
+def bloom_holds(key: Column, words: list[int], seed: int = 0) -> Column:
+    bits, every = constant_longs(words), F.lit(True)
+    for at in bloom_positions(key, 64 * len(words), seed):
+        every = every & (F.getbit(F.get(bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
+    return every
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like materialize(), as a Parquet table in the shared folder: for wide or many rows."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Within, Arrow batches hold few rows, so that a batch of long texts stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

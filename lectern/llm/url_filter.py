@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import constant_longs, free_name, materialize
+from lectern.llm.common import bloom_holds, bloom_words, free_name, materialize
 
 # Fixed values of the contract: rules as (host, path, verdict).
 RULES = [
@@ -26,7 +26,6 @@ RULES = [
 LISTED_LABELS = ["spam-farm", "cheap-pills", "casino-win"]
 
 BITS_PER_KEY = 12
-HASHES = 5
 #: Largest sum of the levels' bytes that is put into an expression.
 MAX_BYTES = 4 << 20
 
@@ -61,25 +60,14 @@ class Cascade:
     def __init__(self, levels: list[list[int]]):
         self.levels = levels
 
-    def _holds(self, level: int, key: Column) -> Column:
-        words = self.levels[level]
-        bits, every = constant_longs(words), F.lit(True)
-        for at in _positions(level, key, 64 * len(words)):
-            every = every & (F.getbit(F.get(bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
-        return every
-
     def contains(self, key: Column) -> Column:
         """Whether the key is listed. Null keys are not."""
         answer = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
-            answer = F.when(~self._holds(level, key), F.lit(level % 2 == 1)).otherwise(answer)
+            answer = F.when(~bloom_holds(key, self.levels[level], level), F.lit(level % 2 == 1)).otherwise(answer)
         return F.coalesce(key.isNotNull() & answer, F.lit(False))
 
 
-def _positions(level: int, key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(level * 64 + j), key), F.lit(bits)) for j in range(HASHES)]
-
-
 def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bytes: int = MAX_BYTES) -> Cascade | None:
     """The cascade for one-column frames of listed keys and of all keys of the corpus; None if it would be too large.
 
@@ -94,13 +82,8 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = BI
         room -= 8 * words
         if room < 0:
             return None
-        level, bits = len(levels), 64 * words
-        at = encode.select(F.explode(F.array(*_positions(level, F.col("key"), bits))).alias("at"))
-        set_bits = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
-        found = {r["word"]: r["bits"] for r in set_bits.collect()}
-        levels.append([found.get(i, 0) for i in range(words)])
-        probe = Cascade([[]] * level + [levels[level]])
-        encode, test = materialize(test.where(probe._holds(level, F.col("key")))), encode
+        levels.append(bloom_words(encode.select("key"), words, seed=len(levels)))
+        encode, test = materialize(test.where(bloom_holds(F.col("key"), levels[-1], len(levels) - 1))), encode
     return Cascade(levels)
 
 
