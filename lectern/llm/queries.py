@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, url_filter, warc_revisit
+from lectern.llm import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, piece_sampling, quality_rules, secret_scan, url_filter, warc_revisit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.listed_hosts(pages))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.component_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.pieces_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_secret_scan, op3_line_dedup, op4_warc_revisit, op5_quality_rules, op6_url_filter, op9_mixing, op10_chat_format]
+    own = [op1_exact_dedup, op2_secret_scan, op3_line_dedup, op4_warc_revisit, op5_quality_rules, op6_url_filter, op7_jaccard_join, op8_piece_sampling, op9_mixing, op10_chat_format]
     return {f.__name__: f for f in own}
 
 
