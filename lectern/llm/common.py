@@ -66,17 +66,17 @@ def bloom_positions(key: Column, bits: int, seed: int, hashes: int = 5) -> list[
     return [F.pmod(F.xxhash64(F.lit(seed * 64 + j), key), F.lit(bits)) for j in range(hashes)]
 
 
-def bloom_words(keys: DataFrame, words: int, seed: int = 0) -> list[int]:
+def bloom_words(keys: DataFrame, words: int, seed: int = 0, hashes: int = 5) -> list[int]:
     """A Bloom filter of a one-column frame in so many 64-bit words; no more than these reach the driver."""
-    at = keys.toDF("key").select(F.explode(F.array(*bloom_positions(F.col("key"), 64 * words, seed))).alias("at"))
+    at = keys.toDF("key").select(F.explode(F.array(*bloom_positions(F.col("key"), 64 * words, seed, hashes))).alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
     found = {r["word"]: r["bits"] for r in at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()}
     return [found.get(i, 0) for i in range(words)]
 
 
-def bloom_holds(key: Column, words: list[int], seed: int = 0) -> Column:
+def bloom_holds(key: Column, words: list[int], seed: int = 0, hashes: int = 5) -> Column:
     bits, every = constant_longs(words), F.lit(True)
-    for at in bloom_positions(key, 64 * len(words), seed):
+    for at in bloom_positions(key, 64 * len(words), seed, hashes):
         every = every & (F.getbit(F.get(bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
     return every
 

@@ -29,7 +29,9 @@ WORDS = 5
 #: The least similarity, as a fraction of whole numbers: intersection * DEN >= union * NUM.
 NUM, DEN = 75, 100
 SKETCH_BITS = 18
-BLOOM_WORDS = 1 << 15
+PACK = 1 << 12
+#: Largest Bloom filter of wanted ids, in 64-bit words.
+BLOOM_WORDS = 1 << 13
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -37,7 +39,7 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
-    """How many (document, shingle) fall in each bucket, and the number of documents. At most 2 ** 18 + 1 rows come back."""
+    """How many (document, shingle) fall in each bucket, and the number of documents. They come back in 65 packed rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total = 0, np.zeros(1 << SKETCH_BITS, np.int64)
@@ -50,11 +52,22 @@ def _sketch(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
 
-    rows = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    at = rows["bucket"].to_numpy() >= 0
-    total[rows["bucket"].to_numpy()[at]] = rows["n"].to_numpy()[at]
-    return total, int(rows["n"].to_numpy()[~at].sum())
+    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return pd.DataFrame({"at": [-1], "counts": [pdf["n"].to_numpy(np.int64).tobytes()]})
+        out = np.zeros(PACK, np.int64)
+        out[pdf["bucket"].to_numpy(np.int64) % PACK] = pdf["n"].to_numpy()
+        return pd.DataFrame({"at": [key[0] * PACK], "counts": [out.tobytes()]})
+
+    counts = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    n_docs, total = 0, np.zeros(1 << SKETCH_BITS, np.int64)
+    for r in counts.groupBy(F.floor(F.col("bucket") / PACK).alias("key")).applyInPandas(packed, "at long, counts binary").collect():
+        found = np.frombuffer(r["counts"], np.int64)
+        if r["at"] < 0:
+            n_docs = int(found[0])
+        else:
+            total[r["at"] : r["at"] + PACK] = found
+    return total, n_docs
 
 
 def _digest(s: np.ndarray, salt: int) -> int:
@@ -100,6 +113,20 @@ def _similar_enough(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return sizes & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= least)
 
 
+def _plausible(pairs: DataFrame, rows: DataFrame, sids: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many shingles as those of similar sets must.
+
+    Of two prefixes one ends first in the global order; what the sets share up to there lies in both prefixes, and what
+    they share beyond is no more than the rest of that set. So the prefixes share at least the overlap that is needed
+    less the larger of the two rests. A prefix is a quarter of its set: this leaves most pairs out before sets are moved.
+    """
+    own = rows.where(_maybe_in(F.col("rid"), sids)).select("rid", "n", "prefix")
+    left, right = own.toDF("a", "an", "ap"), own.toDF("b", "bn", "bp")
+    both = pairs.join(left, "a").join(right, "b")
+    need = F.ceil(F.lit(NUM) * (F.col("an") + F.col("bn")) / F.lit(NUM + DEN) - 1e-9) - F.greatest(F.col("an") - F.size("ap"), F.col("bn") - F.size("bp"))
+    return both.where(F.size(F.array_intersect("ap", "bp")) >= need).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose whole sets are similar enough."""
 
@@ -115,20 +142,28 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "xs", "ys").mapInPandas(verify, "a long, b long")
 
 
+def _maybe_in(key: Column, keys: DataFrame) -> Column:
+    """True for every key of the one-column frame, false for most others: a Bloom filter of bounded size."""
+    words = min(BLOOM_WORDS, max(64, keys.count() // 6))
+    return bloom_holds(key, bloom_words(keys, words, hashes=3), hashes=3)
+
+
 def _fetched(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(sid, shingles) of the wanted sets (sid, doc_id, d1, d2), read from their texts again.
 
     A Bloom filter of fixed size over the wanted ids leaves most other texts out before they are unpacked.
     """
-    holds = bloom_holds(F.col("doc_id"), bloom_words(wanted.select("doc_id"), BLOOM_WORDS))
+    wanted = wanted.withColumn("key", F.xxhash64("doc_id"))
+    holds = _maybe_in(F.xxhash64("doc_id"), wanted.select("key"))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = shingle_sets(pdf["text"].tolist(), words)
-            yield pd.DataFrame({"d1": [_digest(s, 1) for s in found], "d2": [_digest(s, 2) for s in found], "shingles": [s.view(np.int64) for s in found]})
+            yield pd.DataFrame({"key": pdf["key"], "d1": [_digest(s, 1) for s in found], "d2": [_digest(s, 2) for s in found], "shingles": [s.view(np.int64) for s in found]})
 
-    read = docs.where(holds).select("text").mapInPandas(sets_of, "d1 long, d2 long, shingles array<long>")
-    return stored(wanted.select("sid", "d1", "d2").join(read, ["d1", "d2"]).select("sid", "shingles").dropDuplicates(["sid"]))
+    read = docs.where(holds).select(F.xxhash64("doc_id").alias("key"), "text").mapInPandas(sets_of, "key long, d1 long, d2 long, shingles array<long>")
+    once = read.groupBy("key", "d1", "d2").agg(F.first("shingles").alias("shingles"))
+    return stored(wanted.select("sid", "key", "d1", "d2").join(once, ["key", "d1", "d2"]).select("sid", "shingles"))
 
 
 def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -172,8 +207,8 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         first = stored(one.select(*ordered("sid", "other")).distinct())
         ids = lambda pairs: pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         wanted = sets.select("sid", "doc_id", "d1", "d2")
-        held = _fetched(docs, wanted.join(ids(first), "sid"), words)
-        links = stored(_verified(first, held))
+        likely = stored(_plausible(first, rows, ids(first)))
+        links = stored(_verified(likely, _fetched(docs, wanted.join(ids(likely), "sid"), words)))
         labels = components(links)
 
         # what several components post, outside of the pivot's own, against all else that posts it
@@ -187,8 +222,8 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         inside = labelled(members.select("gid", "sid"), "sid", "comp")
         apart = inside.join(inside.select("gid", F.col("sid").alias("x"), F.col("comp").alias("xc")), "gid").where("sid < x and comp <> xc").select(*ordered("sid", "x"))
         second = stored(cross.unionByName(apart).distinct().join(first, ["a", "b"], "left_anti"))
-        more = _fetched(docs, wanted.join(ids(second), "sid").join(held.select("sid"), "sid", "left_anti"), words)
-        links = stored(links.unionByName(_verified(second, held.unionByName(more))))
+        likely = stored(_plausible(second, rows, ids(second)))
+        links = stored(links.unionByName(_verified(likely, _fetched(docs, wanted.join(ids(likely), "sid"), words))))
     labels = components(links)
 
     known = sets.join(labels, sets["sid"] == labels["id"], "left").select("n", "d1", "d2", "least", F.coalesce("label", "sid").alias("label"))
