@@ -30,7 +30,7 @@ def parse_requests(df: DataFrame, path_col: str = "path") -> DataFrame:
         F.coalesce(name_bad, F.lit(False)) | month.isNull() | (F.size("_r") > 3)
         | ((F.size("_r") >= 2) & ~F.coalesce(day.between(1, most), F.lit(False)))
         | ((F.size("_r") == 3) & ~F.coalesce(part(2).rlike(r"\A[a-z0-9-]+\z"), F.lit(False)))
-        | ((F.col("_kind") == "edition") & F.col("_year").isNotNull())
+        | (F.col("_kind").eqNullSafe("edition") & F.col("_year").isNotNull())
     )
     d = d.withColumn("_bad", F.coalesce(bad, F.lit(True)))
     ok = lambda c: F.when(~F.col("_bad"), c)
