@@ -106,11 +106,20 @@ def _described(docs: DataFrame, sketch: np.ndarray, n_docs: int, words: int) ->
     return stored(found.select(F.monotonically_increasing_id().alias("rid"), "*"))
 
 
+def _sizes_fit(n1: Column, n2: Column) -> Column:
+    return F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM
+
+
 def _similar_enough(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     """Whether sets of these sizes that share these positions, and none before, can reach the similarity."""
     least = F.ceil(F.lit(NUM) * (n1 + n2) / F.lit(NUM + DEN) - 1e-9)
-    sizes = (F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM)
-    return sizes & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= least)
+    return _sizes_fit(n1, n2) & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= least)
+
+
+def _shared_prefix(n1: Column, n2: Column) -> Column:
+    """How many shingles the prefixes of similar sets of these sizes share at least."""
+    rest = F.ceil(F.lit(NUM) * F.greatest(n1, n2) / F.lit(DEN) - 1e-9) - 1
+    return F.ceil(F.lit(NUM) * (n1 + n2) / F.lit(NUM + DEN) - 1e-9) - rest
 
 
 def _plausible(pairs: DataFrame, rows: DataFrame, sids: DataFrame) -> DataFrame:
@@ -123,8 +132,7 @@ def _plausible(pairs: DataFrame, rows: DataFrame, sids: DataFrame) -> DataFrame:
     own = rows.where(_maybe_in(F.col("rid"), sids)).select("rid", "n", "prefix")
     left, right = own.toDF("a", "an", "ap"), own.toDF("b", "bn", "bp")
     both = pairs.join(left, "a").join(right, "b")
-    need = F.ceil(F.lit(NUM) * (F.col("an") + F.col("bn")) / F.lit(NUM + DEN) - 1e-9) - F.greatest(F.col("an") - F.size("ap"), F.col("bn") - F.size("bp"))
-    return both.where(F.size(F.array_intersect("ap", "bp")) >= need).select("a", "b")
+    return both.where(F.size(F.array_intersect("ap", "bp")) >= _shared_prefix(F.col("an"), F.col("bn"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,8 +207,8 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
         # every group against the pivot of each shingle, and every member against its group's leader
         pivots = stored(posted.groupBy("token").agg(
-            F.max(F.struct("common", (-F.col("gid")).alias("by"), "gid", "n", "pos")).alias("p"), F.min("gid").alias("lo"), F.max("gid").alias("hi")
-        ).where("lo <> hi").select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")))
+            F.max(F.struct("common", (-F.col("gid")).alias("by"), "gid", "n", "pos")).alias("p"), F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.count("*").alias("df")
+        ).where("lo <> hi").select("token", "df", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")))
         star = posted.join(pivots, "token").where((F.col("gid") != F.col("pivot")) & _similar_enough(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"))).select("gid", "pivot").distinct()
         one = star.join(members.select("gid", "sid"), "gid").select("sid", F.col("pivot").alias("other")).unionByName(members.where("sid <> gid").select("sid", F.col("gid").alias("other")))
         ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -213,11 +221,17 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
         # what several components post, outside of the pivot's own, against all else that posts it
         labelled = lambda df, key, out: df.join(labels.select(F.col("id").alias(key), F.col("label").alias(out)), key, "left").withColumn(out, F.coalesce(out, key))
-        each = labelled(posted.join(members.select("gid", "sid"), "gid").select("token", "gid", "sid", "n", "pos"), "sid", "comp")
-        at_pivot = labelled(pivots.select("token", F.col("pivot").alias("gid")), "gid", "pcomp").select("token", "pcomp")
+        each = labelled(posted.join(members.select("gid", "sid"), "gid").select("token", "gid", "sid", "n"), "sid", "comp")
+        at_pivot = labelled(pivots.select("token", "df", F.col("pivot").alias("gid")), "gid", "pcomp").select("token", "df", "pcomp")
         each = stored(each.join(at_pivot, "token"))
-        outside = each.where("comp <> pcomp").select("token", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("comp").alias("xc"), F.col("gid").alias("xg"))
-        cross = outside.join(each, "token").where((F.col("xc") != F.col("comp")) & ((F.col("xg") == F.col("gid")) | _similar_enough(F.col("xn"), F.col("xp"), F.col("n"), F.col("pos")))).select(*ordered("x", "sid")).distinct()
+        # Of a prefix only the `room` shingles that others post too can be shared. If a pair must share `need` of them, it
+        # shares one of the first room - need + 1 in any order: in that of rising frequency, common ones are left out.
+        own = Window.partitionBy("sid")
+        each = each.withColumn("room", F.count("*").over(own)).withColumn("turn", F.row_number().over(own.orderBy("df", "token")))
+        outside = each.where("comp <> pcomp").select("token", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("gid").alias("xg"), F.col("room").alias("xroom"), F.col("turn").alias("xturn"))
+        need = _shared_prefix(F.col("xn"), F.col("n"))
+        near = _sizes_fit(F.col("xn"), F.col("n")) & (F.col("room") >= need) & (F.col("xturn") <= F.col("xroom") - need + 1)
+        cross = outside.join(each, "token").where((F.col("xc") != F.col("comp")) & ((F.col("xg") == F.col("gid")) | near)).select(*ordered("x", "sid")).distinct()
         # members of one group in different components
         inside = labelled(members.select("gid", "sid"), "sid", "comp")
         apart = inside.join(inside.select("gid", F.col("sid").alias("x"), F.col("comp").alias("xc")), "gid").where("sid < x and comp <> xc").select(*ordered("sid", "x"))
