@@ -32,8 +32,10 @@ MARK = "▁".encode()
 POWER, SHIFT = 1.2, 10
 UNIT = re.compile(" ?[^ \n]+|[ \n]")
 #: A worker forgets its words' lattices beyond so many states.
-MOST_STATES = 4_000_000
-CHUNK = 1 << 20
+MOST_STATES = 1_000_000
+CHUNK = 1 << 18
+#: Rows that are encoded and handed on together.
+PART = 256
 #: Words of at most so many characters are taken up side by side.
 SHORT = 64
 SCALE = 2.0
@@ -323,6 +325,13 @@ def _lattices(vocabulary: Pieces) -> Lattices:
     return _LATTICES[key]
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All rows of the batches, PART at a time, so that few texts and their pieces are held at once."""
+    for pdf in batches:
+        for at in range(0, len(pdf), PART):
+            yield pdf.iloc[at : at + PART].reset_index(drop=True)
+
+
 def encode_texts(texts: list[str], keys: np.ndarray, lattices: Lattices) -> list[np.ndarray]:
     """The sampled piece ids of each text. keys: 64-bit row keys."""
     out: list[np.ndarray] = []
@@ -369,7 +378,7 @@ def sample_pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattices = _lattices(vocabulary.value)
-        for pdf in batches:
+        for pdf in _parts(batches):
             ids = encode_texts(pdf[text].tolist(), pdf[key].to_numpy(), lattices)
             yield pdf.drop(columns=[key, text]).assign(**{out: ids})
 
@@ -382,7 +391,7 @@ def decode_pieces(encoded: DataFrame, pieces_col: str = "pieces", out: str = "te
     kept = encoded.drop(out) if out != pieces_col else encoded
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _parts(batches):
             yield pdf.assign(**{out: [None if x is None else decode_ids(np.asarray(x), vocabulary.value) for x in pdf[pieces_col]]})
 
     return kept.mapInPandas(decode, kept.withColumn(out, F.lit(None).cast("string")).schema)
@@ -398,7 +407,7 @@ def pieces_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattices = _lattices(vocabulary.value)
-        for pdf in batches:
+        for pdf in _parts(batches):
             texts = pdf["text"].tolist()
             rows = []
             for text, ids in zip(texts, encode_texts(texts, pdf["key"].to_numpy(), lattices), strict=True):
