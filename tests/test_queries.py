@@ -1,8 +1,10 @@
 import pytest
 
-from lectern.plans.queries import ORACLES, QUERIES
+from lectern.plans import curation_queries, queries
 from tests.oracle import holds
 
+QUERIES, ORACLES = queries.QUERIES | curation_queries.QUERIES, queries.ORACLES | curation_queries.ORACLES
+
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, name):
