@@ -31,8 +31,9 @@ def op4_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return quality_rules.judge(_table(spark, sf_dir, "documents"), trusted)
+    labels = _table(spark, sf_dir, "labels")
+    trusted, junk = (labels.where(x).select("doc_id") for x in ("quality = 1 and toxic = 0", "quality = 0"))
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), trusted, junk=junk)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """Each operator on a small table with nulls, empty and long texts, ties, repeated rows and clashing column names, against brute force."""
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter
+from itertools import accumulate
 
 import pytest
 
@@ -78,6 +82,42 @@ def test_quality(spark, docs, none):
     assert quality_rules.judge(none, none.select("doc_id")).count() == 0
 
 
+def test_quality_threshold_is_fitted_on_labels(spark):
+    """Model, threshold and verdict against brute force: clean words, and the same words with symbols glued to some of them."""
+    clean = lambda i, n: [f"word{x % 23}" for x in accumulate(random.Random(i).choices(range(1, 6), k=n))]
+    glued = lambda i, n, k: [w + "%%%" if (i + j) % k == 0 else w for j, w in enumerate(clean(i, n))]
+    texts = {i: " ".join(clean(i, 120) if i % 4 else glued(i, 120, 3 + 7 * (i % 12))) for i in range(240)} | {500: "too short", 501: None}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    good, bad = ([i for i in range(200) if (i % 4 > 0) == kind and i % 3] for kind in (True, False))
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    grams = {}
+    h = spark.createDataFrame([(w,) for w in {w for t in texts.values() for w in (t or "").split()}], "w string").selectExpr("w", "xxhash64(w) h").collect()
+    word = {r["w"]: r["h"] for r in h}
+    two = {(word[a], word[b]) for t in texts.values() for a, b in zip((t or "").split(), (t or "").split()[1:])}
+    pair = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(sorted(two), "a long, b long").selectExpr("a", "b", "xxhash64(a, b) h").collect()}
+    for i, t in texts.items():
+        x = [word[w] for w in (t or "").split()]
+        grams[i] = [g % 8192 for g in x + [pair[p] for p in zip(x, x[1:])]]
+    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for i in good for g in grams[i])
+
+    def score(i, own):
+        t, less = target, Counter(grams[i]) if own else Counter()
+        n = sum(t.values()) - sum(less.values())
+        return sum(math.log((t[g] - less[g] + 0.5) / (n + 4096)) - math.log((raw[g] + 0.5) / (sum(raw.values()) + 4096)) for g in grams[i]) / len(grams[i])
+
+    held = {i: score(i, i in good) for i in good + bad}
+    wrong = lambda th: sum((held[i] >= th) == (i in bad) for i in held)
+    model, least = quality_rules.fit(docs, ids(good), ids(bad + [500]))
+    assert wrong(least) == min(map(wrong, [*held.values(), max(held.values()) + 1]))
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, ids(good), junk=ids(bad + [500])).collect()}
+    assert all(abs(got[i]["score"] - score(i, False)) < 1e-9 and got[i]["kept"] == (score(i, False) >= least) for i in range(240))
+    junk = [i for i in range(200, 240) if i % 4 == 0]  # not labelled
+    assert sum(score(i, False) >= quality_rules.THRESHOLD for i in junk) > sum(got[i]["kept"] for i in junk)
+    assert {r["doc_id"] for r in quality_rules.keep_good(docs, ids(good), junk=ids(bad)).collect()} == {i for i in got if got[i]["kept"]}
+    for a, b in ((good, []), (good, [500]), ([], bad)):
+        assert quality_rules.fit(docs, ids(a), ids(b))[1] == quality_rules.THRESHOLD
+
+
 def test_urls(spark):
     urls = ["https://A.example.com/en/71?x", "x://com/en/", "no scheme", None, "http://spam-farm.example.org/fr/1", "http://ok.example.org/fr#f", "http://example.net/de/81"] + [f"http://h{i}.org/" for i in range(500)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
