@@ -78,7 +78,7 @@ def _digest(s: np.ndarray, salt: int) -> int:
 
 
 def _described(docs: DataFrame, sketch: np.ndarray, n_docs: int, words: int) -> DataFrame:
-    """rid, doc_id, n, d1, d2 (the set's digest), pd (the prefix's), common, hot (position of the first hot shingle), prefix."""
+    """rid, doc_id, th (the text's hash), n, d1, d2 (the set's digest), pd (the prefix's), common, hot (position of the first hot shingle), prefix."""
     level = np.floor(8 * np.log2(sketch + 1)).astype(np.uint8)
     mean = float(sketch.mean())
     frequent = sketch >= 1.3 * mean + 1
@@ -99,10 +99,11 @@ def _described(docs: DataFrame, sketch: np.ndarray, n_docs: int, words: int) ->
                 rows.append((n, _digest(s, 1), _digest(s, 2), _digest(prefix, 3), round(common, 3), light, prefix.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "d1", "d2", "pd", "common", "hot", "prefix"])
             out.insert(0, "doc_id", pdf["doc_id"].values)
+            out.insert(1, "th", pdf["th"].values)
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInPandas(describe, f"doc_id {kind}, n int, d1 long, d2 long, pd long, common double, hot int, prefix array<long>")
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(describe, f"doc_id {kind}, th long, n int, d1 long, d2 long, pd long, common double, hot int, prefix array<long>")
     return stored(found.select(F.monotonically_increasing_id().alias("rid"), "*"))
 
 
@@ -175,7 +176,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """One row per row of `docs`: rid, doc_id, n_shingles, component_id, kept.
+    """One row per row of `docs`: rid, doc_id, th (xxhash64 of the text), n_shingles, component_id, kept.
 
     A text without words (or null) has an empty set and is linked with nothing; one with fewer words than a shingle has
     the one shingle of all its words. component_id is the smallest id of the component, null ids left out; kept marks
@@ -242,10 +243,10 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     known = sets.join(labels, sets["sid"] == labels["id"], "left").select("n", "d1", "d2", "least", F.coalesce("label", "sid").alias("label"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = rows.select("rid", "doc_id", "n", "d1", "d2").join(known.select("n", "d1", "d2", "label"), ["n", "d1", "d2"], "left").join(least, "label", "left")
-    found = found.select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.col("component_id"), F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"), "label")
+    found = rows.select("rid", "doc_id", "th", "n", "d1", "d2").join(known.select("n", "d1", "d2", "label"), ["n", "d1", "d2"], "left").join(least, "label", "left")
+    found = found.select("rid", "doc_id", "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.col("component_id"), F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"), "label")
     keeper = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull()).alias("other"), F.col("rid").alias("rid"))).alias("k")).select(F.col("label").alias("l"), F.col("k.rid").alias("keeper"))
-    return found.join(keeper, found["label"] == keeper["l"], "left").select("rid", "doc_id", "n_shingles", "component_id", F.coalesce(F.col("rid") == F.col("keeper"), F.lit(True)).alias("kept"))
+    return found.join(keeper, found["label"] == keeper["l"], "left").select("rid", "doc_id", "th", "n_shingles", "component_id", F.coalesce(F.col("rid") == F.col("keeper"), F.lit(True)).alias("kept"))
 
 
 def component_report(docs: DataFrame, **options) -> DataFrame:
@@ -256,16 +257,18 @@ def component_report(docs: DataFrame, **options) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` that stay, one of each component, with all their columns.
 
-    Rows of one id and one text are told apart by nothing; where several of them are there, one stays.
+    A row is told by its id and its text's hash, so that of rows without an id, or of one id, each text stays or goes by
+    itself. Rows of one id and one text are told apart by nothing; where several of them are there, one stays.
     """
     mark, many = free_name(docs, "_th"), free_name(docs, "_many")
     text = text_of(docs[text_col])
     found = link_components(docs, text_col, id_col, **options)
-    keep = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"), F.max(F.when(F.col("n_shingles") > 0, 1)).alias("worded")).where("kept"))
-    stay = keep.select(F.col("doc_id").alias("_id"), ((F.col("rows") > 1) & F.col("worded").isNotNull()).alias(many))
-    joined = docs.withColumn(mark, F.xxhash64(text)).join(stay, docs[id_col].eqNullSafe(F.col("_id")))
+    stay = stored(found.groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"), F.max(F.when(F.col("n_shingles") > 0, 1)).alias("worded")).where("kept").select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_hash"), ((F.col("rows") > 1) & F.col("worded").isNotNull()).alias(many)
+    ))
+    marked = docs.withColumn(mark, F.xxhash64(text))
+    joined = marked.join(stay, marked[id_col].eqNullSafe(stay["_id"]) & (marked[mark] == stay["_hash"]))
     if stay.where(F.col(many)).isEmpty():
-        return joined.select(*[joined[c] for c in docs.columns])
-    return joined.where(~F.col(many)).drop("_id").unionByName(joined.where(many).drop("_id").dropDuplicates([id_col, mark])).select(*docs.columns)
-
-
+        return joined.select(*[marked[c] for c in docs.columns])
+    of = lambda rows: rows.select(*[marked[c] for c in docs.columns], marked[mark])
+    return of(joined.where(~F.col(many))).unionByName(of(joined.where(many)).dropDuplicates([id_col, mark])).select(*docs.columns)

@@ -145,6 +145,15 @@ def test_components(spark, docs, none):
     assert {r["doc_id"]: r["component_id"] for r in got} == label
 
 
+def test_near_copies_of_repeated_ids_go(spark):
+    """Rows without an id, and of one id, of which some are near copies: what is kept is told by id and text."""
+    text = lambda k, end="": " ".join(f"k{k}w{i}" for i in range(60)) + end
+    rows = [(None, text(0)), (None, text(0, " end")), (None, text(1)), (None, text(1)), (None, ""), (None, " "), (7, text(2)), (7, text(2, " more")), (7, text(3)), (8, text(3, " more")), (9, text(4))]
+    kept = jaccard_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = Counter((r["text"] or "").split(" ")[0] for r in kept)
+    assert left == {"k0w0": 1, "k1w0": 1, "": 2, "k2w0": 1, "k3w0": 1, "k4w0": 1}
+
+
 def test_mixing(spark, none):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 90)), None if i % 4 == 3 else "abc"[i % 4]) for i in range(400)] + [(900, None, "a"), (901, "x y", "a"), (901, "x y", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
