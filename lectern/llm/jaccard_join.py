@@ -82,7 +82,8 @@ def _described(docs: DataFrame, sketch: np.ndarray, n_docs: int, words: int) ->
     level = np.floor(8 * np.log2(sketch + 1)).astype(np.uint8)
     mean = float(sketch.mean())
     frequent = sketch >= 1.3 * mean + 1
-    heavy = sketch >= mean + max(1000, 0.002 * n_docs)
+    # by level, so that the class of a shingle follows from the order: heavy shingles come last, in every set the same ones
+    heavy = level >= np.floor(8 * np.log2(mean + max(1000, 0.002 * n_docs) + 1))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,7 +94,6 @@ def _described(docs: DataFrame, sketch: np.ndarray, n_docs: int, words: int) ->
                 at = _bucket(s)
                 order = np.lexsort((s, level[at]))[:length]
                 prefix = s[order]
-                # the order of levels puts heavy shingles last
                 light = int((~heavy[at[order]]).sum())
                 common = float(frequent[at].mean()) if n else 0.0
                 rows.append((n, _digest(s, 1), _digest(s, 2), _digest(prefix, 3), round(common, 3), light, prefix.view(np.int64)))

@@ -7,9 +7,11 @@ import re
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import pytest
 
 from lectern.llm import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, piece_sampling, quality_rules, queries, secret_scan, url_filter, warc_revisit
+from lectern.llm.shingles import shingle_sets
 from tests.oracle import holds
 
 WS = r"[\x20\x09-\x0D]"
@@ -154,6 +156,20 @@ def test_near_copies_of_repeated_ids_go(spark):
     assert left == {"k0w0": 1, "k1w0": 1, "": 2, "k2w0": 1, "k3w0": 1, "k4w0": 1}
 
 
+def test_class_of_a_shingle_follows_its_order(spark, monkeypatch):
+    """Heavy and light buckets of one level: A's prefix is (heavy, light), B's is (light), and A and B are similar."""
+    for k in range(100):
+        a = [f"x{k}y{i}" for i in range(8)]
+        s = [int(shingle_sets([" ".join(a[i : i + 5])], 5)[0][0]) for i in range(4)]
+        if s[0] < s[1]:
+            break
+    sketch = np.zeros(1 << jaccard_join.SKETCH_BITS, np.int64)
+    sketch[[x >> (64 - jaccard_join.SKETCH_BITS) for x in s]] = [1015, 950, 5000, 5000]
+    monkeypatch.setattr(jaccard_join, "_sketch", lambda docs, words: (sketch, 2))
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[1:]))], "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard_join.component_report(docs).collect()] == [1, 1]
+
+
 def test_mixing(spark, none):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 90)), None if i % 4 == 3 else "abc"[i % 4]) for i in range(400)] + [(900, None, "a"), (901, "x y", "a"), (901, "x y", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
