@@ -19,7 +19,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secrets_report(_table(spark, sf_dir, "documents"))
+    return secret_scan.secrets_report(_table(spark, sf_dir, "documents"), known=secret_scan.known_samples(spark))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

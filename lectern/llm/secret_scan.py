@@ -8,8 +8,9 @@ threshold. Everything is DataFrame expressions; the texts are read once and neve
 from __future__ import annotations
 
 import math
+import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import constant_doubles, let, materialize, text_of
@@ -27,6 +28,10 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{7,}"
 SPANS = "array<struct<start:int,kind:int,stop:int,match:string>>"
 SIZE = 128  # characters of the models: ASCII
 
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: The usual alphabets of random strings.
+ALPHABETS = {"base32": _UPPER + "234567", "upper": _UPPER + _DIGITS, "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/"}
+
 
 def _matches(text: Column, pattern: str, order: int) -> Column:
     """All leftmost non-overlapping matches as structs (start, kind order, stop, match).
@@ -85,17 +90,30 @@ def find_candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     )
 
 
-def train(samples: DataFrame, limit: int = 20_000) -> list[float]:
+def random_strings(seed: int, each: int = 500) -> dict[str, list[str]]:
+    """For each of ALPHABETS `each` strings of 20 to 60 characters, each character drawn evenly; one seed gives the same ones."""
+    draw = random.Random(seed)
+    return {name: ["".join(draw.choices(chars, k=draw.randint(20, 60))) for _ in range(each)] for name, chars in ALPHABETS.items()}
+
+
+def known_samples(spark: SparkSession, seed: int = 1) -> DataFrame:
+    """(sample, random): the strings of random_strings() as random ones, a set of fixed size to train on besides the documents' own."""
+    return spark.createDataFrame([(x, True) for found in random_strings(seed).values() for x in found], "sample string, random boolean")
+
+
+def train(samples: DataFrame, limit: int = 20_000, known: DataFrame | None = None) -> list[float]:
     """The log-likelihood ratio of every pair of characters, random against ordinary: SIZE * SIZE numbers.
 
     samples: (sample string, random boolean). Of each label at most `limit` distinct samples are used, those of least
-    hash; nulls, and characters that aren't ASCII, are left out. With no sample of a label all ratios are 0, so that the
-    models judge nothing. What reaches the driver is a count for each pair of ASCII characters and label, at most 32768.
+    hash; nulls, and characters that aren't ASCII, are left out. known: samples of a fixed set, all of which are used
+    besides, so that many others can't crowd them out. With no sample of a label all ratios are 0, so that the models
+    judge nothing. What reaches the driver is a count for each pair of ASCII characters and label, at most 32768.
     """
     by_label = [samples.where(F.col("random") == label).where("sample is not null").select("sample", "random").distinct().orderBy(F.xxhash64("sample"), "sample").limit(limit) for label in (True, False)]
     at = lambda i: F.ascii(F.substring("sample", i, F.lit(1)))
     pairs = F.transform(F.sequence(F.lit(1), F.char_length("sample") - 1), lambda i: at(i) * SIZE + at(i + 1))
-    used = by_label[0].unionByName(by_label[1]).where(F.char_length("sample") >= 2).where(~F.col("sample").rlike(r"[^\x00-\x7F]"))
+    both = by_label[0].unionByName(by_label[1])
+    used = (both if known is None else both.unionByName(known.select("sample", "random"))).where(F.char_length("sample") >= 2).where(~F.col("sample").rlike(r"[^\x00-\x7F]"))
     counts = {True: {}, False: {}}
     for r in used.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n")).collect():
         counts[r["random"]][r["pair"]] = r["n"]
@@ -121,17 +139,23 @@ def ratio(token: Column, model: list[float]) -> Column:
     return let(F.transform(F.split(token, ""), lambda c: F.ascii(c)), total)
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", samples: DataFrame | None = None, limit: int = 20_000, threshold: float = 0.5) -> DataFrame:
+def learned(found: DataFrame, samples: DataFrame | None = None, limit: int = 20_000, known: DataFrame | None = None) -> list[float]:
+    """train() on `samples`, or without them on those that find_candidates() has found, and on the known ones besides."""
+    if samples is None:
+        samples = found.select(F.explode("random").alias("sample"), F.lit(True).alias("random")).unionByName(found.select(F.col("ordinary").alias("sample"), F.lit(False).alias("random")))
+    return train(samples, limit, known)
+
+
+def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", samples: DataFrame | None = None, limit: int = 20_000, threshold: float = 0.5, known: DataFrame | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, spans (array of start, kind, stop), sorted by start, then kind.
 
     samples: (sample, random) to train from; without it the documents' own, labelled by the patterns: what the base
-    spans hold against identifiers outside of any span. A null or empty text has no spans; an empty table
-    gives no rows; repeated rows give repeated results. Other columns are not read.
+    spans hold against identifiers outside of any span. known: more of them, of a fixed set, to train from besides. A
+    null or empty text has no spans; an empty table gives no rows; repeated rows give repeated results. Other columns
+    are not read.
     """
     found = materialize(find_candidates(docs, text_col, id_col))
-    if samples is None:
-        samples = found.select(F.explode("random").alias("sample"), F.lit(True).alias("random")).unionByName(found.select(F.col("ordinary").alias("sample"), F.lit(False).alias("random")))
-    model = train(samples, limit)
+    model = learned(found, samples, limit, known)
     judged = F.filter("long", lambda m: ratio(m["match"], model) >= threshold)
     spans = F.array_sort(F.transform(F.concat("base", judged), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop"))))
     return found.select("doc_id", spans.alias("spans"))

@@ -9,10 +9,11 @@ from itertools import accumulate
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, piece_sampling, quality_rules, queries, secret_scan, url_filter, warc_revisit
 from lectern.llm.shingles import shingle_sets
-from tests.oracle import holds
+from tests.oracle import SF, holds
 
 WS = r"[\x20\x09-\x0D]"
 LONG = " ".join(f"w{i}" for i in range(3000))
@@ -75,6 +76,23 @@ def test_secrets(spark, docs, none):
     assert secret_scan.secrets_report(none).count() == 0
 
 
+def test_random_strings_of_every_alphabet_are_caught(spark):
+    """With the model that the query trains; planted strings are of another seed, the ordinary ones are joined words of the documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = secret_scan.find_candidates(docs).cache()
+    model = secret_scan.learned(found, known=secret_scan.known_samples(spark))
+    draw, planted = random.Random(99), []
+    for name, chars in [*secret_scan.ALPHABETS.items(), ("lower", "abcdefghijklmnopqrstuvwxyz0123456789")]:
+        planted += [(f"{name} {n}", "".join(draw.choices(chars, k=n))) for n in (20, 40) for _ in range(300)]
+    words = sorted({w for r in docs.select("text").limit(50).collect() for w in re.findall(r"\b[a-z]{4,12}\b", r["text"] or "")})
+    planted += [("ordinary", "_".join(draw.sample(words, 4))) for _ in range(300)]
+    planted = [(k, t) for k, t in planted if len(t) >= 20]
+    told = spark.createDataFrame(planted, "kind string, token string").select("kind", (secret_scan.ratio(F.col("token"), model) >= 0.5).alias("hit"))
+    share = {r["kind"]: r["share"] for r in told.groupBy("kind").agg(F.avg(F.col("hit").cast("int")).alias("share")).collect()}
+    assert share.pop("ordinary") <= 0.01
+    assert len(share) == 10 and all(v >= (0.85 if k.startswith("lower") else 0.97) for k, v in share.items()), share
+
+
 def test_quality(spark, docs, none):
     text = " ".join(["a b c d e f g h"] * 2 + [f"x{i}" for i in range(40)]) + "\nsame line\nsame line\n#$"
     got = {r["doc_id"]: r for r in quality_rules.judge(docs.unionByName(spark.createDataFrame([(20, text, "s", "c", 0)], docs.schema)), docs.where("doc_id = 5").select("doc_id")).collect()}
