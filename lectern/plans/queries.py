@@ -244,6 +244,19 @@ def q_f1_f3_f6_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", C.folded(t).alias("folded"), C.fold_slug(t).alias("slug")).select("doc_id", F.md5("folded").alias("folded"), F.md5("slug").alias("slug"), F.array_join(stems, ",").alias("stems"))
 
 
+@_query("""
+WITH t AS (SELECT doc_id, lower(translate(text, 'æœÆŒ', 'eeee')) AS text FROM documents),
+f AS (SELECT doc_id, trim(regexp_replace(strip_accents(text), '[^a-z]+', '-', 'g'), '-') AS slug FROM t),
+s AS (SELECT doc_id, list_transform(list_filter(string_split(slug, '-'), lambda p: length(p) >= 4 AND p NOT IN ('the', 'that', 'with')), lambda p: p[1:6]) AS stems FROM f)
+SELECT doc_id, len(stems) AS n_stems, md5(array_to_string(stems, ',')) AS stems FROM s
+""", views=False)
+def q_f6_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number and the digest of all stems of every text."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stems = d.select("doc_id", C.slug_stems(C.fold_slug(F.col("text")), ["the", "that", "with"]).alias("stems"))
+    return stems.select("doc_id", F.size("stems").alias("n_stems"), F.md5(F.array_join("stems", ",")).alias("stems"))
+
+
 @_query("SELECT doc_id, sha256(text) AS sha256 FROM documents", views=False)
 def q_s10_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha256"))

@@ -16,3 +16,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stems_of_the_whole_text(spark, tmp_path):
+    word = lambda i: "stem" + chr(97 + i // 26) + chr(97 + i % 26)
+    texts = [" ".join(map(word, range(n))) for n in (20, 30)] + [" ".join(word(i) if i != 25 else "other" for i in range(30))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_stems"], r["stems"]) for r in QUERIES["q_f6_stems"](spark, str(tmp_path)).collect()}
+    assert [got[i][0] for i in range(3)] == [20, 30, 30] and len({d for _, d in got.values()}) == 3
