@@ -46,12 +46,24 @@ def rejected(edits: DataFrame, elogia: DataFrame, ids: DataFrame) -> DataFrame:
     return joined.select("seq", error.alias("error")).where("error is not null")
 
 
-def conflicts(edits: DataFrame, elogia: DataFrame) -> DataFrame:
-    """(seq, edition, month, current_hash) of edits (seq, edition, month, expected_hash) whose hash isn't the month's."""
+def month_hashes(elogia: DataFrame) -> DataFrame:
+    """(edition, month, current_hash): sha256 of the month's entries in order."""
     entry = F.concat_ws("\n", F.format_string("%02d-%04d", "day", "pos"), "id", "text")
-    current = elogia.groupBy("edition", "month").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("current_hash"))
+    return elogia.groupBy("edition", "month").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("current_hash"))
+
+
+def check_expected(edits: DataFrame, elogia: DataFrame) -> DataFrame:
+    """(seq, edition, month, current_hash, state) of every edit (seq, edition, month, expected_hash).
+
+    state is conflict where an expected hash isn't the month's, else ok: the edit applies.
+    """
     wrong = F.col("expected_hash").isNotNull() & ~F.col("expected_hash").eqNullSafe(F.col("current_hash"))
-    return edits.join(current, ["edition", "month"], "left").where(wrong).select("seq", "edition", "month", "current_hash")
+    return edits.join(month_hashes(elogia), ["edition", "month"], "left").select("seq", "edition", "month", "current_hash", F.when(wrong, "conflict").otherwise("ok").alias("state"))
+
+
+def conflicts(edits: DataFrame, elogia: DataFrame) -> DataFrame:
+    """(seq, edition, month, current_hash) of edits (seq, edition, month, expected_hash) whose hash isn't the month's."""
+    return check_expected(edits, elogia).where("state = 'conflict'").drop("state")
 
 
 def is_permutation(order: str, ids: str):

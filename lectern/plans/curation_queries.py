@@ -107,6 +107,22 @@ def q_c8_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("month").alias("m")).agg(F.count("*").alias("n"), F.count_if(F.col("current_hash").isNull()).alias("no_month"), F.md5(F.array_join(told, ",")).alias("seqs"))
 
 
+@_query("""
+, h AS (SELECT edition, month, sha256(string_agg(concat(lpad(CAST(day AS STRING), 2, '0'), '-', lpad(CAST(pos AS STRING), 4, '0'), chr(10), id, chr(10), text), chr(10) ORDER BY day, pos)) AS hash FROM b_elogia GROUP BY edition, month),
+o AS (SELECT o_orderkey AS seq, concat('ed_', CAST(o_custkey % 100 AS STRING)) AS edition, CAST(month(o_orderdate) AS INT) AS month FROM orders),
+e AS (SELECT o.*, h.hash, CASE WHEN seq % 5 = 0 THEN NULL WHEN seq % 3 = 0 THEN h.hash ELSE 'stale' END AS expected FROM o LEFT JOIN h ON o.edition = h.edition AND o.month = h.month)
+SELECT seq, edition, month, hash AS current_hash, CASE WHEN expected IS NOT NULL AND expected IS DISTINCT FROM hash THEN 'conflict' ELSE 'ok' END AS state FROM e
+""")
+def q_c8_edit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edit by itself: a fifth expects nothing, a third the month's true hash, the others a stale one."""
+    (elogia,) = bind(spark, sf_dir, "b_elogia")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    edits = orders.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("ed_"), (F.col("o_custkey") % 100).cast("string")).alias("edition"), F.month("o_orderdate").alias("month"))
+    seen = edits.join(curation.month_hashes(elogia), ["edition", "month"], "left")
+    expected = F.when(F.col("seq") % 5 == 0, None).when(F.col("seq") % 3 == 0, F.col("current_hash")).otherwise("stale")
+    return curation.check_expected(seen.select("seq", "edition", "month", expected.alias("expected_hash")), elogia)
+
+
 @_query("""
 , e AS (SELECT DISTINCT p.id AS entry, p.month, p.day, string_split(i.p_name, ' ') AS w FROM b_printed p JOIN b_ids i ON p.id = i.id),
 p AS (SELECT e.entry, c.id, len(list_intersect(w, string_split(c.p_name, ' '))) / len(list_distinct(list_concat(w, string_split(c.p_name, ' ')))) AS score, e.month, e.day

@@ -24,3 +24,8 @@ def test_stems_of_the_whole_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_stems"], r["stems"]) for r in QUERIES["q_f6_stems"](spark, str(tmp_path)).collect()}
     assert [got[i][0] for i in range(3)] == [20, 30, 30] and len({d for _, d in got.values()}) == 3
+
+
+def test_edits_that_apply_and_that_conflict(spark):
+    states = {r["state"] for r in QUERIES["q_c8_edit_states"](spark, "/root/testdata/sf0.001").select("state").distinct().collect()}
+    assert states == {"ok", "conflict"}

@@ -1,5 +1,6 @@
 """Readers and the edit stream on small files with known answers."""
 
+import hashlib
 import json
 
 import pytest
@@ -79,3 +80,11 @@ def test_conflicts(spark):
     assert set(found) == {1, 3} and found[3] is None
     good = spark.createDataFrame([(1, "e", 1, found[1])], edits.schema)
     assert curation.conflicts(good, elogia).count() == 0
+
+
+def test_every_edit_has_a_state(spark):
+    elogia = spark.createDataFrame([("e", 1, 2, 1, "i", "t"), ("e", 1, 2, 2, "j", "u")], "edition string, month int, day int, pos int, id string, text string")
+    true = hashlib.sha256(b"02-0001\ni\nt\n02-0002\nj\nu").hexdigest()
+    edits = spark.createDataFrame([(1, "e", 1, "x"), (2, "e", 1, None), (3, "f", 1, "x"), (4, "e", 1, true), (5, "f", 1, None)], "seq long, edition string, month int, expected_hash string")
+    got = {r["seq"]: (r["state"], r["current_hash"]) for r in curation.check_expected(edits, elogia).collect()}
+    assert got == {1: ("conflict", true), 2: ("ok", true), 3: ("conflict", None), 4: ("ok", true), 5: ("ok", None)}
