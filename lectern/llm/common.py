@@ -7,12 +7,14 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
+#: A narrow table of so many rows may be broadcast.
+MOST_BROADCAST = 20_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,9 +42,11 @@ def constant_longs(values: list[int]) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where spark.checkpoint.dir is unset (local tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where that is unset, a temporary one serves a local master only."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -62,6 +66,56 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def renamed(df: DataFrame, *stems: str) -> list[str]:
+    """One free_name() for each stem."""
+    return [free_name(df, stem) for stem in stems]
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of `df` by name, dots in a name included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def joined(rows: DataFrame, table: DataFrame, on: list[str], weight: str, most: int = 1000) -> DataFrame:
+    """The inner join of `rows` with a table of one row a key, whose column `weight` counts the rows that have the key.
+
+    A table of at most MOST_BROADCAST rows is broadcast. Of a larger one the keys that hold a thousandth of all rows (and
+    a thousand at least) are, which are `most` at most: their rows stay where they lie, and only the rows of the other
+    keys are shuffled.
+    """
+    size = table.agg(F.count("*").alias("keys"), F.sum(weight).alias("rows")).first()
+    if size["keys"] <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), on)
+    heavy = table.where(F.col(weight) >= max(1000, -(-size["rows"] // most)))
+    if heavy.isEmpty():
+        return rows.join(table, on)
+    heavy = F.broadcast(heavy)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(table, on))
+
+
+def small(table: DataFrame) -> DataFrame:
+    """`table`, to be broadcast if it has at most MOST_BROADCAST rows."""
+    return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
+
+
+def ordered(rows: DataFrame, by: list[str], before: dict[str, str] | None = None, rank: str = "rank") -> DataFrame:
+    """`rows` with their rank from 0 in the order of `by`, which tells all of them apart, and sums over the rows before.
+
+    before: names of the sums, and the columns that they add up. Rows are sorted over range partitions; what passes the
+    driver's side is one row a partition. Ranks and sums of whole numbers don't depend on how rows are partitioned.
+    """
+    before, part = before or {}, free_name(rows, "_part")
+    placed = materialize(rows.repartitionByRange(*by).withColumn(part, F.spark_partition_id()))
+    within = Window.partitionBy(part).orderBy(*by)
+    sums = {out: F.coalesce(F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for out, c in before.items()}
+    inside = placed.withColumns({rank: (F.row_number().over(within) - 1).cast("long"), **sums})
+    parts = placed.groupBy(part).agg(F.count("*").alias(f"{rank}_"), *[F.sum(c).alias(f"{out}_") for out, c in before.items()])
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(part, *[F.coalesce(F.sum(f"{c}_").over(upto), F.lit(0)).alias(f"{c}_") for c in (rank, *before)])
+    found = inside.join(F.broadcast(parts), part)
+    return found.select(*rows.columns, *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in (rank, *before)])
+
+
 def bloom_positions(key: Column, bits: int, seed: int, hashes: int = 5) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(seed * 64 + j), key), F.lit(bits)) for j in range(hashes)]
 

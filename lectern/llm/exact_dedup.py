@@ -1,14 +1,16 @@
 """Exact deduplication by deterministic block naming.
 
-A normalised text is cut into blocks of a fixed number of bytes. The distinct blocks of the corpus are sorted and
-numbered; a number names one block and no other. Then adjacent names are paired, the distinct pairs are sorted and
-numbered in turn, and so on until every document has one name. Two documents have the same number of blocks and the same
-name exactly if their texts are equal: no hash takes part in the identity.
+A normalised text is cut into blocks of a fixed number of bytes. The distinct blocks of the corpus are sorted by a
+128-bit key of their content and numbered without gaps; the dictionary of blocks proves that no two of them share a key
+(should two ever, the keys are drawn again with another salt), so that a number names one block and no other. Then
+adjacent names are paired, the distinct pairs are sorted and numbered in turn, and so on until every document has one
+name. Two documents have the same number of blocks and the same name exactly if their texts are equal. Names are ranks in
+a sorted order: they don't depend on how the rows are partitioned.
 
 What moves: the text of the distinct blocks is shuffled once, combined before the shuffle, so that a block of very many
-copies is one row a task. Occurrences find their block's name by a 128-bit routing key of which the dictionary proves
-that no two distinct blocks share it; should two ever share one, the keys are drawn again with another salt. All else is
-integers. Every level keeps only documents that still have two names or more: a text of n blocks takes log2(n) levels.
+copies is one row a task. All else is keys and integers. Occurrences of a block that very many documents hold find its
+name by a broadcast of such blocks, at most a thousand. Every level keeps only documents that still have two names or
+more: a text of n blocks takes log2(n) levels.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import free_name, materialize, text_of
+from lectern.llm.common import joined, materialize, ordered, own_columns, renamed, text_of
 
 BLOCK_BYTES = 4096
 
@@ -39,14 +41,9 @@ def _key(block: Column, salt: int) -> Column:
     return F.struct(F.xxhash64(block).alias("k1"), F.xxhash64(F.lit(salt), block).alias("k2"))
 
 
-def _numbered(distinct: DataFrame, by: list[str], keep: list[Column]) -> DataFrame:
-    """Names for distinct rows: sorted within their partition and numbered."""
-    return materialize(distinct.sortWithinPartitions(*by).select(*keep, F.monotonically_increasing_id().alias("name")))
-
-
 def _folded(occurrences: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
-    """(rid, n_blocks, names in order) from one row per occurrence."""
-    found = occurrences.join(names, on).groupBy("rid", "n_blocks").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("s"))
+    """(rid, n_blocks, names in order) from one row per occurrence, and the names with their number of occurrences `n`."""
+    found = joined(occurrences, names, on, "n").groupBy("rid", "n_blocks").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("s"))
     return materialize(found.select("rid", "n_blocks", F.transform("s", lambda x: x["name"]).alias("names")))
 
 
@@ -54,7 +51,8 @@ def block_identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """One row per row of `docs`: rid, id, text_sha256, n_blocks, name.
 
     Rows have the same (n_blocks, name) exactly if their normalised texts are equal. A null text counts as empty, an
-    empty text is one empty block. `rid` numbers the rows, so that repeated rows and null or repeated ids stay apart.
+    empty text is one empty block. `rid` numbers the rows, so that repeated rows and null or repeated ids stay apart. An
+    empty table gives no rows.
     """
     for salt in range(1, 9):
         raw = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), _raw(text_col).alias("raw"))
@@ -62,13 +60,13 @@ def block_identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             raw.select("rid", "id", F.sha2("raw", 256).alias("text_sha256"), F.transform(_blocks(F.col("raw"), block_bytes), lambda b: _key(b, salt)).alias("keys"))
         )
         distinct = docs.select(_raw(text_col).alias("raw")).select(F.explode(_blocks(F.col("raw"), block_bytes)).alias("block")).groupBy("block").agg(F.count("*").alias("n"))
-        names = _numbered(distinct, ["block"], [_key(F.col("block"), salt)["k1"].alias("k1"), _key(F.col("block"), salt)["k2"].alias("k2")])
-        if names.groupBy("k1", "k2").count().where("count > 1").isEmpty():
+        keyed = materialize(distinct.select(_key(F.col("block"), salt).alias("key"), "n").select("key.*", "n"))
+        if keyed.groupBy("k1", "k2").agg(F.count("*").alias("blocks")).where("blocks > 1").isEmpty():
             break
     else:
         raise RuntimeError("no collision-free routing key found")
     occurrences = base.select("rid", F.size("keys").alias("n_blocks"), F.posexplode("keys").alias("pos", "key")).select("rid", "n_blocks", "pos", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"))
-    state = _folded(occurrences, names, ["k1", "k2"])
+    state = _folded(occurrences, materialize(ordered(keyed, ["k1", "k2"], rank="name")), ["k1", "k2"])
     done = []
     longest = state.agg(F.max("n_blocks")).first()[0] or 0
     while True:
@@ -79,7 +77,7 @@ def block_identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         half = ((F.size("names") - 1) / 2).cast("int")
         pair = F.transform(F.sequence(F.lit(0), half), lambda i: F.struct(F.get("names", i * 2).alias("l"), F.coalesce(F.get("names", i * 2 + 1), F.lit(-1)).alias("r")))
         pairs = state.where(F.size("names") > 1).select("rid", "n_blocks", F.posexplode(pair).alias("pos", "p")).select("rid", "n_blocks", "pos", "p.l", "p.r")
-        names = _numbered(pairs.groupBy("l", "r").agg(F.count("*").alias("n")), ["l", "r"], [F.col("l"), F.col("r")])
+        names = materialize(ordered(pairs.groupBy("l", "r").agg(F.count("*").alias("n")), ["l", "r"], rank="name"))
         state = _folded(pairs, names, ["l", "r"])
     found = done[0]
     for more in done[1:]:
@@ -95,27 +93,25 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """
     rows = block_identities(docs, text_col, id_col, block_bytes)
     first = F.min(F.struct(F.col("id").isNull().alias("void"), F.col("id").alias("id"), F.col("rid").alias("rid")))
-    groups = rows.groupBy("n_blocks", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["n_blocks", "name"]).select(
+    groups = materialize(rows.groupBy("n_blocks", "name").agg(first.alias("first"), F.count("*").alias("group_size")))
+    return joined(rows, groups, ["n_blocks", "name"], "group_size").select(
         F.col("id").alias("doc_id"), F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256"
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns.
+    """The rows of `docs` that stay, with all their columns, whatever these are called.
 
-    A row is found again by its id and its text's digest; only where several rows have the same of both are they
-    reduced to one, so that the others are not shuffled twice.
+    Of equal texts the row of the smallest id stays, null ids last; a null text counts as empty. A row is found again by
+    its id and its text's digest; where several rows have the same of both, one of them stays. An empty table stays empty.
     """
-    mark, many = free_name(docs, "_sha"), free_name(docs, "_many")
+    sha, many, own, digest = renamed(docs, "_sha", "_many", "_id", "_digest")
     found = exact_duplicates(docs, text_col, id_col)
     stay = materialize(found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), (F.count("*") > 1).alias("many")).where("kept"))
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("many").alias(many))
-    marked = docs.withColumn(mark, F.sha2(_raw(text_col), 256))
-    joined = marked.join(stay, F.col(mark) .eqNullSafe(F.col("_digest")) & marked[id_col].eqNullSafe(F.col("_id"))).drop("_id", "_digest")
+    stay = stay.select(F.col("doc_id").alias(own), F.col("text_sha256").alias(digest), F.col("many").alias(many))
+    marked = docs.withColumn(sha, F.sha2(_raw(text_col), 256))
+    both = marked.join(stay, (F.col(sha) == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(own)))
     if stay.where(F.col(many)).isEmpty():
-        return joined.select(*[joined[c] for c in docs.columns])
-    once = joined.where(~F.col(many))
-    return once.unionByName(joined.where(many).dropDuplicates([id_col, mark])).select(*docs.columns)
-
-
+        return both.select(*own_columns(docs))
+    once, more = both.where(~F.col(many)), both.where(F.col(many))
+    return once.unionByName(more.dropDuplicates([id_col, sha])).select(*own_columns(docs))
