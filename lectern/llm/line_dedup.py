@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import text_of
+from lectern.llm.common import let, own_columns, renamed, text_of
 
 MIN_CHARS = 10
 
@@ -70,40 +70,48 @@ def line_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def _kept(lines: Column, words: Column) -> Column:
-    """The lines whose bit is set."""
+    """The lines whose bit is set. The sparse words are laid out once, so that a line is one look-up."""
+    upto = F.sequence(F.lit(0), F.element_at(words, -1)["word"])
+    dense = F.transform(upto, lambda at: F.get(F.filter(words, lambda w: w["word"] == at), F.lit(0))["keep"])
+    stays = lambda word, i: F.coalesce(F.getbit(word, i % 64) == 1, F.lit(True))
+    kept = let(dense, lambda d: F.filter(lines, lambda line, i: stays(F.get(d, F.floor(i / 64).cast("int")), i)))
+    return F.when(words.isNull(), lines).otherwise(kept)
 
-    def stays(line: Column, i: Column) -> Column:
-        word = F.get(F.filter(words, lambda w: w["word"] == F.floor(i / 64)), F.lit(0))
-        return F.coalesce(F.getbit(word["keep"], i % 64) == 1, F.lit(True))
 
-    return F.when(words.isNull(), lines).otherwise(F.filter(lines, stays))
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text_col: str = "text", id_col: str = "doc_id", before: str = "lines", after: str = "kept_lines") -> DataFrame:
+    """`docs` with two more columns of lines, `before` and `after` the bitmaps are applied; both names must be free.
 
-
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """`docs` with two more columns: _lines before, _kept after the bitmaps."""
-    found = bitmaps.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("words").alias("_words"))
-    text = text_of(docs[text_col])
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
-    split = joined.select(*[docs[c] for c in docs.columns], F.col("_words"), _lines(text).alias("_lines"))
-    return split.withColumn("_kept", _kept(F.col("_lines"), F.col("_words"))).drop("_words")
+    A null or empty text is one empty line. A row finds its bitmap by its id and its text's hash: repeated rows have the
+    same one, and a row without one keeps all lines.
+    """
+    own, mark, words = renamed(docs, "_id", "_th", "_words")
+    found = bitmaps.select(F.col("id").alias(own), F.col("th").alias(mark), F.col("words").alias(words))
+    text = text_of(text_col)
+    both = docs.join(found, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(mark)), "left")
+    split = both.select(*own_columns(docs), F.col(words), _lines(text).alias(before))
+    return split.withColumn(after, _kept(F.col(before), F.col(words))).drop(words)
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """`docs` with the text column replaced by the lines that stay, joined by line feeds.
+    """`docs` with the text column replaced by the lines that stay, joined by line feeds; other columns as they are.
 
     A null or empty text is one empty line, which stays. Repeated rows lose the same lines. An empty table stays empty.
     """
-    kept = apply_bitmaps(docs, line_bitmaps(docs, text_col, id_col, **options), text_col, id_col)
-    return kept.withColumn(text_col, F.array_join("_kept", "\n")).select(*docs.columns)
+    before, after = renamed(docs, "_before", "_after")
+    kept = apply_bitmaps(docs, line_bitmaps(docs, text_col, id_col, **options), text_col, id_col, before, after)
+    return kept.withColumn(text_col, F.array_join(after, "\n")).select(*own_columns(docs))
 
 
 def line_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 (of the kept lines joined by line feeds), for every row."""
+    """doc_id, n_lines, n_dropped, kept_sha256 (of the kept lines joined by line feeds), for every row.
+
+    A null or empty text has one empty line. Repeated rows give repeated results; an empty table gives none.
+    """
     only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kept = apply_bitmaps(only, line_bitmaps(only, **options))
     return kept.select(
         "doc_id",
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-        F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept_lines")).cast("long").alias("n_dropped"),
+        F.sha2(F.array_join("kept_lines", "\n"), 256).alias("kept_sha256"),
     )
