@@ -8,8 +8,10 @@ and by position; groups are expanded to members, and members verified on their w
 
 What is asked for is who is connected, so no group's pairs are spelled out where one link a member says the same. First
 every group is held against one pivot a shingle, the one most made of common shingles, which near copies descend from.
-Then, for every shingle that is posted by several of the components found, what lies outside of the pivot's component is
-held against all others: every pair that is left is tested, and no link between different texts is lost.
+Then a second prefix join runs over what is left: pairs of sets in different components. It is held to the shingles of
+the prefixes that others post too, rarest first; a pair must find its first shared one early enough in both to reach the
+similarity, and is made there and not again at those that follow. Within a group the same join runs over the rest of the
+sets. Every pair that may be similar is tested, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bloom_holds, bloom_words, free_name, small_batches, stored, text_of
+from lectern.llm.common import bloom_holds, bloom_words, joined, own_columns, renamed, small_batches, stored, text_of
 from lectern.llm.components import components
 from lectern.llm.shingles import mixed, shingle_sets
 
@@ -30,6 +32,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 SKETCH_BITS = 18
 PACK = 1 << 12
+#: How many of the shared shingles before one are looked at to tell whether a pair was made at an earlier one.
+LOOK_BACK = 4
 #: Largest Bloom filter of wanted ids, in 64-bit words.
 BLOOM_WORDS = 1 << 13
 
@@ -151,6 +155,46 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "xs", "ys").mapInPandas(verify, "a long, b long")
 
 
+def _in_turn(posted: DataFrame, room: list[str]) -> DataFrame:
+    """Shared shingles (token, sid, df, ...) with room, how many a set has (within the columns `room`), turn, the place
+    among them, rarest first, and back, the last few before."""
+    own = Window.partitionBy(*room)
+    turn = own.orderBy("df", "token")
+    return posted.withColumns({"room": F.count("*").over(own), "turn": F.row_number().over(turn), "back": F.collect_list("token").over(turn.rowsBetween(-LOOK_BACK, -1))})
+
+
+def _first_met(need: Column) -> Column:
+    """Whether sets x and y that share this token can share `need` of all, if it is the first; false at most later ones.
+
+    The first shared one has at least need - 1 after it in either set. Where the shingles just before this one have one
+    in common, the pair is made at that one: it comes earlier in both.
+    """
+    early = (F.col("xturn") <= F.col("xroom") - need + 1) & (F.col("turn") <= F.col("room") - need + 1)
+    return early & ~F.arrays_overlap("xback", "back")
+
+
+def _side(turns: DataFrame, more: list[str]) -> DataFrame:
+    """The columns of one side of a join, x in front of their names."""
+    return turns.select("token", F.col("sid").alias("x"), *[F.col(c).alias("x" + c) for c in ("comp", "n", "room", "turn", "back")], *more)
+
+
+def _ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _within(inside: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a group's members (gid, sid, n, comp) of different components whose sets may be similar.
+
+    The prefix is the same for all; of what the sets hold besides, a pair must share what is missing.
+    """
+    rest = sets.join(inside, "sid").join(rows.select(F.col("rid").alias("gid"), "prefix"), "gid")
+    rest = rest.select("gid", "sid", "n", "comp", F.size("prefix").alias("same"), F.explode(F.array_except("shingles", "prefix")).alias("token"))
+    rest = _in_turn(rest.withColumn("df", F.count("*").over(Window.partitionBy("gid", "token"))).where("df > 1"), ["gid", "sid"])
+    missing = F.ceil(F.lit(2 * NUM) * F.col("n") / F.lit(NUM + DEN) - 1e-9) - F.col("same")
+    met = _side(rest, ["gid"]).join(rest, ["gid", "token"])
+    return met.where((F.col("x") < F.col("sid")) & (F.col("xcomp") != F.col("comp")) & _first_met(missing)).select(*_ordered("x", "sid")).distinct()
+
+
 def _maybe_in(key: Column, keys: DataFrame) -> Column:
     """True for every key of the one-column frame, false for most others: a Bloom filter of bounded size."""
     words = min(BLOOM_WORDS, max(64, keys.count() // 6))
@@ -191,8 +235,8 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
         # distinct sets; sid is the first row that has one
         sets = stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(
-            F.min(F.struct("rid", "doc_id")).alias("first"), F.min("doc_id").alias("least"), F.first("pd").alias("pd"), F.first("common").alias("common"), F.count("*").alias("copies")
-        ).select(F.col("first.rid").alias("sid"), F.col("first.doc_id").alias("doc_id"), "least", "n", "d1", "d2", "pd", "common", "copies"))
+            F.min(F.struct("rid", "doc_id")).alias("first"), F.first("pd").alias("pd"), F.first("common").alias("common"), F.count("*").alias("copies")
+        ).select(F.col("first.rid").alias("sid"), F.col("first.doc_id").alias("doc_id"), "n", "d1", "d2", "pd", "common", "copies"))
         # groups of one prefix and size; gid is the first member
         groups = sets.groupBy("n", "pd").agg(F.min("sid").alias("gid"))
         members = stored(sets.join(groups, ["n", "pd"]).select("gid", "sid", "n", "common"))
@@ -212,8 +256,7 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         ).where("lo <> hi").select("token", "df", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")))
         star = posted.join(pivots, "token").where((F.col("gid") != F.col("pivot")) & _similar_enough(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"))).select("gid", "pivot").distinct()
         one = star.join(members.select("gid", "sid"), "gid").select("sid", F.col("pivot").alias("other")).unionByName(members.where("sid <> gid").select("sid", F.col("gid").alias("other")))
-        ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        first = stored(one.select(*ordered("sid", "other")).distinct())
+        first = stored(one.select(*_ordered("sid", "other")).distinct())
         ids = lambda pairs: pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         wanted = sets.select("sid", "doc_id", "d1", "d2")
         likely = stored(_plausible(first, rows, ids(first)))
@@ -225,28 +268,32 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         each = labelled(posted.join(members.select("gid", "sid"), "gid").select("token", "gid", "sid", "n"), "sid", "comp")
         at_pivot = labelled(pivots.select("token", "df", F.col("pivot").alias("gid")), "gid", "pcomp").select("token", "df", "pcomp")
         each = stored(each.join(at_pivot, "token"))
-        # Of a prefix only the `room` shingles that others post too can be shared. If a pair must share `need` of them, it
-        # shares one of the first room - need + 1 in any order: in that of rising frequency, common ones are left out.
-        own = Window.partitionBy("sid")
-        each = each.withColumn("room", F.count("*").over(own)).withColumn("turn", F.row_number().over(own.orderBy("df", "token")))
-        outside = each.where("comp <> pcomp").select("token", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("gid").alias("xg"), F.col("room").alias("xroom"), F.col("turn").alias("xturn"))
+        # Of a prefix only the shingles that others post too can be shared. Of two sets of different components one at least
+        # lies outside of the pivot's.
+        turns = _in_turn(each, ["sid"])
         need = _shared_prefix(F.col("xn"), F.col("n"))
-        near = _sizes_fit(F.col("xn"), F.col("n")) & (F.col("room") >= need) & (F.col("xturn") <= F.col("xroom") - need + 1)
-        cross = outside.join(each, "token").where((F.col("xc") != F.col("comp")) & ((F.col("xg") == F.col("gid")) | near)).select(*ordered("x", "sid")).distinct()
-        # members of one group in different components
-        inside = labelled(members.select("gid", "sid"), "sid", "comp")
-        apart = inside.join(inside.select("gid", F.col("sid").alias("x"), F.col("comp").alias("xc")), "gid").where("sid < x and comp <> xc").select(*ordered("sid", "x"))
-        second = stored(cross.unionByName(apart).distinct().join(first, ["a", "b"], "left_anti"))
+        met = _side(turns.where("comp <> pcomp"), [F.col("gid").alias("xgid")]).join(turns, "token")
+        cross = met.where((F.col("xcomp") != F.col("comp")) & (F.col("xgid") != F.col("gid")) & _sizes_fit(F.col("xn"), F.col("n")) & _first_met(need)).select(*_ordered("x", "sid")).distinct()
+        # members of one group in different components: their prefix is the same, the rest of the sets must share enough
+        inside = labelled(members.select("gid", "sid", "n"), "sid", "comp")
+        several = inside.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+        inside = stored(inside.join(several, "gid"))
+        pairs = cross if inside.isEmpty() else cross.unionByName(_within(inside, _fetched(docs, wanted.join(inside.select("sid"), "sid"), words), rows)).distinct()
+        second = stored(pairs.join(first, ["a", "b"], "left_anti"))
         likely = stored(_plausible(second, rows, ids(second)))
         links = stored(links.unionByName(_verified(likely, _fetched(docs, wanted.join(ids(likely), "sid"), words))))
     labels = components(links)
 
-    known = sets.join(labels, sets["sid"] == labels["id"], "left").select("n", "d1", "d2", "least", F.coalesce("label", "sid").alias("label"))
-    least = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = rows.select("rid", "doc_id", "th", "n", "d1", "d2").join(known.select("n", "d1", "d2", "label"), ["n", "d1", "d2"], "left").join(least, "label", "left")
-    found = found.select("rid", "doc_id", "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.col("component_id"), F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"), "label")
-    keeper = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull()).alias("other"), F.col("rid").alias("rid"))).alias("k")).select(F.col("label").alias("l"), F.col("k.rid").alias("keeper"))
-    return found.join(keeper, found["label"] == keeper["l"], "left").select("rid", "doc_id", "th", "n_shingles", "component_id", F.coalesce(F.col("rid") == F.col("keeper"), F.lit(True)).alias("kept"))
+    # a component's least id, and the row of it that stays, by set and then by label; large sets and components are not dealt by them
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid"))
+    known = stored(sets.join(labels, sets["sid"] == labels["id"], "left").select("n", "d1", "d2", "copies", F.coalesce("label", "sid").alias("label")))
+    of_set = rows.where("n > 0").groupBy("n", "d1", "d2").agg(first.alias("first")).join(known, ["n", "d1", "d2"])
+    least = stored(of_set.groupBy("label").agg(F.min("first").alias("first"), F.count("*").alias("sets")).select("label", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("keeper"), "sets"))
+    of_set = stored(joined(known, least, ["label"], "sets").select("n", "d1", "d2", "component_id", "keeper", "copies"))
+    worded = joined(rows.where("n > 0").select("rid", "doc_id", "th", "n", "d1", "d2"), of_set, ["n", "d1", "d2"], "copies")
+    worded = worded.select("rid", "doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("rid") == F.col("keeper")).alias("kept"))
+    none = rows.where("n = 0").select("rid", "doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return worded.unionByName(none)
 
 
 def component_report(docs: DataFrame, **options) -> DataFrame:
@@ -255,20 +302,20 @@ def component_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` that stay, one of each component, with all their columns.
+    """The rows of `docs` that stay, one of each component, with all their columns, whatever these are called.
 
     A row is told by its id and its text's hash, so that of rows without an id, or of one id, each text stays or goes by
-    itself. Rows of one id and one text are told apart by nothing; where several of them are there, one stays.
+    itself. Rows of one id and one text are told apart by nothing; where several of them are there, one stays. Texts
+    without words, null and empty ones, all stay. An empty table stays empty.
     """
-    mark, many = free_name(docs, "_th"), free_name(docs, "_many")
-    text = text_of(docs[text_col])
+    mark, many, own, th = renamed(docs, "_mark", "_many", "_id", "_th")
     found = link_components(docs, text_col, id_col, **options)
     stay = stored(found.groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"), F.max(F.when(F.col("n_shingles") > 0, 1)).alias("worded")).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_hash"), ((F.col("rows") > 1) & F.col("worded").isNotNull()).alias(many)
+        F.col("doc_id").alias(own), F.col("th").alias(th), ((F.col("rows") > 1) & F.col("worded").isNotNull()).alias(many)
     ))
-    marked = docs.withColumn(mark, F.xxhash64(text))
-    joined = marked.join(stay, marked[id_col].eqNullSafe(stay["_id"]) & (marked[mark] == stay["_hash"]))
+    marked = docs.withColumn(mark, F.xxhash64(text_of(text_col)))
+    both = marked.join(stay, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(th)))
     if stay.where(F.col(many)).isEmpty():
-        return joined.select(*[marked[c] for c in docs.columns])
-    of = lambda rows: rows.select(*[marked[c] for c in docs.columns], marked[mark])
-    return of(joined.where(~F.col(many))).unionByName(of(joined.where(many)).dropDuplicates([id_col, mark])).select(*docs.columns)
+        return both.select(*own_columns(docs))
+    once, more = both.where(~F.col(many)), both.where(F.col(many))
+    return once.unionByName(more.dropDuplicates([id_col, mark])).select(*own_columns(docs))
