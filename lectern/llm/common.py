@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 #: A narrow table of so many rows may be broadcast.
-MOST_BROADCAST = 20_000
+MOST_BROADCAST = 2_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -101,19 +101,26 @@ def small(table: DataFrame) -> DataFrame:
 def ordered(rows: DataFrame, by: list[str], before: dict[str, str] | None = None, rank: str = "rank") -> DataFrame:
     """`rows` with their rank from 0 in the order of `by`, which tells all of them apart, and sums over the rows before.
 
-    before: names of the sums, and the columns that they add up. Rows are sorted over range partitions; what passes the
-    driver's side is one row a partition. Ranks and sums of whole numbers don't depend on how rows are partitioned.
+    before: names of the sums, and the columns that they add up. Rows are sorted over range partitions and written with
+    their place in them; what passes through the driver is one count a partition. Ranks, and sums of whole numbers, don't
+    depend on how rows are partitioned.
     """
-    before, part = before or {}, free_name(rows, "_part")
-    placed = materialize(rows.repartitionByRange(*by).withColumn(part, F.spark_partition_id()))
-    within = Window.partitionBy(part).orderBy(*by)
-    sums = {out: F.coalesce(F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for out, c in before.items()}
-    inside = placed.withColumns({rank: (F.row_number().over(within) - 1).cast("long"), **sums})
-    parts = placed.groupBy(part).agg(F.count("*").alias(f"{rank}_"), *[F.sum(c).alias(f"{out}_") for out, c in before.items()])
-    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(part, *[F.coalesce(F.sum(f"{c}_").over(upto), F.lit(0)).alias(f"{c}_") for c in (rank, *before)])
-    found = inside.join(F.broadcast(parts), part)
-    return found.select(*rows.columns, *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in (rank, *before)])
+    before, at = before or {}, free_name(rows, "_at")
+    placed = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(at), 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"), *[F.sum(c).alias(out) for out, c in before.items()]).orderBy("part").collect()
+    told, upto = [0] * (1 + max((r["part"] for r in sizes), default=0)), {out: 0 for out in before}
+    sums, n = {out: [0.0] * len(told) for out in before}, 0
+    for r in sizes:
+        told[r["part"]], n = n, n + r["n"]
+        for out in before:
+            sums[out][r["part"]], upto[out] = upto[out], upto[out] + (r[out] or 0)
+    ranks = (F.get(constant_longs(told), part.cast("int")) + F.col(at).bitwiseAND((1 << 33) - 1)).alias(rank)
+    if not before:
+        return placed.select(*rows.columns, ranks)
+    within = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    added = [(F.get(constant_doubles(sums[out]), part.cast("int")) + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(out) for out, c in before.items()]
+    return placed.select(*rows.columns, ranks, *added)
 
 
 def bloom_positions(key: Column, bits: int, seed: int, hashes: int = 5) -> list[Column]:

@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import joined, materialize
+from lectern.llm.common import materialize
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label) for every id in `links` (a, b): label is the smallest id that it is linked with over any number of links.
 
     In a round every id takes the least label among itself and its neighbours, then its label's own label, so that the
-    rounds follow the logarithm of a chain's length. Minima are combined before they are shuffled; what a hub, or the
-    label of a large component, tells its many rows is broadcast to them. A link repeated, or of an id with itself, adds
-    nothing; links of a null id are left out. No links give no rows.
+    rounds follow the logarithm of a chain's length. Minima are combined before they are shuffled; the rows of a hub, or of
+    a large component's label, are narrow, and their joins are split by adaptive execution where they grow large. A link
+    repeated, or of an id with itself, adds nothing; links of a null id are left out. No links give no rows.
     """
     links = links.where("a is not null and b is not null")
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n"), F.count("*").alias("degree")).select("id", F.least("id", "n").alias("label"), "degree"))
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n")).select("id", F.least("id", "n").alias("label")))
     while True:
-        told = labels.select(F.col("id").alias("b"), "label", "degree")
-        near = joined(both, told, ["b"], "degree").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        taken = materialize(labels.join(near, "id").select("id", "degree", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        # every label is an id, and has one row here
-        held = taken.groupBy("label").agg(F.count("*").alias("rows"))
-        own = taken.select(F.col("id"), F.col("label").alias("next")).join(held.withColumnRenamed("label", "id"), "id").select(F.col("id").alias("label"), "next", "rows")
-        moved = materialize(joined(taken, own, ["label"], "rows").select("id", "degree", "old", F.least("label", "next").alias("label")))
-        labels = moved.select("id", "label", "degree")
+        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
+        taken = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        own = taken.select(F.col("id").alias("of"), F.col("label").alias("next"))
+        moved = materialize(taken.join(own, taken["label"] == own["of"], "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        labels = moved.select("id", "label")
         if moved.where("old <> label").isEmpty():
-            return labels.select("id", "label")
+            return labels

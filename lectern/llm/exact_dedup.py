@@ -66,7 +66,7 @@ def block_identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     else:
         raise RuntimeError("no collision-free routing key found")
     occurrences = base.select("rid", F.size("keys").alias("n_blocks"), F.posexplode("keys").alias("pos", "key")).select("rid", "n_blocks", "pos", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"))
-    state = _folded(occurrences, materialize(ordered(keyed, ["k1", "k2"], rank="name")), ["k1", "k2"])
+    state = _folded(occurrences, ordered(keyed, ["k1", "k2"], rank="name"), ["k1", "k2"])
     done = []
     longest = state.agg(F.max("n_blocks")).first()[0] or 0
     while True:
@@ -77,7 +77,7 @@ def block_identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         half = ((F.size("names") - 1) / 2).cast("int")
         pair = F.transform(F.sequence(F.lit(0), half), lambda i: F.struct(F.get("names", i * 2).alias("l"), F.coalesce(F.get("names", i * 2 + 1), F.lit(-1)).alias("r")))
         pairs = state.where(F.size("names") > 1).select("rid", "n_blocks", F.posexplode(pair).alias("pos", "p")).select("rid", "n_blocks", "pos", "p.l", "p.r")
-        names = materialize(ordered(pairs.groupBy("l", "r").agg(F.count("*").alias("n")), ["l", "r"], rank="name"))
+        names = ordered(pairs.groupBy("l", "r").agg(F.count("*").alias("n")), ["l", "r"], rank="name")
         state = _folded(pairs, names, ["l", "r"])
     found = done[0]
     for more in done[1:]:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import free_name, text_of
+from lectern.llm.common import free_name, own_columns, small_batches, text_of
 from lectern.llm.shingles import _powers, mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -374,7 +374,7 @@ def sample_pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     vocabulary, key, text = docs.sparkSession.sparkContext.broadcast(load_pieces(model)), free_name(docs, "_key"), free_name(docs, "_text")
     kept = docs.drop(out) if keep_text else docs.drop(out, text_col)
-    keyed = docs.withColumns({key: F.xxhash64(F.lit(seed), F.col(id_col)), text: text_of(text_col)}).select(*kept.columns, key, text)
+    keyed = docs.withColumns({key: F.xxhash64(F.lit(seed), F.col(id_col)), text: text_of(text_col)}).select(*own_columns(kept), key, text)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattices = _lattices(vocabulary.value)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import NOT_WS, constant_doubles, free_name, let, text_of, words_of
+from lectern.llm.common import NOT_WS, constant_doubles, free_name, let, own_columns, stored, text_of, words_of
 
 BUCKETS = 8192
 WINDOW = 8
@@ -129,7 +129,9 @@ def fit(docs: DataFrame, trusted: DataFrame, junk: DataFrame | None, text_col: s
     if junk is None or not any(target):
         return model, THRESHOLD
     ids = F.broadcast(_sample(trusted, id_col, limit).withColumn("_own", F.lit(1)).unionByName(_sample(junk, id_col, limit).withColumn("_own", F.lit(0))))
-    labelled = docs.select(F.col(id_col).alias("_doc"), words_of(text_of(text_col)).alias("_words")).join(ids, F.col("_doc") == F.col("_id"))
+    # the sample's texts are written first: else the rules would be worked out on every text before the join
+    sample = stored(docs.select(F.col(id_col).alias("_doc"), text_of(text_col).alias("_text")).join(ids, F.col("_doc") == F.col("_id")).select("_own", "_text"))
+    labelled = sample.select("_own", words_of(F.col("_text")).alias("_words"))
     scored = labelled.where(~_base_failed(F.size("_words"), _repeated_words(F.col("_words")))).select("_own", F.floor(_held_out_score(F.col("_words"), F.col("_own"), raw, target) * CELLS).alias("cell"))
     rows = scored.groupBy("cell").agg(F.sum("_own").alias("good"), F.sum(1 - F.col("_own")).alias("junk")).collect()
     cells = {r["cell"]: (r["good"], r["junk"]) for r in rows}
@@ -188,6 +190,9 @@ def judge(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: s
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float | None = None, limit: int = 20_000, junk: DataFrame | None = None) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns."""
+    """The rows of `docs` that are kept, with all their columns, whatever these are called.
+
+    A null or empty text has no words and goes. Repeated rows stay or go together; an empty table stays empty.
+    """
     (model, least), mark = _learned(docs, trusted, text_col, id_col, threshold, limit, junk), free_name(docs, "_quality")
-    return docs.withColumn(mark, quality_columns(text_of(text_col), model, least)).where(F.col(mark)["kept"]).select(*docs.columns)
+    return docs.withColumn(mark, quality_columns(text_of(text_col), model, least)).where(F.col(mark)["kept"]).select(*own_columns(docs))
