@@ -88,6 +88,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
+_OP4 = r"""
+WITH b AS (SELECT page_id AS p, octet_length(encode(coalesce(html, ''))) AS size, nullif(regexp_extract(url, '^([^:/?#]+://[^/?#]*(?:/[^/?#]*)?)', 1), '') AS base, coalesce(url, '') AS raw, page_id * 7919 % 50021 AS t FROM pages),
+c AS (SELECT *, lower(split_part(base, '://', 1)) AS scheme, regexp_replace(regexp_replace(lower(regexp_extract(base, '://([^/]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host, rtrim(regexp_extract(base, '://[^/]*(.*)$', 1), '/') AS path FROM b),
+k AS (SELECT *, CASE WHEN base IS NULL THEN raw ELSE concat(CASE WHEN scheme IN ('http', 'https') THEN 'https' ELSE scheme END, '://', host, CASE WHEN path = '' THEN '/' ELSE path END) END AS url_key FROM c),
+r AS (SELECT p, p * 2 AS record_id, url_key, t AS ts, CASE WHEN p % 3 = 0 THEN 'revisit' ELSE 'response' END AS kind, size FROM k
+      UNION ALL SELECT p, p * 2 + 1, url_key, t + p % 17 - 4, 'revisit', 0 FROM k),
+h AS (SELECT *, CASE WHEN p % 5 <> 0 THEN concat('v', CAST(floor(ts / 9000) AS BIGINT)) END AS etag, CASE WHEN p % 2 = 0 THEN concat('day ', CAST(floor(ts / 9000) AS BIGINT)) END AS modified FROM r),
+f AS (SELECT url_key, ts, arg_max({'id': record_id, 'etag': etag, 'modified': modified, 'size': size}, record_id) AS e FROM h WHERE kind = 'response' GROUP BY url_key, ts),
+j AS (SELECT v.*, f.e FROM (SELECT * FROM h WHERE kind = 'revisit') v ASOF LEFT JOIN f ON v.url_key = f.url_key AND v.ts > f.ts),
+s AS (SELECT *, CASE WHEN e IS NULL THEN 'no-earlier-response' WHEN coalesce(e.etag <> etag, e.modified <> modified, false) THEN 'validator-mismatch' ELSE 'resolved' END AS status FROM j),
+m AS (SELECT *, status = 'resolved' AS ok FROM s)
+SELECT record_id, url_key, CASE WHEN ok THEN e.id END AS refers_to, status,
+       concat_ws(';', concat('content-length=', CASE WHEN ok THEN e.size ELSE size END), concat('date=', ts),
+                 'etag=' || CASE WHEN ok THEN coalesce(etag, e.etag) ELSE etag END, 'last-modified=' || CASE WHEN ok THEN coalesce(modified, e.modified) ELSE modified END) AS headers
+FROM m
+"""
+
 _HOST = r"coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
 
@@ -122,4 +139,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_line_dedup": _OP3, "op6_url_filter": _OP6, "op10_chat_format": _OP10}
+    return {"op1_exact_dedup": _OP1, "op3_line_dedup": _OP3, "op4_warc_revisit": _OP4, "op6_url_filter": _OP6, "op10_chat_format": _OP10}

@@ -78,20 +78,31 @@ def resolve_revisits(records: DataFrame, slice_size: int = SLICE) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """WARC-like records drawn from every page, for the registered query.
 
-    Page p is a full response at time 2 p, with an etag and a size of its html. It is visited again at time 2 p + 5, by
-    its URL as another link spells it, with a fragment; every fifth of these answers has an etag of its own.
+    Page p stands for two captures of what its URL begins with: scheme, host and the first part of the path, which many
+    pages share. The first is at time t = 7919 p mod 50021, a full response, but for every third page a revisit; so URLs
+    have gaps, ties, and revisits before any response. The second is a revisit at t + (p mod 17) - 4, its URL spelled with
+    a tracking parameter and a fragment. Content changes every 9000 ticks: an etag (not for every fifth page) and a
+    last-modified (for every other page) name the content of a capture's own time. A page without a URL has the key ''.
     """
-    html, p = F.coalesce("html", F.lit("")), F.col("page_id")
-    etag, size = F.md5(html), F.octet_length(html).cast("string")
-    full = pages.select(
-        (p * 2).alias("record_id"), "url", (p * 2).alias("ts"), F.lit("response").alias("kind"),
-        F.create_map(F.lit("etag"), etag, F.lit("content-length"), size, F.lit("date"), (p * 2).cast("string")).alias("headers"),
-    )
-    again = pages.select(
-        (p * 2 + 1).alias("record_id"), F.concat(F.substring_index("url", "#", 1), F.lit("#again")).alias("url"), (p * 2 + 5).alias("ts"), F.lit("revisit").alias("kind"),
-        F.create_map(F.lit("etag"), F.when(p % 5 == 4, F.concat(etag, F.lit("-new"))).otherwise(etag), F.lit("content-length"), F.lit("0"), F.lit("date"), (p * 2 + 5).cast("string")).alias("headers"),
-    )
-    return full.unionByName(again)
+    p, html = F.col("page_id").cast("long"), F.coalesce("html", F.lit(""))
+    base = F.regexp_extract("url", r"^([^:/?#]+://[^/?#]*(?:/[^/?#]*)?)", 1)
+    base = F.when(base != "", base)
+    t = p * 7919 % 50021
+
+    def headers(ts: Column, size: Column) -> Column:
+        version = F.floor(ts / 9000).cast("string")
+        all_ = F.create_map(
+            F.lit("etag"), F.when(p % 5 != 0, F.concat(F.lit("v"), version)), F.lit("last-modified"), F.when(p % 2 == 0, F.concat(F.lit("day "), version)),
+            F.lit("content-length"), size.cast("string"), F.lit("date"), ts.cast("string"),
+        )
+        return F.map_filter(all_, lambda k, v: v.isNotNull())
+
+    kind = F.when(p % 3 == 0, "revisit").otherwise("response")
+    first = pages.select((p * 2).alias("record_id"), F.coalesce(base, "url").alias("url"), t.alias("ts"), kind.alias("kind"), headers(t, F.octet_length(html)).alias("headers"))
+    later = t + p % 17 - 4
+    spelled = F.coalesce(F.concat(base, F.lit("/?utm_source=x#again")), "url")
+    again = pages.select((p * 2 + 1).alias("record_id"), spelled.alias("url"), later.alias("ts"), F.lit("revisit").alias("kind"), headers(later, F.lit(0)).alias("headers"))
+    return first.unionByName(again)
 
 
 def revisit_report(pages: DataFrame) -> DataFrame:
