@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import free_name, own_columns, small_batches, text_of
+from lectern.llm.common import free_name, own_columns, text_of
 from lectern.llm.shingles import _powers, mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -366,6 +366,19 @@ def decode_ids(ids: np.ndarray, vocabulary: Pieces) -> str:
     return vocabulary.flat[at].tobytes().decode("utf-8", "surrogatepass")
 
 
+def _mapped(rows: DataFrame, body: Callable, columns: list[str], out: str, kind: str) -> DataFrame:
+    """rows.mapInPandas(body) with a column `out` after `columns`; in Spark's plan these go by number, whatever their names."""
+    names, plain = rows.columns, rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in body(x.set_axis(names, axis=1) for x in batches):
+            yield pdf[[*columns, out]].set_axis([f"c{i}" for i in range(len(columns) + 1)], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    told = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(columns)], f"c{len(columns)} {kind}"])
+    return plain.mapInPandas(named, told).toDF(*columns, out)
+
+
 def sample_pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: str = MODEL, seed: int = 0, out: str = "pieces", keep_text: bool = True) -> DataFrame:
     """`docs` with a column `out` of sampled piece ids (array of int), with or without their text.
 
@@ -382,7 +395,7 @@ def sample_pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
             ids = encode_texts(pdf[text].tolist(), pdf[key].to_numpy(), lattices)
             yield pdf.drop(columns=[key, text]).assign(**{out: ids})
 
-    return keyed.mapInPandas(encode, kept.withColumn(out, F.lit(None).cast("array<int>")).schema)
+    return _mapped(keyed, encode, kept.columns, out, "array<int>")
 
 
 def decode_pieces(encoded: DataFrame, pieces_col: str = "pieces", out: str = "text", model: str = MODEL) -> DataFrame:
@@ -394,7 +407,7 @@ def decode_pieces(encoded: DataFrame, pieces_col: str = "pieces", out: str = "te
         for pdf in _parts(batches):
             yield pdf.assign(**{out: [None if x is None else decode_ids(np.asarray(x), vocabulary.value) for x in pdf[pieces_col]]})
 
-    return kept.mapInPandas(decode, kept.withColumn(out, F.lit(None).cast("string")).schema)
+    return _mapped(kept, decode, [c for c in kept.columns if c != out], out, "string")
 
 
 def pieces_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: str = MODEL, seed: int = 0) -> DataFrame:
