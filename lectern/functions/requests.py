@@ -41,11 +41,3 @@ def parse_requests(df: DataFrame, path_col: str = "path") -> DataFrame:
         ok(F.col("_year")).alias("year"), ok(month).alias("month"), ok(day).alias("day"), ok(part(2)).alias("slug"),
         F.when(F.col("_bad"), "malformed-path").alias("error"),
     )
-
-
-def error_of(*checks: tuple[Column, str]) -> Column:
-    """The first check that holds gives the error."""
-    out = F.lit(None).cast("string")
-    for holds, code in reversed(checks):
-        out = F.when(holds, code).otherwise(out)
-    return out
