@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.canonical import is_canonical, stripped
+from lectern.operators.placement import first_placements
+
 
 def overlay(published: DataFrame, draft: DataFrame, draft_months: DataFrame) -> DataFrame:
     """The draft's rows, and the published ones of the months (edition, month) that the draft lacks."""
@@ -13,28 +16,36 @@ def overlay(published: DataFrame, draft: DataFrame, draft_months: DataFrame) ->
 
 
 def violations(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(edition, month, id, rule), one row per broken rule of rows (edition, month, id, text): unknown id, wrong month, empty text."""
+    """(edition, month, id, rule), one row per broken rule of rows (edition, month, id, text).
+
+    bad-id: not canonical, else unknown-id: not registered, else wrong-month: anchored to another; empty-text: no text,
+    or white space of any kind only.
+    """
     known = ids.select("id", F.col("month").alias("anchor")).withColumn("known", F.lit(True))
     joined = texts.join(known, "id", "left")
     rules = F.array_compact(F.array(
-        F.when(F.col("known").isNull(), "unknown-id"),
-        F.when(F.col("anchor") != F.col("month"), "wrong-month"),
-        F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty-text"),
+        F.when(~is_canonical(F.col("id")), "bad-id").when(F.col("known").isNull(), "unknown-id").when(F.col("anchor") != F.col("month"), "wrong-month"),
+        F.when(F.coalesce(stripped(F.col("text")), F.lit("")) == "", "empty-text"),
     ))
     return joined.select("edition", "month", "id", F.explode(rules).alias("rule"))
 
 
 def fold_edits(edits: DataFrame) -> DataFrame:
-    """The last edit by seq of each (edition, id): one row with op (put or delete), text and seq."""
-    last = F.max_by(F.struct("op", "text", "seq"), "seq").alias("e")
-    return edits.groupBy("edition", "id").agg(last).select("edition", "id", "e.*")
+    """The last edit by seq of each (branch if there is one, edition, id): one row with op, text and seq."""
+    key = [c for c in ("branch", "edition", "id") if c in edits.columns]
+    last = F.max(F.struct("seq", "op", "text")).alias("e")
+    return edits.groupBy(*key).agg(last).select(*key, "e.op", "e.text", "e.seq")
 
 
 def apply_edits(elogia: DataFrame, edits: DataFrame) -> DataFrame:
-    """Entries with each id's last edit applied wherever the edition prints it: a put sets the text, a delete takes the entry out."""
-    last = fold_edits(edits).select("edition", "id", "op", F.col("text").alias("new_text"))
-    joined = elogia.join(last, ["edition", "id"], "left").where("op is null or op <> 'delete'")
-    return joined.withColumn("text", F.when(F.col("op") == "put", F.col("new_text")).otherwise(F.col("text"))).select(*elogia.columns)
+    """Entries (edition, month, day, pos, id, text, anchor_month) with each id's last edit applied at its first placement.
+
+    delete takes that entry out, any other op sets its text. Other placements of the id stay as they are.
+    """
+    first = first_placements(elogia).select("edition", "id", "month", "day", "pos")
+    at = first.join(fold_edits(edits).select("edition", "id", "op", F.col("text").alias("_text")), ["edition", "id"])
+    joined = elogia.join(at, ["edition", "id", "month", "day", "pos"], "left").where("op is null or op <> 'delete'")
+    return joined.withColumn("text", F.when(F.col("op").isNotNull(), F.col("_text")).otherwise(F.col("text"))).select(*elogia.columns)
 
 
 def rejected(edits: DataFrame, elogia: DataFrame, ids: DataFrame) -> DataFrame:
@@ -83,3 +94,11 @@ def diff_manifest(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     r, a = recorded.select("path", F.col("sha256").alias("r")), actual.select("path", F.col("sha256").alias("a"))
     state = F.when(F.col("a").isNull(), "missing").when(F.col("r").isNull(), "extra").when(F.col("r") != F.col("a"), "changed")
     return r.join(a, "path", "full").select("path", state.alias("state")).where("state is not null")
+
+
+def dangling_links(editions: DataFrame, links: list[str]) -> DataFrame:
+    """(id, field, value): links of editions to ids that aren't registered, and dates of promulgation without a year in front."""
+    told = editions.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in links])).alias("l")).select("id", "l.*").where("value is not null")
+    lost = told.join(editions.select(F.col("id").alias("value")).distinct(), "value", "left_anti").select("id", "field", "value")
+    undated = editions.where(~F.col("promulgated").rlike(r"\A[0-9]{4}")).select("id", F.lit("promulgated").alias("field"), F.col("promulgated").alias("value"))
+    return lost.unionByName(undated)

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.canonical import primary_subtag
 
-#: Editions are a registry kept by hand; beyond this many the join isn't broadcast by hint.
-MOST_BROADCAST = 100_000
+#: Editions are a registry kept by hand; beyond this many series the joins aren't broadcast by hint.
+MOST_BROADCAST = 20_000
+EVERYWHERE = "universal"
+
+
+def edition_series(editions: DataFrame) -> DataFrame:
+    """(scope, class, editions): for every scope its editions of a language, its originals, and its Latin originals, by year.
+
+    An edition lies in three series at most. Of those up to a year the newest counts, originals before translations, then
+    the larger id: the greatest struct of a series that isn't after the year.
+    """
+    trans, lang = F.col("nature") == "translatio", primary_subtag(F.col("language"))
+    classes = F.array_compact(F.array(F.concat(F.lit("lang:"), lang), F.when(~trans, "original"), F.when(~trans & (lang == "la"), "latin-original")))
+    told = editions.select("scope", F.explode(classes).alias("class"), F.struct("year", (~trans).alias("original"), "id").alias("e"))
+    return told.groupBy("scope", "class").agg(F.collect_list("e").alias("editions"))
 
 
 def resolve(requests: DataFrame, editions: DataFrame, available: DataFrame) -> DataFrame:
@@ -19,33 +32,37 @@ def resolve(requests: DataFrame, editions: DataFrame, available: DataFrame) -> D
     counts (judged before the year): those of the nation, or of no nation if it has none, in the locale's language; the
     universal ones in it; the universal Latin ones. Without a locale translations are out. Where the year leaves none, a
     second look goes over the universal editions. The newest wins, originals before translations, then the larger id.
+
+    A tier is one series of edition_series(); which two a context looks into follows from which of them are there, so a
+    context meets five rows at most and never all editions.
     """
     keys = ["nation", "year", "locale"]
-    ctx = requests.select(*keys).distinct().withColumn("ctx", F.xxhash64(*keys)).withColumn("lang", primary_subtag(F.col("locale")))
-    ed = editions.select(F.col("id").alias("ed"), (F.col("nature") == "translatio").alias("trans"), primary_subtag(F.col("language")).alias("ed_lang"), "scope", F.col("year").alias("ed_year"))
-    ed = F.broadcast(ed) if editions.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ed
-    # only editions of the nation or universal ones can count: an equi-join on the scope, twice
-    scopes = F.array_compact(F.array(F.col("nation"), F.lit("universal")))
-    pairs = ctx.withColumn("scope", F.explode(F.array_distinct(scopes))).join(ed, "scope")
-    own, uni = F.col("scope") == F.col("nation"), F.col("scope") == "universal"
-    same, la = F.col("ed_lang") == F.col("lang"), F.col("ed_lang") == "la"
-    flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
-    has = pairs.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        flag(own).alias("has_own"), flag(own & same).alias("own_same"), flag(uni & same).alias("uni_same")
-    )
-    joined = pairs.join(has, F.col("nation").eqNullSafe(F.col("_nation")) & F.col("year").eqNullSafe(F.col("_year")) & F.col("locale").eqNullSafe(F.col("_locale")))
-    base = F.when(F.col("has_own"), F.coalesce(own, F.lit(False))).otherwise(uni)
-    base_same = F.when(F.col("has_own"), F.col("own_same")).otherwise(F.col("uni_same"))
-    in_locale = lambda b, bs: F.when(bs, b & same).when(F.col("uni_same"), uni & same).otherwise(uni & la)
+    series = edition_series(editions)
+    few = series.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    near = lambda df: F.broadcast(df) if few else df
+    ctx = requests.select(*keys).distinct().withColumn("lang", F.concat(F.lit("lang:"), primary_subtag(F.col("locale"))))
+    named = lambda scope, kind, out: near(series.select(F.col("scope").alias(scope), F.col("class").alias(kind), F.lit(True).alias(out)))
+    own_scope = near(editions.select(F.col("scope").alias("nation"), F.lit(True).alias("has_own")).distinct())
+    d = ctx.withColumn("everywhere", F.lit(EVERYWHERE)).join(own_scope, "nation", "left")
+    d = d.join(named("nation", "lang", "own_same"), ["nation", "lang"], "left").join(named("everywhere", "lang", "uni_same"), ["everywhere", "lang"], "left")
+    is_true = lambda c: F.coalesce(F.col(c), F.lit(False))
     located = F.col("lang").isNotNull()
-    first = F.when(located, in_locale(base, base_same)).otherwise(base & ~F.col("trans"))
-    by_nation = F.when(located, in_locale(uni, F.col("uni_same"))).otherwise(uni & ~F.col("trans"))
-    second = F.when(F.col("nation").isNotNull(), by_nation).when(located, uni & la & ~F.col("trans")).otherwise(F.lit(False))
-    in_time = F.col("year").isNull() | (F.col("ed_year") <= F.col("year"))
-    rank = F.struct("ed_year", (~F.col("trans")).alias("orig"), F.col("ed").alias("id"))
-    best = joined.groupBy(*keys).agg(F.max(F.when(first & in_time, rank)).alias("a"), F.max(F.when(second & in_time & F.col("year").isNotNull(), rank)).alias("b"))
-    won = best.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("a", "b")["id"].alias("won"))
-    out = requests.join(won, F.col("nation").eqNullSafe(F.col("_nation")) & F.col("year").eqNullSafe(F.col("_year")) & F.col("locale").eqNullSafe(F.col("_locale")), "left")
+    wide = F.when(is_true("uni_same"), F.col("lang")).otherwise("lang:la")
+    own = F.when(located, is_true("own_same")).otherwise(is_true("has_own"))
+    d = d.select(
+        *keys, F.when(own, F.col("nation")).otherwise(EVERYWHERE).alias("scope1"), F.when(~located, "original").when(own, F.col("lang")).otherwise(wide).alias("class1"),
+        F.lit(EVERYWHERE).alias("scope2"), F.when(F.col("nation").isNotNull(), F.when(located, wide).otherwise("original")).when(located, "latin-original").alias("class2"),
+    )
+    for n in (1, 2):
+        d = d.join(near(series.toDF(f"scope{n}", f"class{n}", f"e{n}")), [f"scope{n}", f"class{n}"], "left")
+    newest = lambda c: F.array_max(F.filter(c, lambda e: F.col("year").isNull() | (e["year"] <= F.col("year"))))
+    second = F.when(F.col("year").isNotNull(), newest(F.col("e2")))
+    won = d.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(newest(F.col("e1")), second)["id"].alias("won"))
+
+    def same(k: str) -> Column:
+        return F.col(k).eqNullSafe(F.col(f"_{k}"))
+
+    out = requests.join(won, same("nation") & same("year") & same("locale"), "left")
     out = out.join(available.select(F.col("id").alias("_av")).distinct(), F.col("won") == F.col("_av"), "left")
     error = F.when(F.col("won").isNull(), F.when(F.col("year").isNull(), "no-edition").otherwise("pre-first-edition")).when(F.col("_av").isNull(), "edition-unavailable")
     return out.select(*requests.columns, F.when(error.isNull(), F.col("won")).alias("resolved_edition"), error.alias("resolve_error"))

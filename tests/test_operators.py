@@ -5,14 +5,14 @@ from lectern.functions.requests import parse_requests
 from lectern.operators.resolve import resolve
 
 EDITIONS = [
-    ("mr_1584", "editio_typica", "la", "universal", 1584),
-    ("mr_1749", "editio_typica_recognita", "la", "universal", 1749),
-    ("mr_1914_en_unofficial", "translatio", "en", "universal", 1914),
-    ("mr_2004", "editio_typica_altera", "la", "universal", 2004),
-    ("mr_2004_it_IT", "editio_vernacula", "it-IT", "IT", 2004),
-    ("mr_2004_en_unofficial", "translatio", "en", "universal", 2004),
+    ("old_1584", "editio_typica", "la", "universal", 1584),
+    ("old_1749", "editio_typica_recognita", "la", "universal", 1749),
+    ("mid_1914_en", "translatio", "en", "universal", 1914),
+    ("new_2004", "editio_typica_altera", "la", "universal", 2004),
+    ("new_2004_it", "editio_vernacula", "it-IT", "IT", 2004),
+    ("new_2004_en", "translatio", "en", "universal", 2004),
 ]
-HELD = ["mr_1749", "mr_1914_en_unofficial", "mr_2004", "mr_2004_it_IT"]
+HELD = ["old_1749", "mid_1914_en", "new_2004", "new_2004_it"]
 
 
 def answers(spark, contexts, editions=EDITIONS, held=HELD):
@@ -27,20 +27,20 @@ def test_resolver_known_answers(spark):
         (None, None, None), ("IT", None, None), ("IT", None, "la"), (None, 1970, None), (None, 2004, None), (None, 1600, None),
         (None, 1500, None), ("FR", None, None), ("IT", 1970, None), (None, 1900, "en"),
     ])
-    assert got == ["mr_2004", "mr_2004_it_IT", "mr_2004", "mr_1749", "mr_2004", "edition-unavailable", "pre-first-edition", "mr_2004", "mr_1749", "mr_1749"]
+    assert got == ["new_2004", "new_2004_it", "new_2004", "old_1749", "new_2004", "edition-unavailable", "pre-first-edition", "new_2004", "old_1749", "old_1749"]
 
 
 def test_resolver_translations_and_scopes(spark):
-    assert answers(spark, [(None, None, "en")], held=[*HELD, "mr_2004_en_unofficial"]) == ["mr_2004_en_unofficial"]
-    more = [*EDITIONS, ("mr_2010_en", "translatio", "en", "universal", 2010)]
-    assert answers(spark, [(None, None, None), (None, None, "en")], more, [*HELD, "mr_2010_en"]) == ["mr_2004", "mr_2010_en"]
-    foreign = [*EDITIONS, ("mr_2012_de", "editio_typica", "la", "DE", 2012)]
-    assert answers(spark, [("IT", None, "la")], foreign, [*HELD, "mr_2012_de"]) == ["mr_2004"]
+    assert answers(spark, [(None, None, "en")], held=[*HELD, "new_2004_en"]) == ["new_2004_en"]
+    more = [*EDITIONS, ("late_2010_en", "translatio", "en", "universal", 2010)]
+    assert answers(spark, [(None, None, None), (None, None, "en")], more, [*HELD, "late_2010_en"]) == ["new_2004", "late_2010_en"]
+    foreign = [*EDITIONS, ("late_2012_de", "editio_typica", "la", "DE", 2012)]
+    assert answers(spark, [("IT", None, "la")], foreign, [*HELD, "late_2012_de"]) == ["new_2004"]
     assert answers(spark, [("XX", None, None)], [("t", "translatio", "en", "XX", 1900)], []) == ["no-edition"]
 
 
 def test_request_paths(spark):
-    good = {"01/01": (None, None, None, 1, 1, None), "nation/IT/1970/02/29/x-y": ("IT", None, 1970, 2, 29, "x-y"), "edition/mr_1749//12": (None, "mr_1749", None, 12, None, None)}
+    good = {"01/01": (None, None, None, 1, 1, None), "nation/IT/1970/02/29/x-y": ("IT", None, 1970, 2, 29, "x-y"), "edition/old_1749//12": (None, "old_1749", None, 12, None, None)}
     bad = ["", "13", "1/1", "02/30", "nation/it/01", "nation/IT", "edition/a-b/01", "edition/mr/1970/01", "01/01/x/y", "01/01/Bad", "0999/01/01", "01/1١"]
     rows = parse_requests(spark.createDataFrame([(p,) for p in [*good, *bad]], "path string")).collect()
     for r in rows:
