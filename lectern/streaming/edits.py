@@ -2,39 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.curation import fold_edits
 
 LOG = "seq bigint, edition string, id string, op string, text string"
+#: After so many batches the deltas before are folded into one.
+COMPACT = 16
 
 
 def _generation(path: str, batch: int) -> str:
     return f"{path.rstrip('/')}/state-{batch:010d}"
 
 
-def fold_stream(edits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def _pointer(path: str) -> str:
+    return f"{path.rstrip('/')}/pointer"
+
+
+def _first_live(spark: SparkSession, path: str) -> int:
+    """The batch from which on generations count."""
+    try:
+        return spark.read.schema("first bigint").parquet(_pointer(path)).first()["first"]
+    except Exception as e:  # noqa: BLE001 - the pointer isn't written before the first compaction
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0
+
+
+def _generations(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    return spark.read.schema(LOG).parquet(*[_generation(path, n) for n in range(first, last + 1)])
+
+
+def fold_stream(edits: DataFrame, path: str, checkpoint: str, compact: int = COMPACT) -> StreamingQuery:
     """Fold all edits that are there into the state under `path`, and stop.
 
-    A batch writes a whole new generation from the one before it, and a batch that is run again overwrites its own: the
-    state comes out the same after a lost driver.
+    A batch writes its own last edits only, a delta. Every `compact` batches the deltas so far become one generation,
+    which a pointer names as the first that counts; those before it are no longer read. A batch that is run again
+    overwrites what it wrote: the state comes out the same after a lost driver.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.select("seq", "edition", "id", "op", "text")
-        if number:
-            old = spark.read.schema(LOG).parquet(_generation(path, number - 1))
-            new = new.unionByName(old)
-        fold_edits(new).write.mode("overwrite").parquet(_generation(path, number))
+        if number and number % compact == 0:
+            old = _generations(spark, path, _first_live(spark, path), number - 1)
+            fold_edits(new.unionByName(old)).select("seq", "edition", "id", "op", "text").write.mode("overwrite").parquet(_generation(path, number))
+            spark.range(1).select(F.lit(number).cast("long").alias("first")).write.mode("overwrite").parquet(_pointer(path))
+        else:
+            fold_edits(new).select("seq", "edition", "id", "op", "text").write.mode("overwrite").parquet(_generation(path, number))
 
     return edits.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def folded_state(spark, path: str) -> DataFrame:
-    """The newest generation."""
-    files = spark.read.schema(LOG).parquet(f"{path.rstrip('/')}/state-*").withColumn("_g", F.regexp_extract("_metadata.file_path", r"state-([0-9]+)", 1))
-    last = files.agg(F.max("_g")).first()[0]
-    return files.where(F.col("_g") == last).drop("_g")
+def folded_state(spark: SparkSession, path: str) -> DataFrame:
+    """The last edit of each (edition, id): the generations that count, folded."""
+    live = spark.read.schema(LOG).parquet(f"{path.rstrip('/')}/state-*")
+    number = F.regexp_extract("_metadata.file_path", "state-([0-9]+)", 1).cast("long")
+    return fold_edits(live.where(number >= _first_live(spark, path)))
