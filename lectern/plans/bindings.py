@@ -21,11 +21,11 @@ VIEWS = {
         SELECT concat('ed_', CAST(l_suppkey AS STRING)) AS edition, i.id, i.month AS anchor_month, i.day AS anchor_day,
                CAST(CASE WHEN l_orderkey % 10 = 0 THEN month(l_shipdate) ELSE i.month END AS INT) AS month,
                CAST(CASE WHEN l_orderkey % 10 = 0 THEN day(l_shipdate) ELSE i.day END AS INT) AS day,
-               l_orderkey, l_linenumber, concat(i.p_name, ' ', CAST(l_orderkey AS STRING), '.', CAST(l_linenumber AS STRING)) AS text
+               l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate, concat(i.p_name, ' ', CAST(l_orderkey AS STRING), '.', CAST(l_linenumber AS STRING)) AS text
         FROM lineitem JOIN b_ids i ON l_partkey = i.p_partkey""",
     "b_elogia": """
         SELECT edition, id, anchor_month, anchor_day, month, day, text,
-               CAST(row_number() OVER (PARTITION BY edition, month, day ORDER BY l_orderkey, l_linenumber, id) AS INT) AS pos
+               CAST(row_number() OVER (PARTITION BY edition, month, day ORDER BY l_orderkey, l_linenumber, id, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS pos, l_orderkey
         FROM b_printed""",
     "b_requests": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN concat('N', chr(65 + c_nationkey)) END AS nation,
@@ -37,6 +37,21 @@ VIEWS = {
         SELECT event_id AS seq, user_id AS "user", CASE event_type WHEN 'click' THEN 'reader' WHEN 'view' THEN 'editor' WHEN 'purchase' THEN 'admin' ELSE event_type END AS relation,
                concat('ed_', CAST(user_id % 10 AS STRING)) AS body, CASE WHEN event_id % 3 = 0 THEN 'revoke' ELSE 'grant' END AS op
         FROM events""",
+    "b_edits": """
+        SELECT e.event_id AS seq, concat('u', CAST(e.user_id % 7 AS STRING)) AS branch,
+               CASE WHEN e.event_id % 13 = 0 THEN 'ed_none' ELSE concat('ed_', CAST(e.event_id * 7 % (SELECT count(*) FROM supplier) AS STRING)) END AS edition,
+               CASE WHEN e.event_id % 17 = 0 THEN concat(i.id, '-x') ELSE i.id END AS id, i.month,
+               CAST(CASE WHEN e.event_id % 11 = 0 THEN NULL WHEN e.event_id % 19 = 0 THEN 31 ELSE i.day END AS INT) AS day,
+               CASE e.event_type WHEN 'click' THEN 'put' WHEN 'signup' THEN 'put' WHEN 'error' THEN 'delete' ELSE 'patch' END AS op,
+               concat(upper(i.p_name), ' ', CAST(e.event_id AS STRING)) AS text, CAST(CASE WHEN e.event_id % 5 <> 0 THEN e.event_id % 6 END AS INT) AS position
+        FROM events e JOIN b_ids i ON i.p_partkey = e.event_id % (SELECT count(*) FROM part)""",
+    "b_subjects": """
+        SELECT 'la' AS locale, id, concat('Sanctus ', p_name) AS subject FROM b_ids WHERE p_partkey % 13 <> 0
+        UNION ALL SELECT 'en' AS locale, id, concat('Saint ', p_name) AS subject FROM b_ids WHERE p_partkey % 3 = 0""",
+    "b_days": """
+        SELECT edition, month, day, concat('dies ', CAST(day AS STRING)) AS titulus, CASE WHEN day % 3 = 0 THEN 'Et alibi' END AS conclusio,
+               CAST(substr(edition, 4) AS INT) % 4 = 1 AND month * day % 5 = 0 AS unaligned
+        FROM (SELECT DISTINCT edition, month, day FROM b_printed) d""",
 }
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import canonical as C
-from lectern.operators import curation, placement
+from lectern.functions.arrays import places
+from lectern.operators import curation, edits, placement
 from lectern.plans.bindings import bind, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,21 +26,8 @@ def _query(sql: str, views: bool = True) -> Callable[[Query], Query]:
     return put
 
 
-#: An edit log over printed entries: each order line edits the entry it prints, the later order last.
-_EDITS = """, edits AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq, edition, CASE WHEN l_orderkey % 7 = 0 THEN concat(id, '-x') ELSE id END AS id,
-  CASE WHEN l_orderkey % 3 = 0 THEN 'delete' ELSE 'put' END AS op, upper(text) AS text, month FROM b_printed WHERE l_linenumber % 2 = 0)"""
-
-
-def _edits(printed: DataFrame) -> DataFrame:
-    key = F.col("l_orderkey")
-    return printed.where("l_linenumber % 2 = 0").select(
-        (key * 10 + F.col("l_linenumber")).cast("long").alias("seq"), "edition", F.when(key % 7 == 0, F.concat("id", F.lit("-x"))).otherwise(F.col("id")).alias("id"),
-        F.when(key % 3 == 0, "delete").otherwise("put").alias("op"), F.upper("text").alias("text"), "month",
-    )
-
-
 @_query("""
-, draft AS (SELECT edition, month, day, pos, id, upper(text) AS text FROM b_elogia WHERE month % 3 = 0 AND length(edition) % 2 = 0 AND pos = 1),
+, draft AS (SELECT edition, month, day, pos, id, upper(text) AS text FROM b_elogia WHERE month % 3 = 0 AND length(edition) % 2 = 0 AND pos % 4 > 0),
 m AS (SELECT DISTINCT edition, month FROM b_elogia WHERE month % 3 = 0 AND length(edition) % 2 = 0)
 SELECT edition, month, day, pos, id, text FROM draft UNION ALL
 SELECT e.edition, e.month, e.day, e.pos, e.id, e.text FROM b_elogia e LEFT JOIN m ON e.edition = m.edition AND e.month = m.month WHERE m.edition IS NULL
@@ -48,101 +36,216 @@ def q_j8_u2_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     (elogia,) = bind(spark, sf_dir, "b_elogia")
     published = elogia.select("edition", "month", "day", "pos", "id", "text")
     opened = published.where("month % 3 = 0 and length(edition) % 2 = 0")
-    return curation.overlay(published, opened.where("pos = 1").withColumn("text", F.upper("text")), opened)
+    return curation.overlay(published, opened.where("pos % 4 > 0").withColumn("text", F.upper("text")), opened)
 
 
 @_query("""
-, t AS (SELECT edition, month, CASE WHEN l_orderkey % 9 = 0 THEN concat(id, '-x') ELSE id END AS id, CASE WHEN l_orderkey % 8 = 0 THEN ' ' ELSE text END AS text FROM b_printed),
-j AS (SELECT t.*, i.month AS anchor FROM t LEFT JOIN b_ids i ON t.id = i.id),
-v AS (SELECT edition, 'unknown-id' AS rule FROM j WHERE anchor IS NULL UNION ALL SELECT edition, 'wrong-month' FROM j WHERE anchor <> month UNION ALL SELECT edition, 'empty-text' FROM j WHERE trim(text) = '')
+, t AS (SELECT edition, month, CASE WHEN l_orderkey % 9 = 0 THEN concat(id, '-x') WHEN l_orderkey % 10 = 1 THEN upper(id) ELSE id END AS id,
+        CASE WHEN l_orderkey % 8 = 0 THEN concat(' ', chr(9), chr(10), chr(160)) ELSE text END AS text FROM b_printed),
+j AS (SELECT t.*, i.month AS anchor, regexp_full_match(t.id, 'mr:[0-9]{4}-[a-z0-9-]+') AS sound FROM t LEFT JOIN b_ids i ON t.id = i.id),
+v AS (SELECT edition, 'bad-id' AS rule FROM j WHERE NOT sound UNION ALL SELECT edition, 'unknown-id' AS rule FROM j WHERE sound AND anchor IS NULL UNION ALL SELECT edition, 'wrong-month' FROM j WHERE anchor <> month
+      UNION ALL SELECT edition, 'empty-text' FROM j WHERE trim(text, concat(' ', chr(9), chr(10), chr(160))) = '')
 SELECT edition, rule, count(*) AS n FROM v GROUP BY edition, rule
 """)
 def q_c2_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed, ids = bind(spark, sf_dir, "b_printed", "b_ids")
     key = F.col("l_orderkey")
-    texts = printed.select("edition", "month", F.when(key % 9 == 0, F.concat("id", F.lit("-x"))).otherwise(F.col("id")).alias("id"), F.when(key % 8 == 0, " ").otherwise(F.col("text")).alias("text"))
+    id_ = F.when(key % 9 == 0, F.concat("id", F.lit("-x"))).when(key % 10 == 1, F.upper("id")).otherwise(F.col("id"))
+    texts = printed.select("edition", "month", id_.alias("id"), F.when(key % 8 == 0, " \t\n\xa0").otherwise(F.col("text")).alias("text"))
     return curation.violations(texts, ids).groupBy("edition", "rule").agg(F.count("*").alias("n"))
 
 
-@_query(_EDITS + """
-, l AS (SELECT *, row_number() OVER (PARTITION BY edition, id ORDER BY seq DESC) AS n FROM edits)
-SELECT edition, id, op, text, seq FROM l WHERE n = 1
+@_query("""
+, e AS (SELECT *, day % 5 = 2 AS bad, day % 7 = 3 AS extra, day % 11 = 4 AS title FROM b_elogia),
+k AS (SELECT DISTINCT edition, month, day, bad, extra, title FROM e),
+n AS (SELECT edition, month, day, CASE WHEN l_orderkey % 9 = 0 THEN concat(id, '-x') ELSE id END AS told, min(pos) AS pos, arg_max(l_orderkey % 8 = 0, pos) AS empty FROM e WHERE NOT bad GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY edition, month, told ORDER BY day, pos) AS nth FROM n),
+v AS (SELECT edition, 'bad-day' AS rule FROM k WHERE bad UNION ALL SELECT edition, 'unknown-key' AS rule FROM k WHERE NOT bad AND extra UNION ALL SELECT edition, 'bad-field' FROM k WHERE NOT bad AND title
+      UNION ALL SELECT edition, 'unknown-id' FROM d WHERE told LIKE '%-x' UNION ALL SELECT edition, 'empty-text' FROM d WHERE empty UNION ALL SELECT edition, 'repeated-id' FROM d WHERE nth > 1)
+SELECT edition, rule, count(*) AS n FROM v GROUP BY edition, rule
 """)
+def q_c1_u5_validate_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month documents are built as JSON, with every kind of fault, and read again by the check."""
+    elogia, ids = bind(spark, sf_dir, "b_elogia", "b_ids")
+    key, day = F.col("l_orderkey"), F.col("day")
+    json = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    id_ = F.when(key % 9 == 0, F.concat("id", F.lit("-x"))).otherwise(F.col("id"))
+    entry = F.concat(json(id_), F.lit(":"), F.when(key % 8 == 0, F.lit('" \\t"')).otherwise(json(F.col("text"))))
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]), ",")
+    days = elogia.groupBy("edition", "month", "day").agg(entries.alias("entries"))
+    body = F.concat(F.lit('{"titulus":'), F.when(day % 11 == 4, "5").otherwise("null"), F.when(day % 7 == 3, ',"more":1').otherwise(""), F.lit(',"elogia":{'), "entries", F.lit("}}"))
+    told = F.concat(F.lit('"'), F.when(day % 5 == 2, F.concat(F.lit("0"), day.cast("string"))).otherwise(day.cast("string")), F.lit('":'), body)
+    months = days.withColumn("told", F.struct("day", told.alias("t"))).groupBy("edition", "month").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list("told")), lambda x: x["t"]), ","), F.lit("}")).alias("raw"))
+    return edits.validate_days(months, ids).groupBy("edition", "rule").agg(F.count("*").alias("n"))
+
+
+_LAST = """
+, l AS (SELECT *, row_number() OVER (PARTITION BY edition, id ORDER BY seq DESC) AS n FROM b_edits),
+f AS (SELECT *, row_number() OVER (PARTITION BY edition, id ORDER BY month <> anchor_month, month, day, pos) = 1 AS first FROM b_elogia)
+"""
+
+
+@_query(_LAST + """, b AS (SELECT *, row_number() OVER (PARTITION BY branch, edition, id ORDER BY seq DESC) AS k FROM b_edits) SELECT branch, edition, id, op, text, seq FROM b WHERE k = 1""")
 def q_c9_fold_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (printed,) = bind(spark, sf_dir, "b_printed")
-    return curation.fold_edits(_edits(printed))
+    return curation.fold_edits(bind(spark, sf_dir, "b_edits")[0]).select("branch", "edition", "id", "op", "text", "seq")
 
 
-@_query(_EDITS + """
-, l AS (SELECT *, row_number() OVER (PARTITION BY edition, id ORDER BY seq DESC) AS n FROM edits)
-SELECT e.edition, e.month, e.day, e.pos, e.id, coalesce(l.text, e.text) AS text
-FROM b_elogia e LEFT JOIN (SELECT * FROM l WHERE n = 1) l ON e.edition = l.edition AND e.id = l.id WHERE l.op IS NULL OR l.op <> 'delete'
+@_query(_LAST + """
+SELECT f.edition, f.month, f.day, f.pos, f.id, CASE WHEN f.first AND l.op IS NOT NULL THEN l.text ELSE f.text END AS text
+FROM f LEFT JOIN l ON l.n = 1 AND f.edition = l.edition AND f.id = l.id WHERE l.op IS NULL OR NOT f.first OR l.op <> 'delete'
 """)
 def q_c4_c5_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    printed, elogia = bind(spark, sf_dir, "b_printed", "b_elogia")
-    return curation.apply_edits(elogia.select("edition", "month", "day", "pos", "id", "text"), _edits(printed))
+    """The last edit of every id, at the first place where the edition prints it."""
+    log, elogia = bind(spark, sf_dir, "b_edits", "b_elogia")
+    return curation.apply_edits(elogia, log.drop("branch")).select("edition", "month", "day", "pos", "id", "text")
 
 
-@_query(_EDITS + """
-, k AS (SELECT DISTINCT edition, id FROM b_printed WHERE l_orderkey % 2 = 0)
-SELECT seq, CASE WHEN i.id IS NULL THEN 'unknown-id' ELSE 'not-in-edition' END AS error
-FROM edits e LEFT JOIN b_ids i ON e.id = i.id LEFT JOIN k ON e.edition = k.edition AND e.id = k.id WHERE i.id IS NULL OR k.id IS NULL
+@_query("""
+, k AS (SELECT DISTINCT edition, id FROM b_elogia),
+j AS (SELECT e.seq, e.op, e.day, b.id AS known_edition, b.s_suppkey % 4 = 0 AS flat, i.month AS anchor, k.id AS printed
+      FROM b_edits e LEFT JOIN b_editions b ON e.edition = b.id LEFT JOIN b_ids i ON e.id = i.id LEFT JOIN k ON e.edition = k.edition AND e.id = k.id),
+r AS (SELECT seq, CASE WHEN known_edition IS NULL THEN 'unknown-edition' WHEN anchor IS NULL THEN 'invalid-payload' WHEN op = 'put' AND NOT flat AND day IS NULL THEN 'day-required'
+        WHEN op = 'put' AND NOT flat AND day > [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][anchor] THEN 'invalid-payload' WHEN op <> 'put' AND printed IS NULL THEN 'unknown-eulogy' END AS error FROM j)
+SELECT seq, error FROM r WHERE error IS NOT NULL
 """)
 def q_c12_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    printed, ids = bind(spark, sf_dir, "b_printed", "b_ids")
-    return curation.rejected(_edits(printed), printed.where("l_orderkey % 2 = 0"), ids)
+    log, editions, ids, elogia = bind(spark, sf_dir, "b_edits", "b_editions", "b_ids", "b_elogia")
+    shapes = editions.select(F.col("id").alias("edition"), F.when(F.col("s_suppkey") % 4 == 0, "flat").otherwise("days").alias("shape"))
+    return edits.refused(log, editions, ids, shapes, elogia)
 
 
 @_query("""
-, h AS (SELECT edition, month, sha256(string_agg(concat(lpad(CAST(day AS STRING), 2, '0'), '-', lpad(CAST(pos AS STRING), 4, '0'), chr(10), id, chr(10), text), chr(10) ORDER BY day, pos)) AS hash FROM b_elogia GROUP BY edition, month)
-SELECT month(o_orderdate) AS m, count(*) AS n, sum(CASE WHEN hash IS NULL THEN 1 ELSE 0 END) AS no_month, md5(string_agg(concat(CAST(o_orderkey AS STRING), coalesce(hash, '-')), ',' ORDER BY o_orderkey)) AS seqs
-FROM orders LEFT JOIN h ON h.edition = concat('ed_', CAST(o_custkey % 100 AS STRING)) AND h.month = month(o_orderdate) GROUP BY month(o_orderdate)
+, p AS (SELECT *, row_number() OVER (PARTITION BY edition, month, day ORDER BY seq DESC) AS n FROM b_edits WHERE op = 'put' AND day IS NOT NULL),
+u AS (SELECT edition, month, day, id, text, position FROM p WHERE n = 1),
+o AS (SELECT e.edition, e.month, e.day, e.id, e.text, u.id AS uid, u.position, row_number() OVER (PARTITION BY e.edition, e.month, e.day ORDER BY e.pos) AS r
+      FROM b_elogia e LEFT JOIN u ON e.edition = u.edition AND e.month = u.month AND e.day = u.day WHERE u.id IS NULL OR u.id <> e.id),
+c AS (SELECT edition, month, day, count(*) AS n FROM o GROUP BY ALL)
+SELECT edition, month, day, id, text, CAST(CASE WHEN uid IS NOT NULL AND position IS NOT NULL AND r > greatest(position - 1, 0) THEN r + 1 ELSE r END AS INT) AS pos FROM o
+UNION ALL SELECT u.edition, u.month, u.day, u.id, u.text, CAST(least(CASE WHEN position IS NULL THEN 1000000000 ELSE greatest(position - 1, 0) END, coalesce(c.n, 0)) + 1 AS INT) AS pos FROM u LEFT JOIN c ON u.edition = c.edition AND u.month = c.month AND u.day = c.day
 """)
-def q_c8_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (elogia,) = bind(spark, sf_dir, "b_elogia")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    edits = orders.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("ed_"), (F.col("o_custkey") % 100).cast("string")).alias("edition"), F.month("o_orderdate").alias("month"), F.lit("stale").alias("expected_hash"))
-    found = curation.conflicts(edits, elogia)
-    told = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("current_hash", F.lit("-")).alias("h")))), lambda x: F.concat(x["seq"].cast("string"), x["h"]))
-    return found.groupBy(F.col("month").alias("m")).agg(F.count("*").alias("n"), F.count_if(F.col("current_hash").isNull()).alias("no_month"), F.md5(F.array_join(told, ",")).alias("seqs"))
+def q_c3_put_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last put of every day, at its position."""
+    log, elogia = bind(spark, sf_dir, "b_edits", "b_elogia")
+    last = F.max_by(F.struct("id", "text", "position"), "seq").alias("e")
+    new = log.where("op = 'put' and day is not null").groupBy("edition", "month", "day").agg(last).select("edition", "month", "day", "e.*")
+    return edits.put_entries(elogia, new)
+
+
+def q_c9_apply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log of every branch, in order, on the months that it touches."""
+    log, elogia = bind(spark, sf_dir, "b_edits", "b_elogia")
+    touched = log.select("branch", "edition", "month").distinct()
+    return edits.apply_log(elogia.join(touched, ["edition", "month"]), log.where("op <> 'patch' and (op <> 'put' or day is not null)"))
+
+
+QUERIES["q_c9_apply_log"] = q_c9_apply_log
 
 
 @_query("""
+, d AS (SELECT edition, month, day, min(pos) AS a, max(pos) AS z, count(DISTINCT id) = count(*) AS once FROM b_elogia GROUP BY ALL)
+SELECT e.edition, e.month, e.day, e.id, CAST(CASE WHEN e.day % 2 = 0 AND e.month % 4 > 0 AND d.once THEN d.z + 1 - e.pos ELSE e.pos END AS INT) AS pos,
+       CASE WHEN e.day % 4 = 0 AND (e.day % 2 > 0 OR e.month % 4 > 0 AND d.once) THEN NULL WHEN e.day % 4 = 1 THEN 'novus' ELSE b.titulus END AS titulus, CASE WHEN e.day % 2 = 0 AND NOT (e.month % 4 > 0 AND d.once) AND (e.month % 4 = 0) THEN 'bad-order' END AS error
+FROM b_elogia e JOIN d USING (edition, month, day) JOIN b_days b USING (edition, month, day) WHERE d.once
+""")
+def q_c6_patch_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even days are asked to be reversed, those of every fourth month by an order that lacks an id and is refused."""
+    elogia, days = bind(spark, sf_dir, "b_elogia", "b_days")
+    key, day = ["edition", "month", "day"], F.col("day")
+    once = elogia.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "id")), asc=False).alias("e")).select(*key, F.transform("e", lambda x: x["id"]).alias("ids")).where(F.size("ids") == F.size(F.array_distinct("ids")))
+    order = F.when(day % 2 == 0, F.when(F.col("month") % 4 == 0, F.concat("ids", F.array(F.lit("mr:none")))).otherwise(F.col("ids")))
+    asked = once.select(*key, F.when(day % 4 == 1, "novus").alias("titulus"), (day % 4 <= 1).alias("set_titulus"), F.lit(None).cast("string").alias("conclusio"), F.lit(False).alias("set_conclusio"), order.alias("order"))
+    plain = elogia.join(once.select(*key), key, "left_semi").select(*key, "pos", "id", "text")
+    new_days, entries, errors = edits.patch_days(days, plain, asked)
+    return entries.join(new_days, key).join(errors, key, "left").select(*key, "id", "pos", "titulus", "error")
+
+
+@_query("""
+, m AS (SELECT DISTINCT edition, month FROM b_edits WHERE op = 'put'), n AS (SELECT edition, month, day, CAST(row_number() OVER (PARTITION BY edition, month, day ORDER BY seq) AS INT) AS pos, id, text FROM b_edits WHERE op = 'put' AND day IS NOT NULL)
+SELECT edition, month, day, pos, id, text FROM n UNION ALL
+SELECT e.edition, e.month, e.day, e.pos, e.id, e.text FROM b_elogia e LEFT JOIN m ON e.edition = m.edition AND e.month = m.month WHERE m.edition IS NULL
+""")
+def q_c7_put_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, elogia = bind(spark, sf_dir, "b_edits", "b_elogia")
+    new = log.where("op = 'put'")
+    turn = F.row_number().over(Window.partitionBy("edition", "month", "day").orderBy("seq"))
+    put = new.where("day is not null").withColumn("pos", turn).select("edition", "month", "day", "pos", "id", "text")
+    return edits.put_months(elogia.select("edition", "month", "day", "pos", "id", "text"), new, put)
+
+
+@_query("""
+SELECT id AS edition, CASE WHEN s_suppkey % 3 = 0 THEN concat('shape=flat;year=', year) WHEN s_suppkey % 3 = 1 THEN concat('note=new;shape=days;year=', year) ELSE concat('note=', nature, ';shape=days;year=', year) END AS meta,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'private' ELSE 'public' END AS repository
+FROM b_editions
+""")
+def q_c7_c10_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata patched: a third loses its note and changes shape, a third gets another note; with the place of its texts."""
+    (editions,) = bind(spark, sf_dir, "b_editions")
+    k, string = F.col("s_suppkey"), lambda c: c.cast("string")
+    meta = editions.select(F.col("id").alias("edition"), F.create_map(F.lit("note"), F.col("nature"), F.lit("shape"), F.lit("days"), F.lit("year"), string(F.col("year"))).alias("meta"))
+    fields = F.when(k % 3 == 0, F.create_map(F.lit("note"), F.lit(None).cast("string"), F.lit("shape"), F.lit("flat"))).otherwise(F.create_map(F.lit("note"), F.lit("new")))
+    patched = edits.patch_meta(meta, editions.where("s_suppkey % 3 < 2").select(F.col("id").alias("edition"), fields.alias("fields")))
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    closed = editions.where("s_suppkey % 5 = 0").select(F.col("id").alias("edition"))
+    return edits.routed(patched.select("edition", told.alias("meta")), closed)
+
+
+_HASHES = """
 , h AS (SELECT edition, month, sha256(string_agg(concat(lpad(CAST(day AS STRING), 2, '0'), '-', lpad(CAST(pos AS STRING), 4, '0'), chr(10), id, chr(10), text), chr(10) ORDER BY day, pos)) AS hash FROM b_elogia GROUP BY edition, month),
 o AS (SELECT o_orderkey AS seq, concat('ed_', CAST(o_custkey % 100 AS STRING)) AS edition, CAST(month(o_orderdate) AS INT) AS month FROM orders),
 e AS (SELECT o.*, h.hash, CASE WHEN seq % 5 = 0 THEN NULL WHEN seq % 3 = 0 THEN h.hash ELSE 'stale' END AS expected FROM o LEFT JOIN h ON o.edition = h.edition AND o.month = h.month)
-SELECT seq, edition, month, hash AS current_hash, CASE WHEN expected IS NOT NULL AND expected IS DISTINCT FROM hash THEN 'conflict' ELSE 'ok' END AS state FROM e
-""")
-def q_c8_edit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every edit by itself: a fifth expects nothing, a third the month's true hash, the others a stale one."""
+"""
+
+
+def _expecting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edits, a fifth of which expects nothing, a third of the others the month's true hash, the rest a stale one; and the entries."""
     (elogia,) = bind(spark, sf_dir, "b_elogia")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    edits = orders.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("ed_"), (F.col("o_custkey") % 100).cast("string")).alias("edition"), F.month("o_orderdate").alias("month"))
-    seen = edits.join(curation.month_hashes(elogia), ["edition", "month"], "left")
+    asked = orders.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("ed_"), (F.col("o_custkey") % 100).cast("string")).alias("edition"), F.month("o_orderdate").alias("month"))
+    seen = asked.join(curation.month_hashes(elogia), ["edition", "month"], "left")
     expected = F.when(F.col("seq") % 5 == 0, None).when(F.col("seq") % 3 == 0, F.col("current_hash")).otherwise("stale")
-    return curation.check_expected(seen.select("seq", "edition", "month", expected.alias("expected_hash")), elogia)
+    return seen.select("seq", "edition", "month", expected.alias("expected_hash")), elogia
+
+
+@_query(_HASHES + "SELECT seq, edition, month, hash AS current_hash FROM e WHERE expected IS NOT NULL AND expected IS DISTINCT FROM hash")
+def q_c8_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.conflicts(*_expecting(spark, sf_dir))
+
+
+@_query(_HASHES + "SELECT seq, edition, month, hash AS current_hash, CASE WHEN expected IS NOT NULL AND expected IS DISTINCT FROM hash THEN 'conflict' ELSE 'ok' END AS state FROM e")
+def q_c8_edit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.check_expected(*_expecting(spark, sf_dir))
 
 
 @_query("""
 , e AS (SELECT DISTINCT p.id AS entry, p.month, p.day, string_split(i.p_name, ' ') AS w FROM b_printed p JOIN b_ids i ON p.id = i.id),
 p AS (SELECT e.entry, c.id, len(list_intersect(w, string_split(c.p_name, ' '))) / len(list_distinct(list_concat(w, string_split(c.p_name, ' ')))) AS score, e.month, e.day
   FROM e JOIN b_ids c ON e.month = c.month AND e.day = c.day),
-r AS (SELECT *, row_number() OVER (PARTITION BY entry, month, day ORDER BY score DESC, id DESC) AS n, lead(score) OVER (PARTITION BY entry, month, day ORDER BY score DESC, id DESC) AS nxt FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY entry, month, day ORDER BY score DESC, id DESC) AS n, lead(score) OVER (PARTITION BY entry, month, day ORDER BY score DESC, id DESC) AS nxt FROM p WHERE score > 0)
 SELECT entry, month, day, id, score FROM r WHERE n = 1 AND (nxt IS NULL OR score - nxt >= 0.3)
 """)
 def q_j10_a7_w10_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed, ids = bind(spark, sf_dir, "b_printed", "b_ids")
     named = ids.select("id", F.split("p_name", " ").alias("names"))
     entries = printed.select("id", "month", "day").distinct().join(named, "id").select(F.col("id").alias("entry"), "month", "day", F.col("names").alias("w"))
-    pairs = entries.join(ids.select("id", "month", "day", F.split("p_name", " ").alias("names")), ["month", "day"])
-    scored = pairs.select("entry", "month", "day", "id", C.jaccard(F.col("w"), F.col("names")).alias("score"))
+    # only ids of the day that share a word are rivals
+    word = lambda df: df.withColumn("word", F.explode(F.array_distinct("names")))
+    shared = word(entries.withColumnRenamed("w", "names")).join(word(ids.select("id", "month", "day", F.split("p_name", " ").alias("names"))).withColumnRenamed("names", "theirs"), ["month", "day", "word"])
+    scored = shared.select("entry", "month", "day", "id", C.jaccard(F.col("names"), F.col("theirs")).alias("score")).distinct()
     return curation.with_margin(scored, ["entry", "month", "day"], "score", ["id"], 0.3)
 
 
-@_query("SELECT i.id, i.month, i.day FROM b_ids i LEFT JOIN (SELECT DISTINCT id FROM b_printed WHERE l_linenumber > 5) p ON i.id = p.id WHERE p.id IS NULL")
+@_query("SELECT i.id, i.month, i.day FROM b_ids i LEFT JOIN (SELECT DISTINCT id FROM b_edits WHERE op = 'put') p ON i.id = p.id WHERE p.id IS NULL")
 def q_j14_unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    printed, ids = bind(spark, sf_dir, "b_printed", "b_ids")
-    return ids.join(printed.where("l_linenumber > 5").select("id"), "id", "left_anti").select("id", "month", "day")
+    """Ids that no put of the edit log names."""
+    log, ids = bind(spark, sf_dir, "b_edits", "b_ids")
+    return ids.join(log.where("op = 'put'").select("id"), "id", "left_anti").select("id", "month", "day")
+
+
+@_query("SELECT e.edition, e.month, e.day, e.pos AS idx FROM b_elogia e LEFT JOIN (SELECT DISTINCT edition, id FROM b_edits WHERE op = 'put') p ON e.edition = p.edition AND e.id = p.id WHERE p.id IS NULL")
+def q_j14_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose id no put of the edit log gives their edition."""
+    log, elogia = bind(spark, sf_dir, "b_edits", "b_elogia")
+    return elogia.join(log.where("op = 'put'").select("edition", "id").distinct(), ["edition", "id"], "left_anti").select("edition", "month", "day", F.col("pos").alias("idx"))
 
 
 @_query("""
@@ -171,24 +274,28 @@ def q_u6_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH r AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0), a AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h FROM documents WHERE doc_id % 3 <> 0)
+WITH r AS (SELECT concat(CASE WHEN doc_id % 5 = 0 THEN 'r/' ELSE 'd/' END, doc_id) AS path, sha256(text) AS h FROM documents WHERE text IS NOT NULL),
+a AS (SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'a/' ELSE 'd/' END, doc_id) AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h FROM documents WHERE text IS NOT NULL)
 SELECT path, CASE WHEN a.h IS NULL THEN 'missing' WHEN r.h IS NULL THEN 'extra' ELSE 'changed' END AS state FROM r FULL JOIN a USING (path) WHERE a.h IS NULL OR r.h IS NULL OR a.h <> r.h
 """, views=False)
 def q_q2_manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, key = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null"), F.col("doc_id")
-    recorded = docs.where(key % 5 != 0).select(key.alias("path"), F.sha2("text", 256).alias("sha256"))
-    actual = docs.where(key % 3 != 0).select(key.alias("path"), F.sha2(F.when(key % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    path = lambda n, other: F.concat(F.when(key % n == 0, other).otherwise("d/"), key.cast("string")).alias("path")
+    recorded = docs.select(path(5, "r/"), F.sha2("text", 256).alias("sha256"))
+    actual = docs.select(path(3, "a/"), F.sha2(F.when(key % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
     return curation.diff_manifest(recorded, actual)
 
 
 @_query("""
-, e AS (SELECT *, CASE WHEN s_suppkey % 4 = 1 THEN concat('ed_', CAST(s_suppkey * 2 AS STRING)) END AS successor FROM b_editions)
-SELECT e.id, e.successor FROM e LEFT JOIN b_editions s ON e.successor = s.id WHERE e.successor IS NOT NULL AND s.id IS NULL
+, e AS (SELECT *, concat('ed_', CAST(s_suppkey * 2 AS STRING)) AS successor, concat('ed_', CAST(s_suppkey - 1 AS STRING)) AS predecessor, CASE WHEN s_suppkey % 6 = 1 THEN concat('c. ', year) ELSE CAST(year AS STRING) END AS promulgated FROM b_editions),
+l AS (SELECT id, 'successor' AS field, successor AS value FROM e UNION ALL SELECT id, 'predecessor', predecessor FROM e)
+SELECT l.id, field, value FROM l LEFT JOIN b_editions s ON l.value = s.id WHERE s.id IS NULL UNION ALL SELECT id, 'promulgated' AS field, promulgated AS value FROM e WHERE NOT regexp_matches(promulgated, '^[0-9]{4}')
 """)
 def q_q4_dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     (editions,) = bind(spark, sf_dir, "b_editions")
-    linked = editions.where("s_suppkey % 4 = 1").select("id", F.concat(F.lit("ed_"), (F.col("s_suppkey") * 2).cast("string")).alias("successor"))
-    return linked.join(editions.select(F.col("id").alias("successor")), "successor", "left_anti").select("id", "successor")
+    k, other = F.col("s_suppkey"), lambda n: F.concat(F.lit("ed_"), n.cast("string"))
+    told = editions.select("id", other(k * 2).alias("successor"), other(k - 1).alias("predecessor"), F.concat(F.when(k % 6 == 1, "c. ").otherwise(""), F.col("year").cast("string")).alias("promulgated"))
+    return curation.dangling_links(told, ["successor", "predecessor"])
 
 
 @_query("""
@@ -208,6 +315,7 @@ c AS (SELECT *, min(CASE WHEN regexp_matches(text, '[#*$%&|<>]') THEN pos END) O
 SELECT doc_id, pos, cut, md5(text) AS text FROM c WHERE cut IS NULL OR pos <= cut
 """, views=False)
 def q_w15_w16_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
-    cut = F.min(F.when(F.col("text").rlike(r"[#*$%&|<>]"), F.col("pos"))).over(Window.partitionBy("doc_id"))
-    return lines.withColumn("cut", cut).where("cut is null or pos <= cut").select("doc_id", "pos", "cut", F.md5("text").alias("text"))
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    first = F.get(places(F.col("lines"), lambda t, i: t.rlike(r"[#*$%&|<>]")), F.lit(0))
+    upto = F.slice("lines", F.lit(1), F.coalesce(F.col("cut") + 1, F.size("lines")))
+    return lines.withColumn("cut", first).select("doc_id", "cut", F.posexplode(upto).alias("pos", "text")).select("doc_id", "pos", "cut", F.md5("text").alias("text"))
