@@ -62,7 +62,7 @@ def stem_hits(stems: DataFrame, tokens: DataFrame) -> DataFrame:
     t = tokens.select("token").where("token is not null").distinct()
     cuts = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in (4, 5, 6)]), lambda n: F.substring(F.col("token"), F.lit(1), n)))
     t = t.select("token", F.explode(F.array_distinct(F.flatten(F.transform(cuts, _deletions)))).alias("key"))
-    pairs = s.join(t, "key").select("stem", "token").distinct().withColumn("cut", F.expr("substring(token, 1, length(stem))"))
+    pairs = kept(s.join(t, "key").select("stem", "token").distinct().withColumn("cut", F.expr("substring(token, 1, length(stem))")))
     exact = pairs.where(F.col("token").startswith(F.col("stem"))).select("stem", "token", F.lit(1.0).alias("hit"))
     near = similarity(pairs.where(~F.col("token").startswith(F.col("stem")) & (F.length("token") >= 4)), "stem", "cut", "ratio").where("ratio >= 0.8")
     return exact.unionByName(near.select("stem", "token", F.lit(0.8).alias("hit")))
@@ -108,9 +108,15 @@ def scored_pairs(entries: DataFrame, ids: DataFrame, words: str, on: list[str],
 
     least_stem, least_jac: what a pair must have of either before its texts are compared letter by letter.
     """
-    both = stem_scores(entries, ids, words, on).join(word_pairs(entries, ids, on), [*ENTRY, "id"], "full")
-    both = both.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("s_stem", "jac")}).where((F.col("s_stem") >= least_stem) & (F.col("jac") >= least_jac))
-    told = both.join(entries.select(*ENTRY, "folded"), ENTRY).join(ids.select("id", "id_text").dropDuplicates(["id"]), "id").withColumn("_text", F.substring("folded", 1, COMPARED))
+    stems = stem_scores(entries, ids, words, on)
+    if least_stem > 0:
+        # a stem is needed: words are compared for such pairs only, and common ones pair nothing
+        sigs = ids.select("id", "id_sig").dropDuplicates(["id"])
+        both = stems.where(F.col("s_stem") >= least_stem).join(entries.select(*ENTRY, "sig"), ENTRY).join(sigs, "id").withColumn("jac", C.jaccard(F.col("sig"), F.col("id_sig"))).drop("sig", "id_sig")
+    else:
+        both = stems.join(word_pairs(entries, ids, on), [*ENTRY, "id"], "full").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("s_stem", "jac")})
+    both = both.where(F.col("jac") >= least_jac)
+    told = kept(both.join(entries.select(*ENTRY, "folded"), ENTRY).join(ids.select("id", "id_text").dropDuplicates(["id"]), "id").withColumn("_text", F.substring("folded", 1, COMPARED)))
     # texts that repeat are compared once
     rates = similarity(told.select("_text", "id_text").distinct(), "_text", "id_text", "s_text")
     rated = told.join(rates, ["_text", "id_text"]).drop("_text", "id_text")
@@ -168,7 +174,7 @@ def match_in_turn(pairs: DataFrame, gap: float, method: str) -> DataFrame:
     pairs: entry key, id, total, all eligible. Entries that share no id, over any number of steps, don't touch one
     another: each such component is walked through in order in one task.
     """
-    key = F.concat_ws("|", *ENTRY)
+    pairs, key = kept(pairs), F.concat_ws("|", *ENTRY)
     edges = pairs.select(F.concat(F.lit("e:"), key).alias("a"), F.concat(F.lit("i:"), "edition", F.lit("|"), "id").alias("b"))
     labels = linked(edges).select(F.col("id").alias("_key"), "label")
     marked = pairs.withColumn("_key", F.concat(F.lit("e:"), key)).join(labels, "_key").drop("_key")

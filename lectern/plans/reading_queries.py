@@ -131,8 +131,8 @@ def q_f25_p14_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", C.fingerprint(F.col("id"), F.col("month"), F.col("entry")).alias("fingerprint"), C.leads_class(F.col("id")).alias("leads"))
 
 
-# Stop words of the registered queries.
-_STOP = ["small", "hot"]
+# Words of the queries' texts that say nothing of a name.
+_STOP = ["romae", "sanctae", "sancti", "beati", "octava", "confessoris", "martyris"]
 #: Text features of every document in SQL. Letters that decompose to several are not in the given texts.
 _FOLD = "regexp_replace(translate(strip_accents(lower(translate(text, 'æœÆŒ', 'eeee'))), 'j', 'i'), '[^a-z ]', ' ', 'g')"
 
@@ -211,17 +211,10 @@ def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def q_m1_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of all editions matched with the ids of their day."""
     entries, ids = _entries(spark, sf_dir)
-    return align.match_same_day(entries, ids, [])
+    return align.match_same_day(entries, ids, _STOP)
 
 
-def q_m3_cross_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the same day leaves, matched with the ids of any day that are free in their edition, in order."""
-    entries, ids = _entries(spark, sf_dir)
-    assigned = align.match_same_day(entries, ids, [])
-    return align.match_cross_day(entries, ids, assigned, [])
-
-
-QUERIES |= {"q_m1_same_day": q_m1_same_day, "q_m3_cross_day": q_m3_cross_day}
+QUERIES |= {"q_m1_same_day": q_m1_same_day}
 
 #: Each edition's best same-day pairs by shared words, as a table that the passes after it start from.
 _ASSIGNED = """
