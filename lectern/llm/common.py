@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,6 +9,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.arrays import let  # noqa: F401 - handed on to the operators
+from lectern.storage import kept as materialize
+from lectern.storage import shared_folder
+
 #: The white space of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
@@ -17,11 +20,6 @@ NOT_WS = r"[^\x20\x09-\x0D]"
 MOST_BROADCAST = 2_000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind `value` once for `body`, so that an expression used at several places is evaluated once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def text_of(col: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -41,23 +39,6 @@ def constant_longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<bigint>")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir. Where that is unset, a temporary one serves a local master only."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it from there: ids drawn in it stay, lost executors cost no lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that `df` lacks, whatever its letters' case."""
     taken, name = {c.lower() for c in df.columns}, stem
