@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, piece_sampling, quality_rules, secret_scan, url_filter, warc_revisit
+from lectern.llm import chat_format, collocations, exact_dedup, jaccard_join, licenses, line_dedup, merkle_manifest, mixing, piece_sampling, quality_rules, secret_scan, url_filter, warc_revisit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_report(turns.unionByName(own))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_exact_dedup, op2_secret_scan, op3_line_dedup, op4_warc_revisit, op5_quality_rules, op6_url_filter, op7_jaccard_join, op8_piece_sampling, op9_mixing, op10_chat_format]
+    own += [op11_merkle_manifest, op12_license_scan, op13_collocations]
     return {f.__name__: f for f in own}
 
 
@@ -138,5 +151,55 @@ FROM e GROUP BY conv_id
 """
 
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP11 = r"""
+WITH RECURSIVE v AS (
+    SELECT doc_id, lang, n_chars, CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS changed,
+           list_transform([doc_id::VARCHAR, source, lang], lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')) AS a, coalesce(octet_length(encode(text)) || ':' || text, '-') AS z
+    FROM documents),
+f AS (SELECT doc_id, lang, sha256(a[1] || a[2] || a[3] || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+             sha256(a[1] || a[2] || a[3] || coalesce(length(changed::VARCHAR) || ':' || changed, '-') || z) AS tampered FROM v),
+l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM f),
+lower_nodes AS (SELECT tree, 0 AS k, pos, n, leaf AS h FROM l
+                UNION ALL SELECT tree, k + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM lower_nodes WHERE n > 1 GROUP BY tree, k, pos // 2, n),
+subs AS (SELECT tree AS place, count(*) OVER () AS n, h FROM lower_nodes WHERE n = 1),
+upper_nodes AS (SELECT 0 AS k, place AS pos, n, h FROM subs
+                UNION ALL SELECT k + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_nodes WHERE n > 1 GROUP BY k, pos // 2, n),
+steps AS (SELECT l.tree, l.pos, m.k AS k, (l.pos >> m.k) % 2 AS odd, s.h
+          FROM l JOIN (SELECT DISTINCT tree, k, n FROM lower_nodes WHERE n > 1) m ON m.tree = l.tree
+          LEFT JOIN lower_nodes s ON s.tree = l.tree AND s.k = m.k AND s.pos = xor(l.pos >> m.k, 1)
+          UNION ALL
+          SELECT l.tree, l.pos, 1000 + m.k, (l.tree >> m.k) % 2, s.h
+          FROM l JOIN (SELECT DISTINCT k, n FROM upper_nodes WHERE n > 1) m ON true
+          LEFT JOIN upper_nodes s ON s.k = m.k AND s.pos = xor(l.tree >> m.k, 1)),
+paths AS (SELECT tree, pos, list({'odd': odd, 'h': h} ORDER BY k) AS path FROM steps GROUP BY tree, pos),
+r AS (SELECT doc_id, leaf, b.h AS subroot, (SELECT h FROM upper_nodes WHERE n = 1) AS root, coalesce(path, []) AS path,
+             CASE WHEN path IS NULL THEN tampered ELSE list_reduce(list_prepend({'odd': 0::BIGINT, 'h': tampered}, path),
+                  lambda acc, x: {'odd': 0::BIGINT, 'h': sha256(CASE WHEN x.h IS NULL THEN acc.h WHEN x.odd = 1 THEN x.h || acc.h ELSE acc.h || x.h END)}).h END AS folded_root
+      FROM l JOIN subs b ON b.place = l.tree LEFT JOIN paths USING (tree, pos))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: coalesce(x.h, '')), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM r
+"""
+
+_OP13 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT lang, k, g, count(*) AS a
+      FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g FROM p, unnest([1, 2, 3, 4]) AS t(k)) GROUP BY ALL),
+t AS (SELECT lang, sum(a)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE k > 1 AND a >= 30),
+cuts AS (SELECT c.*, i, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS score
+         FROM (SELECT c.*, unnest(range(1, k)) AS i FROM c) c JOIN g l ON l.lang = c.lang AND l.g = c.g[1:i] JOIN g r ON r.lang = c.lang AND r.g = c.g[i + 1:c.k]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1),
+inside AS (SELECT lang, sub, max(a) AS most
+           FROM (SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: g[i:i + m - 1])) AS sub FROM c, unnest([2, 3]) AS t(m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.sub = b.g
+         WHERE s.most IS NULL OR 100 * s.most < 80 * b.a)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM kept JOIN t USING (lang)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_line_dedup": _OP3, "op4_warc_revisit": _OP4, "op6_url_filter": _OP6, "op10_chat_format": _OP10}
+    return {"op1_exact_dedup": _OP1, "op3_line_dedup": _OP3, "op4_warc_revisit": _OP4, "op6_url_filter": _OP6, "op10_chat_format": _OP10, "op11_merkle_manifest": _OP11, "op13_collocations": _OP13}
