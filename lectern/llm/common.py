@@ -35,6 +35,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Each element of an array combined with all before it, by doubling: n log n steps for n elements.
+
+    combine(element, earlier) is associative and takes a null `earlier` for none.
+    """
+    back = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    return F.aggregate(steps, values, lambda acc, k: F.transform(acc, lambda x, i: combine(x, F.get(acc, i - back(k)))))
+
+
 def constant_doubles(values: list[float]) -> Column:
     """A short array of doubles (a model of fixed size) as one folded literal."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")

@@ -13,7 +13,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import constant_doubles, let, materialize, text_of
+from lectern.llm.common import constant_doubles, let, materialize, running, text_of
 
 # Fixed values of the contract: the patterns, in the order in which kinds are listed.
 ASSIGN_HEAD = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
@@ -36,28 +36,37 @@ ALPHABETS = {"base32": _UPPER + "234567", "upper": _UPPER + _DIGITS, "base62": _
 def _matches(text: Column, pattern: str, order: int) -> Column:
     """All leftmost non-overlapping matches as structs (start, kind order, stop, match).
 
-    The pieces between the matches give the positions: the i-th match starts after i + 1 pieces and i matches.
+    The pieces between the matches give the positions: the i-th match starts after i + 1 pieces and i matches. The sums
+    are made by doubling, so that a text of n matches takes n log n steps.
     """
 
     def placed(found: Column) -> Column:
-        def step(acc: Column, piece: Column) -> Column:
-            i = F.size(acc["out"])
-            match = F.get(found, i)
-            start = acc["at"] + F.char_length(piece)
-            stop = start + F.char_length(match)
-            return F.when(match.isNull(), acc).otherwise(
-                F.struct(
-                    stop.alias("at"),
-                    F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), stop.alias("stop"), match.alias("match")))).alias("out"),
-                )
-            )
-
-        nothing = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-        return F.aggregate(F.split(text, pattern, -1), nothing, step)["out"]
+        before = lambda i: F.coalesce(F.char_length(F.get(found, i - 1)), F.lit(0))
+        steps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda piece, i: F.char_length(piece) + before(i))
+        starts = running(steps, lambda x, earlier: x + F.coalesce(earlier, F.lit(0)))
+        return F.zip_with(starts, found, lambda start, match: F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + F.char_length(match)).alias("stop"), match.alias("match")))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(placed(found)))
 
 
+def _outside(long: Column, base: Column) -> Column:
+    """The spans of `long` that overlap none of `base`, by one merge of both in the order of their starts.
+
+    A base span at or before a token's start overlaps it if one of them reaches beyond that start, a later one if the
+    next of them starts before the token's end.
+    """
+    told = lambda spans, mine: F.transform(spans, lambda m, i: F.struct(m["start"].alias("start"), F.lit(mine).alias("mine"), m["stop"].alias("stop"), i.alias("at")))
+
+    def left(merged: Column) -> Column:
+        reach = running(F.transform(merged, lambda m: F.when(m["mine"], 0).otherwise(m["stop"])), lambda x, earlier: F.greatest(x, earlier))
+        following = F.reverse(running(F.reverse(F.transform(merged, lambda m: F.when(m["mine"], 2**31 - 1).otherwise(m["start"]))), lambda x, later: F.least(x, later)))
+        clear = let(reach, lambda r: let(following, lambda f: F.filter(merged, lambda m, i: m["mine"] & (F.get(r, i) <= m["start"]) & (F.get(f, i) >= m["stop"]))))
+        return F.transform(clear, lambda m: F.get(long, m["at"]))
+
+    both = let(F.sort_array(F.concat(told(long, True), told(base, False))), left)
+    return F.when((F.size(long) == 0) | (F.size(base) == 0), long).otherwise(both)
+
+
 def _value(match: Column) -> Column:
     """What an assign match gives as its value."""
     return F.regexp_replace(match, "^" + ASSIGN_HEAD, "")
@@ -78,13 +87,12 @@ def find_candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         _matches(F.col("text"), CANDIDATE, 3).alias("long"),
         F.array_min(F.transform(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))["w"].alias("ordinary"),
     )
-    base = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    outside = lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
+    base = found.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
     covers = lambda w: F.exists("base", lambda b: F.contains(b["match"], w))
     return base.select(
         "doc_id",
         "base",
-        F.filter("long", outside).alias("long"),
+        _outside(F.col("long"), F.col("base")).alias("long"),
         F.concat(F.transform("assign", lambda m: _value(m["match"])), F.transform(F.concat("access", "hex"), lambda m: m["match"])).alias("random"),
         F.when(~covers(F.col("ordinary")), F.col("ordinary")).alias("ordinary"),
     )
@@ -157,7 +165,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     found = materialize(find_candidates(docs, text_col, id_col))
     model = learned(found, samples, limit, known)
     judged = F.filter("long", lambda m: ratio(m["match"], model) >= threshold)
-    spans = F.array_sort(F.transform(F.concat("base", judged), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop"))))
+    spans = F.sort_array(F.transform(F.concat("base", judged), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop"))))
     return found.select("doc_id", spans.alias("spans"))
 
 
