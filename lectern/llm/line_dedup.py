@@ -49,7 +49,9 @@ def line_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     spark = docs.sparkSession
     ways = ways or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    lines = text.select("id", F.xxhash64("text").alias("th"), F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("id", "th", "pos", trimmed(F.col("line")).alias("line"))
+    # hashed and split before the lines are laid out: else the text would be hashed again for every line
+    split = text.select("id", F.xxhash64("text").alias("th"), _lines(F.col("text")).alias("lines"))
+    lines = split.select("id", "th", F.posexplode("lines").alias("pos", "line")).select("id", "th", "pos", trimmed(F.col("line")).alias("line"))
     key = folded(F.col("line"))
     keyed = lines.where(F.char_length("line") >= min_chars).select(
         F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), "id", "th", "pos", F.pmod(F.xxhash64("id"), F.lit(ways)).cast("int").alias("way")
@@ -70,9 +72,9 @@ def line_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def _kept(lines: Column, words: Column) -> Column:
-    """The lines whose bit is set. The sparse words are laid out once, so that a line is one look-up."""
-    upto = F.sequence(F.lit(0), F.element_at(words, -1)["word"])
-    dense = F.transform(upto, lambda at: F.get(F.filter(words, lambda w: w["word"] == at), F.lit(0))["keep"])
+    """The lines whose bit is set. The sparse words are laid out once, by the gaps between them, so that a line is one look-up."""
+    gap = lambda w, i: w["word"] - F.coalesce(F.get(words, i - 1)["word"], F.lit(-1)) - 1
+    dense = F.flatten(F.transform(words, lambda w, i: F.concat(F.array_repeat(F.lit(-1).cast("long"), gap(w, i)), F.array(w["keep"]))))
     stays = lambda word, i: F.coalesce(F.getbit(word, i % 64) == 1, F.lit(True))
     kept = let(dense, lambda d: F.filter(lines, lambda line, i: stays(F.get(d, F.floor(i / 64).cast("int")), i)))
     return F.when(words.isNull(), lines).otherwise(kept)
