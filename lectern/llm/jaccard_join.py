@@ -34,8 +34,8 @@ SKETCH_BITS = 18
 PACK = 1 << 12
 #: How many of the shared shingles before one are looked at to tell whether a pair was made at an earlier one.
 LOOK_BACK = 4
-#: Largest Bloom filter of wanted ids, in 64-bit words.
-BLOOM_WORDS = 1 << 13
+#: Largest Bloom filter of wanted ids, in 64-bit words: 1 MB, which lets few others through for a million ids and more.
+BLOOM_WORDS = 1 << 17
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ def _maybe_in(key: Column, keys: DataFrame) -> Column:
 def _fetched(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(sid, shingles) of the wanted sets (sid, doc_id, d1, d2), read from their texts again.
 
-    A Bloom filter of fixed size over the wanted ids leaves most other texts out before they are unpacked.
+    A Bloom filter over the wanted ids, of 11 bits an id, leaves most other texts out before they are unpacked.
     """
     wanted = wanted.withColumn("key", F.xxhash64("doc_id"))
     holds = _maybe_in(F.xxhash64("doc_id"), wanted.select("key"))
