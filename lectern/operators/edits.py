@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.arrays import scan
 from lectern.functions.canonical import DAYS, is_canonical, stripped
 from lectern.sources.registry import members
+from lectern.storage import kept
 
 #: What a day of a month document may hold.
 DAY_KEYS = ["titulus", "elogia", "conclusio"]
@@ -134,36 +135,98 @@ def refused(edits: DataFrame, editions: DataFrame, ids: DataFrame, shapes: DataF
     return d.select("seq", error.alias("error")).where("error is not null")
 
 
-def _insert(rows: list[tuple[str, str]], id_: str, text: str, position: int | None) -> list[tuple[str, str]]:
-    rest = [r for r in rows if r[0] != id_]
-    at = len(rest) if position is None or pd.isna(position) else max(0, int(position) - 1)
-    return [*rest[:at], (id_, text), *rest[at:]]
+#: What an edit of a log may hold besides branch, seq, edition, month and op; what is absent is null.
+EDIT_FIELDS = {
+    "day": "int", "id": "string", "text": "string", "position": "int", "titulus": "string", "set_titulus": "boolean",
+    "conclusio": "string", "set_conclusio": "boolean", "order": "array<string>",
+}
+_OP = "struct<seq:bigint,op:string,month:int,day:int,id:string,text:string,position:int>"
 
 
-def apply_log(elogia: DataFrame, log: DataFrame) -> DataFrame:
-    """Entries (branch, edition, month, day, pos, id, text) after a log of edits (branch, seq, edition, month, day, id, op, text, position).
+def _located(elogia: DataFrame, log: DataFrame) -> DataFrame:
+    """The edits of entries with the day that each of them meets, null where the id is nowhere then.
 
-    Edits of a place depend on one another, so those of one (branch, edition, month) are folded in the order of seq in
-    one task: put, and delete, which takes the first entry of the id in the month away. A log of another month of the
-    branch lies in another task. What lies on no branch must be given the branch that it is read on.
+    The edits of one id on one branch and edition are folded in the order of seq over the set of days that print it: a put
+    adds its day, a delete takes the first day away, a patch meets the first. The month of the id's anchor comes first,
+    then the other months, then the days. What else is edited doesn't move an id from day to day.
     """
-    key = ["branch", "edition", "month"]
-    entry = elogia.select(*key, F.lit(None).cast("long").alias("seq"), "day", "pos", "id", F.lit("is").alias("op"), "text", F.lit(None).cast("int").alias("position"))
-    edit = log.select(*key, F.col("seq").cast("long").alias("seq"), "day", F.lit(0).alias("pos"), "id", "op", "text", F.col("position").cast("int").alias("position"))
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in elogia.select(*key, "day", "pos", "id", "text").schema)
-
-    def fold(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        days: dict[int, list[tuple[str, str]]] = {}
-        for r in pdf[pdf["op"] == "is"].sort_values(["day", "pos"]).itertuples():
-            days.setdefault(r.day, []).append((r.id, r.text))
-        for r in pdf[pdf["op"] != "is"].sort_values("seq").itertuples():
-            if r.op == "put":
-                days[r.day] = _insert(days.get(r.day, []), r.id, r.text, r.position)
-            elif r.op == "delete":
-                day = next((d for d in sorted(days) if any(i == r.id for i, _ in days[d])), None)
-                if day is not None:
-                    days[day] = [x for x in days[day] if x[0] != r.id]
-        rows = [(*k, d, n, i, t) for d in sorted(days) for n, (i, t) in enumerate(days[d], 1)]
-        return pd.DataFrame(rows, columns=[*key, "day", "pos", "id", "text"])
-
-    return entry.unionByName(edit).groupBy(*key).applyInPandas(fold, ddl)
+    key = ["branch", "edition", "id"]
+    asked = log.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("seq", "op", "month", "day", "id", "text", "position"))).alias("edits"), F.first("month").alias("anchor"))
+    printed = elogia.select(*key, "month", "day").join(asked.select(*key), key, "left_semi").groupBy(*key).agg(F.collect_set(F.struct("month", "day")).alias("days"))
+    place = lambda month, day: F.struct((month != F.col("anchor")).alias("away"), month.alias("month"), day.alias("day"))
+    begun = F.transform(F.coalesce("days", F.array().cast("array<struct<month:int,day:int>>")), lambda d: place(d["month"], d["day"]))
+
+    def step(places: Column, e: Column) -> Column:
+        own = place(e["month"], e["day"])
+        meets = F.when(e["op"] == "put", own).otherwise(F.array_min(places))
+        after = F.when(e["op"] == "put", F.array_union(places, F.array(own))).when(e["op"] == "delete", F.array_except(places, F.array(meets))).otherwise(places)
+        out = F.struct(e["seq"].alias("seq"), e["op"].alias("op"), meets["month"].alias("month"), meets["day"].alias("day"), e["id"].alias("id"), e["text"].alias("text"), e["position"].alias("position"))
+        return F.struct(after.alias("state"), out.alias("out"))
+
+    found = asked.join(printed, key, "left").select("branch", "edition", F.explode(scan(F.col("edits"), begun, step, _OP)).alias("e"))
+    return found.select("branch", "edition", "e.*")
+
+
+def _folded_day(entries: Column, there: Column, titulus: Column, conclusio: Column, ops: Column) -> Column:
+    """Struct (entries, there, titulus, conclusio, errors) of a day after its edits, in the order of their array."""
+    none = F.array().cast("array<struct<seq:bigint,error:string>>")
+
+    def step(day: Column, e: Column) -> Column:
+        rest = F.filter(day["entries"], lambda x: x["id"] != e["id"])
+        at = F.when(e["position"].isNull(), F.size(rest)).otherwise(F.least(F.greatest(e["position"] - 1, F.lit(0)), F.size(rest)))
+        own = F.array(F.struct(e["id"].alias("id"), e["text"].alias("text")))
+        put = F.concat(F.slice(rest, F.lit(1), at), own, F.slice(rest, at + 1, F.size(rest) - at))
+        patched = F.transform(day["entries"], lambda x: F.struct(x["id"].alias("id"), F.when(x["id"] == e["id"], e["text"]).otherwise(x["text"]).alias("text")))
+        by_id = lambda i: F.get(F.filter(day["entries"], lambda x: x["id"] == i), F.lit(0))
+        asked = e["op"] == "day"
+        error = F.when(asked & ~day["there"], "unknown-day").when(
+            asked & e["order"].isNotNull() & (F.array_sort(e["order"]) != F.array_sort(F.transform(day["entries"], lambda x: x["id"]))), "bad-order")
+        entries = (
+            F.when(e["op"] == "put", put).when(e["op"] == "delete", rest).when(e["op"] == "patch", patched)
+            .when(error.isNull() & e["order"].isNotNull(), F.transform(e["order"], by_id)).otherwise(day["entries"])
+        )
+        taken = lambda c: F.when(asked & error.isNull() & e[f"set_{c}"], e[c]).otherwise(day[c]).alias(c)
+        errors = F.when(error.isNull(), day["errors"]).otherwise(F.concat(day["errors"], F.array(F.struct(e["seq"].alias("seq"), error.alias("error")))))
+        return F.struct(entries.alias("entries"), (day["there"] | (e["op"] == "put")).alias("there"), taken("titulus"), taken("conclusio"), errors.alias("errors"))
+
+    begun = F.struct(entries.alias("entries"), there.alias("there"), titulus.alias("titulus"), conclusio.alias("conclusio"), none.alias("errors"))
+    return F.aggregate(ops, begun, step)
+
+
+def apply_log(days: DataFrame, elogia: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(days, entries, errors) of branches after a log of edits (branch, seq, edition, month, op, and EDIT_FIELDS).
+
+    days: (branch, edition, month, day, titulus, conclusio); elogia: (branch, edition, month, day, pos, id, text); what
+    lies on no branch must be given the branch that it is read on. `month` is the anchor's month of the edited id, or the
+    edited day's own. In the order of seq: put takes the id's entry on the day away, and sets one in at `position`, at the
+    end without one; a day that isn't there begins with it. patch sets the text and delete takes the entry away on the
+    first day that prints the id, its anchor's month first; an id that is nowhere then: unknown-eulogy. day sets a title
+    where its flag is set and orders the day's entries: unknown-day, bad-order where that isn't a permutation of its ids.
+    A refused edit changes nothing. Edits with other errors (refused()) should be left out before.
+
+    Two folds, both of arrays and in Spark: the edits of one id tell which day each of them meets, then the edits of one
+    day are folded over its entries. Days that no edit meets pass through. An array holds the edits of one id or one day
+    of a branch, and the entries of a day.
+    """
+    key = ["branch", "edition", "month", "day"]
+    log = log.select(*[F.col(c) if c in log.columns else F.lit(None).cast(t).alias(c) for c, t in ({"branch": "string", "seq": "bigint", "edition": "string", "month": "int", "op": "string"} | EDIT_FIELDS).items()])
+    log = log.select(*[F.col(c).cast("bigint" if c == "seq" else "int" if c in ("month", "day", "position") else log.schema[c].dataType).alias(c) for c in log.columns])
+    located = kept(_located(elogia, log.where("op <> 'day'")))
+    lost = located.where("day is null").select("branch", "edition", "seq", F.lit("unknown-eulogy").alias("error"))
+    more = [c for c in EDIT_FIELDS if c not in ("day", "id", "text", "position")]
+    met = located.where("day is not null").select(*key, "seq", "op", "id", "text", "position", *[F.lit(None).cast(EDIT_FIELDS[c]).alias(c) for c in more])
+    met = met.unionByName(log.where("op = 'day'").select(*key, "seq", "op", "id", "text", "position", *more))
+    ops = met.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("seq", "op", "id", "text", "position", *more))).alias("ops"))
+    lists = elogia.join(ops.select(*key), key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "id", "text"))).alias("e"))
+    entries = F.transform(F.coalesce("e", F.array().cast("array<struct<pos:int,id:string,text:string>>")), lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text")))
+    titles = days.select(*key, "titulus", "conclusio").withColumn("there", F.lit(True))
+    both = ops.join(lists, key, "left").join(titles, key, "left")
+    there = F.coalesce("there", F.col("e").isNotNull())
+    done = kept(both.select(*key, _folded_day(entries, there, F.col("titulus"), F.col("conclusio"), F.col("ops")).alias("d")))
+    touched = done.select(*key)
+    new_days = done.where("d.there").select(*key, "d.titulus", "d.conclusio")
+    new = done.select(*key, F.posexplode("d.entries").alias("pos", "x")).select(*key, (F.col("pos") + 1).alias("pos"), "x.id", "x.text")
+    out_days = days.select(*key, "titulus", "conclusio").join(touched, key, "left_anti").unionByName(new_days)
+    out = elogia.select(*key, F.col("pos").cast("int").alias("pos"), "id", "text").join(touched, key, "left_anti").unionByName(new)
+    wrong = done.select("branch", "edition", F.explode("d.errors").alias("x")).select("branch", "edition", "x.seq", "x.error")
+    return out_days, out, lost.unionByName(wrong)

@@ -131,14 +131,62 @@ def q_c3_put_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.put_entries(elogia, new)
 
 
+_LOG = """
+, e AS (SELECT l.*, row_number() OVER (PARTITION BY l.branch, l.edition ORDER BY l.seq) AS n
+        FROM b_edits l JOIN b_editions b ON l.edition = b.id JOIN b_ids i ON l.id = i.id
+        WHERE l.op <> 'put' OR l.day <= [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][i.month]),
+k AS (SELECT branch, edition, list({'m': month, 'd': b_elogia.day, 'id': id, 't': text} ORDER BY month, b_elogia.day, pos) FILTER (id IS NOT NULL) AS s
+      FROM (SELECT DISTINCT branch, edition FROM e) LEFT JOIN b_elogia USING (edition) GROUP BY branch, edition),
+f AS (SELECT branch, edition, 0 AS n, coalesce(s, []) AS s, NULL::BIGINT AS seq, false AS lost FROM k
+      UNION ALL
+      SELECT branch, edition, n,
+             CASE WHEN op = 'put' THEN list_concat(list_filter(rest, lambda x: x.m <> month OR x.d <> day), own[1:spot], [{'m': month, 'd': day, 'id': id, 't': text}], own[spot + 1:])
+                  WHEN place IS NULL THEN s
+                  WHEN op = 'patch' THEN list_transform(s, lambda x: CASE WHEN x.id = id_ AND x.m = place.m AND x.d = place.d THEN {'m': x.m, 'd': x.d, 'id': x.id, 't': text} ELSE x END)
+                  ELSE list_filter(s, lambda x: x.id <> id_ OR x.m <> place.m OR x.d <> place.d) END, seq, op <> 'put' AND place IS NULL
+      FROM (SELECT *, CASE WHEN position IS NULL THEN len(own) ELSE least(greatest(position - 1, 0), len(own)) END AS spot
+            FROM (SELECT *, list_filter(rest, lambda x: x.m = month AND x.d = day) AS own
+                  FROM (SELECT e.*, e.id AS id_, f.s, list_filter(f.s, lambda x: x.m <> e.month OR x.d <> e.day OR x.id <> e.id) AS rest,
+                               list_min(list_transform(list_filter(f.s, lambda x: x.id = e.id), lambda x: {'away': x.m <> e.month, 'm': x.m, 'd': x.d})) AS place
+                        FROM f JOIN e ON e.branch = f.branch AND e.edition = f.edition AND e.n = f.n + 1))))
+"""
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the whole log leaves on every branch, for each edition that the branch edits; and the edits refused before."""
+    log, editions, ids, elogia, days = bind(spark, sf_dir, "b_edits", "b_editions", "b_ids", "b_elogia", "b_days")
+    shapes = editions.select(F.col("id").alias("edition"), F.lit("days").alias("shape"))
+    wrong = edits.refused(log, editions, ids, shapes, elogia).where("error <> 'unknown-eulogy'")
+    sound = log.join(wrong.select("seq"), "seq", "left_anti")
+    read_on = sound.select("branch", "edition").distinct()
+    _, entries, errors = edits.apply_log(days.join(read_on, "edition"), elogia.join(read_on, "edition"), sound)
+    return entries, errors, wrong
+
+
+@_query(_LOG + """
+SELECT branch, edition, x.m AS month, x.d AS day, x.id AS id, x.t AS text, CAST(row_number() OVER (PARTITION BY branch, edition, x.m, x.d ORDER BY i) AS INT) AS pos
+FROM (SELECT branch, edition, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT branch, edition, arg_max(s, n) AS s FROM f GROUP BY branch, edition))
+""")
 def q_c9_apply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole log of every branch, in order, on the months that it touches."""
-    log, elogia = bind(spark, sf_dir, "b_edits", "b_elogia")
-    touched = log.select("branch", "edition", "month").distinct()
-    return edits.apply_log(elogia.join(touched, ["edition", "month"]), log.where("op <> 'patch' and (op <> 'put' or day is not null)"))
+    """The whole log of every branch, in order: all entries of the editions that the branch edits, as it leaves them."""
+    return _applied(spark, sf_dir)[0]
+
+
+@_query(_LOG + """
+SELECT seq, 'unknown-eulogy' AS error FROM f WHERE lost
+UNION ALL SELECT l.seq, CASE WHEN b.id IS NULL THEN 'unknown-edition' WHEN i.id IS NULL THEN 'invalid-payload' WHEN l.day IS NULL THEN 'day-required' ELSE 'invalid-payload' END
+FROM b_edits l LEFT JOIN b_editions b ON l.edition = b.id LEFT JOIN b_ids i ON l.id = i.id
+WHERE b.id IS NULL OR i.id IS NULL OR (l.op = 'put' AND (l.day IS NULL OR l.day > [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][i.month]))
+""")
+def q_c9_log_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edit of the log that changes nothing, with its error."""
+    _, errors, wrong = _applied(spark, sf_dir)
+    return errors.select("seq", "error").unionByName(wrong)
+
 
+for _name in ("q_c9_apply_log", "q_c9_log_errors"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
-QUERIES["q_c9_apply_log"] = q_c9_apply_log
 
 
 @_query("""

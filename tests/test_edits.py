@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.operators import access, curation, edits, placement, read
+from lectern.streaming.edits import LOG, branch_state, log_stream
 
 ENTRY = "edition string, month int, day int, pos int, id string, text string"
 IDS = ["mr:0101-a", "mr:0101-b", "mr:0102-c", "mr:0201-d"]
@@ -37,9 +38,84 @@ def test_months_are_checked(spark):
     assert rows(curation.violations(flat, ids(spark)), "id", "rule") == [("mr:0101-b", "empty-text"), ("mr:0101-q", "unknown-id"), ("mr:0201-d", "wrong-month"), ("nope", "bad-id")]
 
 
-def _random_log(n):
-    draw = random.Random(n)
-    return [(f"b{draw.randint(0, 1)}", s, "e", 1, draw.randint(1, 2), draw.choice(IDS), draw.choice(["put", "put", "delete"]), f"t{s}", draw.choice([None, -1, 0, 1, 2, 9])) for s in range(n)]
+PUBLISHED = {(1, 1): ("t", "c", [("mr:0101-a", "A"), ("mr:0101-b", "B")]), (1, 2): (None, None, [("mr:0102-c", "C"), ("mr:0201-d", "X")]), (2, 1): ("u", None, [("mr:0201-d", "D"), ("mr:0101-a", "A in February")])}
+DAYS = "edition string, month int, day int, titulus string, conclusio string"
+
+
+def _random_log(n, seed=0):
+    """Edits of two branches and two editions; a day's edit asks for a random order, which is a permutation at times."""
+    draw, log = random.Random(f"{n} {seed}"), []
+    for s in range(n):
+        op, i = draw.choice(["put", "put", "patch", "delete", "day"]), draw.choice(IDS)
+        month = draw.randint(1, 2) if op == "day" else int(i[3:5])
+        order = draw.choice([None, draw.sample(IDS, draw.randint(0, 4))]) if op == "day" else None
+        flags = (draw.random() < 0.5, draw.random() < 0.5) if op == "day" else (None, None)
+        log.append((f"b{draw.randint(0, 1)}", s, draw.choice("eg"), month, op, draw.randint(1, 3), i, f"t{s}", draw.choice([None, -1, 0, 1, 2, 9]), draw.choice([None, f"T{s}"]), flags[0], f"C{s}", flags[1], order))
+    return log
+
+
+def _plain(log):
+    """The state {(branch, edition): {(month, day): [titulus, conclusio, entries]}} and {seq: error} after the log, one edit after the other."""
+    state, errors = {}, {}
+    for b, s, e, m, op, d, i, t, p, titulus, set_t, conclusio, set_c, order in log:
+        days = state.setdefault((b, e), {k: [v[0], v[1], list(v[2])] for k, v in PUBLISHED.items()} if e == "e" else {})
+        if op == "put":
+            day = days.setdefault((m, d), [None, None, []])
+            day[2] = [x for x in day[2] if x[0] != i]
+            day[2].insert(len(day[2]) if p is None else max(0, p - 1), (i, t))
+        elif op == "day":
+            if (m, d) not in days:
+                errors[s] = "unknown-day"
+            elif order is not None and sorted(order) != sorted(x for x, _ in days[m, d][2]):
+                errors[s] = "bad-order"
+            else:
+                day = days[m, d]
+                day[0], day[1] = titulus if set_t else day[0], conclusio if set_c else day[1]
+                day[2] = day[2] if order is None else [(x, dict(day[2])[x]) for x in order]
+        else:
+            at = min(((k[0] != m, k) for k, v in days.items() if i in dict(v[2])), default=None)
+            if at is None:
+                errors[s] = "unknown-eulogy"
+            else:
+                day = days[at[1]]
+                day[2] = [(x, t if x == i else old) for x, old in day[2] if op == "patch" or x != i]
+    return state, errors
+
+
+def _published(spark):
+    days = spark.createDataFrame([("e", *k, v[0], v[1]) for k, v in PUBLISHED.items()], DAYS)
+    return days, spark.createDataFrame([("e", *k, n, *x) for k, v in PUBLISHED.items() for n, x in enumerate(v[2], 1)], ENTRY)
+
+
+def _holds_state(got_days, got, got_errors, log):
+    state, errors = _plain(log)
+    assert rows(got_days, "branch", "edition", "month", "day", "titulus", "conclusio") == sorted(((*k, *d, v[0], v[1]) for k, days in state.items() for d, v in days.items()), key=str)
+    assert rows(got, "branch", "edition", "month", "day", "pos", "id", "text") == sorted(((*k, *d, n, *x) for k, days in state.items() for d, v in days.items() for n, x in enumerate(v[2], 1)), key=str)
+    assert {r["seq"]: r["error"] for r in got_errors.collect()} == errors
+
+
+def test_a_log_of_all_edits(spark):
+    days, elogia = _published(spark)
+    for n in (1, 40, 400):
+        log = _random_log(n)
+        read_on = spark.createDataFrame(sorted({(x[0], x[2]) for x in log}), "branch string, edition string")
+        _holds_state(*edits.apply_log(days.join(read_on, "edition"), elogia.join(read_on, "edition"), spark.createDataFrame(log, LOG).repartition(3)), log)
+    assert set(_plain(log)[1].values()) == {"unknown-day", "bad-order", "unknown-eulogy"}
+    out = edits.apply_log(days.join(read_on, "edition"), elogia.join(read_on, "edition"), spark.createDataFrame([], LOG))
+    assert out[1].count() == 2 * elogia.count() and out[2].count() == 0
+
+
+def test_a_log_as_a_stream(spark, tmp_path):
+    """Two branches, a restart, generations taken away: the same as the whole log at once."""
+    days, elogia = _published(spark)
+    log, (source, state, mark) = _random_log(70), [f"{tmp_path}/{x}" for x in ("log", "state", "mark")]
+    for k in range(7):
+        spark.createDataFrame(log[10 * k : 10 * k + 10], LOG).coalesce(1).write.mode("append").parquet(source)
+        if k in (3, 6):
+            stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(source)
+            log_stream(stream, days, elogia, state, mark, compact=2).awaitTermination()
+            _holds_state(*[branch_state(spark, state, t) for t in ("days", "entries", "errors")], log[: 10 * k + 10])
+    assert not [x for x in (tmp_path / "state").iterdir() if x.name in ("days-0000000001", "entries-0000000003")]
 
 
 def test_puts_and_logs(spark):
@@ -52,23 +128,6 @@ def test_puts_and_logs(spark):
     moved = edits.put_entries(elogia, spark.createDataFrame([("e", 1, 1, "mr:0101-a", "A2", 2), ("e", 1, 7, "mr:0101-a", "A7", 4)], new))
     assert rows(moved, "day", "pos", "id", "text") == [(1, 1, "mr:0101-b", "B"), (1, 2, "mr:0101-a", "A2"), (2, 1, "mr:0102-c", "C"), (7, 1, "mr:0101-a", "A7")]
 
-    log = _random_log(60)
-    got = edits.apply_log(elogia.crossJoin(spark.createDataFrame([("b0",), ("b1",)], "branch string")), spark.createDataFrame(log, "branch string, seq long, edition string, month int, day int, id string, op string, text string, position int").repartition(3))
-    state = {b: {1: [("mr:0101-a", "A"), ("mr:0101-b", "B")], 2: [("mr:0102-c", "C")]} for b in ("b0", "b1")}
-    for b, _, _, _, d, i, op, t, p in log:
-        days = state[b]
-        if op == "put":
-            rest = [x for x in days.get(d, []) if x[0] != i]
-            rest.insert(len(rest) if p is None else max(0, p - 1), (i, t))
-            days[d] = rest
-        else:
-            for k in sorted(days):
-                if any(x[0] == i for x in days[k]):
-                    days[k] = [x for x in days[k] if x[0] != i]
-                    break
-    want = [(b, d, n, i, t) for b in state for d in state[b] for n, (i, t) in enumerate(state[b][d], 1)]
-    assert rows(got, "branch", "day", "pos", "id", "text") == sorted(want, key=str)
-
 
 def test_days_months_and_metadata(spark):
     elogia = spark.createDataFrame([("e", 1, 1, 1, "x", "X"), ("e", 1, 1, 2, "y", "Y"), ("e", 1, 2, 1, "z", "Z"), ("f", 1, 1, 1, "w", "W")], ENTRY)

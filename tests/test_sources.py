@@ -8,7 +8,6 @@ import pytest
 from lectern.operators import curation
 from lectern.sources import registry as R
 from lectern.sources import sinks
-from lectern.streaming.edits import LOG, fold_stream, folded_state
 
 
 def put(path, data):
@@ -61,19 +60,6 @@ def test_months(spark, tmp_path, ids):
     assert flat == [("flat", 1, 1, "M"), ("flat", 1, 2, "B"), ("flat", 2, 1, "A"), ("flat", 2, 2, "C")]
 
 
-def test_stream_is_batch(spark, tmp_path):
-    edits = [(n, f"e{n % 2}", f"i{n % 5}", "delete" if n % 7 == 0 else "put", f"t{n}") for n in range(40)]
-    for k in (1, 0, 2):  # later edits may come first
-        spark.createDataFrame(edits[k::3], LOG).coalesce(1).write.parquet(f"{tmp_path}/in{k}")
-    state, mark = str(tmp_path / "state"), str(tmp_path / "mark")
-    for _ in range(2):
-        log = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/in*")
-        fold_stream(log, state, mark, compact=2).awaitTermination()
-    want = curation.fold_edits(spark.createDataFrame(edits, LOG))
-    assert {(r["edition"], r["id"], r["seq"], r["op"]) for r in folded_state(spark, state).collect()} == {(r["edition"], r["id"], r["seq"], r["op"]) for r in want.collect()}
-    assert want.count() == 10
-
-
 def test_conflicts(spark):
     elogia = spark.createDataFrame([("e", 1, 2, 1, "i", "t")], "edition string, month int, day int, pos int, id string, text string")
     edits = spark.createDataFrame([(1, "e", 1, "x"), (2, "e", 1, None), (3, "f", 1, "x")], "seq long, edition string, month int, expected_hash string")
