@@ -48,9 +48,12 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), cut)))
 
 
-def stem_hits(stems: DataFrame, tokens: DataFrame) -> DataFrame:
+def stem_hits(stems: DataFrame, tokens: DataFrame, by_five: bool = False) -> DataFrame:
     """(stem, token, hit): 1 where the token begins with the stem, 0.8 where its beginning is nearly the stem.
 
+    by_five: 1 too where the stem begins with the first five letters of the token; and shorter stems count, which nothing
+    but themselves is nearly.
+
     stems: stem, of four to six letters. tokens: token. Nearly means a ratio of 0.8 or more with as much of the token,
     which has four letters or more. Such words share all but at most one letter of each, in order, so they share a key:
     one of them or one of them with a letter less; a stem of six letters and a token of four have two less. Only
@@ -63,8 +66,15 @@ def stem_hits(stems: DataFrame, tokens: DataFrame) -> DataFrame:
     cuts = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in (4, 5, 6)]), lambda n: F.substring(F.col("token"), F.lit(1), n)))
     t = t.select("token", F.explode(F.array_distinct(F.flatten(F.transform(cuts, _deletions)))).alias("key"))
     pairs = kept(s.join(t, "key").select("stem", "token").distinct().withColumn("cut", F.expr("substring(token, 1, length(stem))")))
-    exact = pairs.where(F.col("token").startswith(F.col("stem"))).select("stem", "token", F.lit(1.0).alias("hit"))
-    near = similarity(pairs.where(~F.col("token").startswith(F.col("stem")) & (F.length("token") >= 4)), "stem", "cut", "ratio").where("ratio >= 0.8")
+    begins = F.col("token").startswith(F.col("stem"))
+    if by_five:
+        # a stem of six letters whose first five the token has shares a key with it: the five letters
+        begins = begins | ((F.length("token") >= 5) & F.col("stem").startswith(F.substring("token", 1, 5)))
+    exact = pairs.where(begins).select("stem", "token", F.lit(1.0).alias("hit"))
+    if by_five:
+        short = t.select("token").distinct().select("token", F.explode(F.array(*[F.substring("token", 1, n) for n in (1, 2, 3)])).alias("stem")).distinct()
+        exact = exact.unionByName(short.join(stems.select("stem").where("length(stem) < 4").distinct(), "stem").select("stem", "token", F.lit(1.0).alias("hit")))
+    near = similarity(pairs.where(~begins & (F.length("token") >= 4)), "stem", "cut", "ratio").where("ratio >= 0.8")
     return exact.unionByName(near.select("stem", "token", F.lit(0.8).alias("hit")))
 
 
