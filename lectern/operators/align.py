@@ -113,21 +113,38 @@ def word_pairs(entries: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     return shared.select(*ENTRY, "id", (F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("jac"))
 
 
-def scored_pairs(entries: DataFrame, ids: DataFrame, words: str, on: list[str], least_stem: float = 0.0, least_jac: float = 0.0) -> DataFrame:
+def strong_pairs(entries: DataFrame, ids: DataFrame, words: str, least: float) -> DataFrame:
+    """(entry key, id, s_stem) of the pairs of any day whose s_stem is `least` or more.
+
+    Such a pair misses (1 - least) of an id's n stems at most, so that it has one of as many and one more, the rarest by
+    the entries that hit them: only these pair entries with ids, and popular stems pair nothing.
+    """
+    token = kept(entries.select(*ENTRY, F.posexplode(words).alias("at", "token")))
+    stem = kept(ids.dropDuplicates(["id"]).select("id", F.size("stems").alias("n"), F.posexplode("stems").alias("nth", "stem")))
+    hits = kept(stem_hits(stem, token))
+    df = hits.join(token.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("stem").agg(F.sum("df").alias("df"))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "nth"))
+    leading = stem.join(df, "stem", "left").withColumn("turn", turn).where(F.col("turn") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1).select("id", "stem")
+    pairs = token.join(hits.select("stem", "token"), "token").join(leading, "stem").select(*ENTRY, "id").distinct()
+    met = pairs.join(stem, "id").join(hits, "stem").join(token, [*ENTRY, "token"])
+    first = met.groupBy(*ENTRY, "id", "n", "nth").agg(F.min_by("hit", "at").alias("hit"))
+    return first.groupBy(*ENTRY, "id").agg((F.sum("hit") / F.first("n")).alias("s_stem")).where(F.col("s_stem") >= least)
+
+
+def scored_pairs(entries: DataFrame, ids: DataFrame, words: str, on: list[str], possible: Column | None = None) -> DataFrame:
     """(entry key, folded, id, s_stem, jac, s_text, total) of the pairs that share a stem or a word.
 
-    least_stem, least_jac: what a pair must have of either before its texts are compared letter by letter.
+    possible: what must hold of s_stem, jac and folded before a pair's texts are compared letter by letter.
     """
-    stems = stem_scores(entries, ids, words, on)
-    if least_stem > 0:
-        # a stem is needed: words are compared for such pairs only, and common ones pair nothing
-        sigs = ids.select("id", "id_sig").dropDuplicates(["id"])
-        both = stems.where(F.col("s_stem") >= least_stem).join(entries.select(*ENTRY, "sig"), ENTRY).join(sigs, "id").withColumn("jac", C.jaccard(F.col("sig"), F.col("id_sig"))).drop("sig", "id_sig")
-    else:
-        both = stems.join(word_pairs(entries, ids, on), [*ENTRY, "id"], "full").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("s_stem", "jac")})
-    both = both.where(F.col("jac") >= least_jac)
-    told = kept(both.join(entries.select(*ENTRY, "folded"), ENTRY).join(ids.select("id", "id_text").dropDuplicates(["id"]), "id").withColumn("_text", F.substring("folded", 1, COMPARED)))
-    # texts that repeat are compared once
+    both = stem_scores(entries, ids, words, on).join(word_pairs(entries, ids, on), [*ENTRY, "id"], "full").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("s_stem", "jac")})
+    return _compared(both, entries, ids, possible)
+
+
+def _compared(pairs: DataFrame, entries: DataFrame, ids: DataFrame, possible: Column | None = None) -> DataFrame:
+    """Pairs with s_stem and jac, and then s_text and total. Texts that repeat are compared once."""
+    told = pairs.join(entries.select(*ENTRY, "folded"), ENTRY)
+    told = told if possible is None else told.where(possible)
+    told = kept(told.join(ids.select("id", "id_text").dropDuplicates(["id"]), "id").withColumn("_text", F.substring("folded", 1, COMPARED)))
     rates = similarity(told.select("_text", "id_text").distinct(), "_text", "id_text", "s_text")
     rated = told.join(rates, ["_text", "id_text"]).drop("_text", "id_text")
     return rated.withColumn("total", 1.5 * F.col("s_stem") + 1.3 * F.col("s_text") + 0.8 * F.col("jac"))
@@ -137,10 +154,15 @@ def _feast(folded: Column) -> Column:
     return F.ltrim(folded).rlike(r"\A(octava|vigilia)")
 
 
+def _same_day(s_text: Column) -> Column:
+    """Whether a pair of one day may be chosen at a similarity of its texts; with 1 for it, whether it ever may be."""
+    stem, jac = F.col("s_stem"), F.col("jac")
+    feast = (stem >= 0.5) & ((jac >= 0.15) | (s_text >= 0.5))
+    return F.when(_feast(F.col("folded")), feast).otherwise((stem >= 0.65) | ((s_text >= 0.42) & (jac >= 0.15)))
+
+
 def accepted_same_day(pairs: DataFrame) -> DataFrame:
-    stem, text, jac = (F.col(c) for c in ("s_stem", "s_text", "jac"))
-    feast = (stem >= 0.5) & ((jac >= 0.15) | (text >= 0.5))
-    return pairs.where(F.when(_feast(F.col("folded")), feast).otherwise((stem >= 0.65) | ((text >= 0.42) & (jac >= 0.15))))
+    return pairs.where(_same_day(F.col("s_text")))
 
 
 def greedy(pairs: DataFrame, left: list[str], right: list[str], order: list[Column]) -> DataFrame:
@@ -160,19 +182,25 @@ def greedy(pairs: DataFrame, left: list[str], right: list[str], order: list[Colu
 
 def match_same_day(entries: DataFrame, ids: DataFrame, stop: list[str]) -> DataFrame:
     """(entry key, id, score, method) of entries matched with ids of their own day, one to one in each day."""
-    pairs = accepted_same_day(scored_pairs(entry_features(entries, stop), id_features(ids, stop), "caps", ["month", "day"]))
+    pairs = accepted_same_day(scored_pairs(kept(entry_features(entries, stop)), kept(id_features(ids, stop)), "caps", ["month", "day"], _same_day(F.lit(1.0))))
     order = [F.col("total").desc(), F.col("idx").desc(), F.col("id").desc()]
     found = greedy(pairs.select(*ENTRY, "id", "total"), ENTRY, ["edition", "month", "day", "id"], order)
     return found.select(*ENTRY, "id", F.col("total").alias("score"), F.lit("same-day").alias("method"))
 
 
 def linked(edges: DataFrame) -> DataFrame:
-    """(id, label) of every end of the edges (a, b): the least end that it hangs together with."""
+    """(id, label) of every end of the edges (a, b): the least end that it hangs together with.
+
+    An end takes the least label of its neighbours and then that label's own, so that the rounds follow the logarithm of
+    the longest way.
+    """
     both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n")).select("id", F.least("id", "n").alias("label")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        moved = kept(labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        taken = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        own = taken.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        moved = kept(taken.join(own, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         labels = moved.select("id", "label")
         if moved.where("old <> label").isEmpty():
             return labels
@@ -209,18 +237,42 @@ def match_cross_day(entries: DataFrame, ids: DataFrame, assigned: DataFrame, sto
     Octaves and vigils, and entries without a name zone, are left out. stem 0.75, words 0.15, text 0.40, margin 0.3.
     """
     left = entry_features(entries.join(assigned.select(*ENTRY), ENTRY, "left_anti"), stop).where(F.size("zone") > 0).where(~_feast(F.col("folded")))
-    pairs = scored_pairs(left, id_features(ids, stop), "zone", [], 0.75, 0.15).where("s_text >= 0.4")
-    free = pairs.join(assigned.select("edition", "id").distinct(), ["edition", "id"], "left_anti")
+    left, features = kept(left), kept(id_features(ids, stop))
+    strong = strong_pairs(left, features, "zone", 0.75).join(left.select(*ENTRY, "sig"), ENTRY).join(features.select("id", "id_sig").dropDuplicates(["id"]), "id")
+    words = strong.withColumn("jac", C.jaccard(F.col("sig"), F.col("id_sig"))).drop("sig", "id_sig").where("jac >= 0.15")
+    free = _compared(words, left, features).where("s_text >= 0.4").join(assigned.select("edition", "id").distinct(), ["edition", "id"], "left_anti")
     return match_in_turn(free.select(*ENTRY, "id", "total"), 0.3, "cross-day")
 
 
-def match_elimination(entries: DataFrame, ids: DataFrame, assigned: DataFrame, pairs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The one entry and the one id that a day has left, if their total is above `least`. pairs: entry key, id, total."""
+def pair_scores(pairs: DataFrame, entries: DataFrame, ids: DataFrame, words: str) -> DataFrame:
+    """The given pairs (entry key, id) with s_stem, jac, s_text and total, whether they share anything or not.
+
+    entries, ids: as entry_features() and id_features() give them. Of a stem the first word that hits it counts.
+    """
+    told = kept(pairs.select(*ENTRY, "id").join(entries.select(*ENTRY, "folded", "sig", words), ENTRY).join(ids.dropDuplicates(["id"]).select("id", "stems", "id_text", "id_sig"), "id"))
+    token, stem = told.select(*ENTRY, "id", F.posexplode(words).alias("at", "token")), told.select(*ENTRY, "id", F.posexplode("stems").alias("nth", "stem"))
+    met = token.join(stem_hits(stem, token), "token").join(stem, [*ENTRY, "id", "stem"])
+    first = met.groupBy(*ENTRY, "id", "nth").agg(F.min_by("hit", "at").alias("hit")).groupBy(*ENTRY, "id").agg(F.sum("hit").alias("hits"))
+    text = similarity(told.select(F.substring("folded", 1, COMPARED).alias("_text"), "id_text").distinct(), "_text", "id_text", "s_text")
+    both = told.join(first, [*ENTRY, "id"], "left").withColumn("_text", F.substring("folded", 1, COMPARED)).join(text, ["_text", "id_text"])
+    scored = both.select(*ENTRY, "id", F.coalesce(F.col("hits") / F.size("stems"), F.lit(0.0)).alias("s_stem"), C.jaccard(F.col("sig"), F.col("id_sig")).alias("jac"), "s_text")
+    return scored.withColumn("total", 1.5 * F.col("s_stem") + 1.3 * F.col("s_text") + 0.8 * F.col("jac"))
+
+
+def forced_pairs(entries: DataFrame, ids: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(entry key, id): the one entry and the one id that a day has left."""
     key = ["edition", "month", "day"]
     entry = entries.join(assigned.select(*ENTRY), ENTRY, "left_anti").groupBy(*key).agg(F.count("*").alias("n"), F.first("idx").alias("idx")).where("n = 1").drop("n")
-    free = entry.select(*key).join(ids.select("id", "month", "day"), ["month", "day"])
+    free = entry.select(*key).join(ids.select("id", "month", "day").distinct(), ["month", "day"])
     free = free.join(assigned.select("edition", "id").distinct(), ["edition", "id"], "left_anti").groupBy(*key).agg(F.count("*").alias("n"), F.first("id").alias("id")).where("n = 1").drop("n")
-    found = entry.join(free, key).join(pairs.select(*ENTRY, "id", "total"), [*ENTRY, "id"]).where(F.col("total") > least)
+    return entry.join(free, key).select(*ENTRY, "id")
+
+
+def match_elimination(entries: DataFrame, ids: DataFrame, assigned: DataFrame, stop: list[str], least: float = 0.25) -> DataFrame:
+    """The one entry and the one id that a day has left, if their total is above `least`; a pair that shares no word has its texts'."""
+    forced = forced_pairs(entries, ids, assigned)
+    left = entry_features(entries.join(forced.select(*ENTRY), ENTRY, "left_semi"), stop)
+    found = pair_scores(forced, left, id_features(ids.join(forced.select("id").distinct(), "id", "left_semi"), stop), "caps").where(F.col("total") > least)
     return found.select(*ENTRY, "id", F.col("total").alias("score"), F.lit("elimination").alias("method"))
 
 
@@ -248,11 +300,25 @@ def residuals(entries: DataFrame, ids: DataFrame, assigned: DataFrame) -> tuple[
 
 
 def near_misses(pairs: DataFrame, unmatched: DataFrame, k: int = 3) -> DataFrame:
-    """Of each unmatched entry its k best pairs (by total, then id) with their rank."""
+    """Of each unmatched entry its k best pairs (by total, then id) with their rank. Pairs that aren't given don't count."""
     w = Window.partitionBy(*ENTRY).orderBy(F.col("total").desc(), F.col("id").desc())
     return pairs.join(unmatched.select(*ENTRY), ENTRY, "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest(entries: DataFrame, ids: DataFrame, unmatched: DataFrame, stop: list[str], k: int = 3) -> DataFrame:
+    """Of each unmatched entry the k best of all ids of its day, with their scores and rank.
+
+    Pairs that share a stem or a word come from a join on it. Only an entry with fewer than k of them is held against the
+    other ids of its day, by their texts.
+    """
+    left = kept(entry_features(entries.join(unmatched.select(*ENTRY), ENTRY, "left_semi"), stop))
+    features = kept(id_features(ids, stop))
+    sharing = kept(scored_pairs(left, features, "caps", ["month", "day"]).select(*ENTRY, "id", "s_stem", "jac", "s_text", "total"))
+    few = left.select(*ENTRY).join(sharing.groupBy(*ENTRY).agg(F.count("*").alias("n")), ENTRY, "left").where(F.coalesce("n", F.lit(0)) < k)
+    others = few.select(*ENTRY).join(features.select("month", "day", "id").distinct(), ["month", "day"]).join(sharing.select(*ENTRY, "id"), [*ENTRY, "id"], "left_anti")
+    return near_misses(sharing.unionByName(pair_scores(others, left, features, "caps").select(*sharing.columns)), unmatched, k)
+
+
 def low_scores(assigned: DataFrame, below: float = 1.0) -> DataFrame:
     return assigned.where(F.col("score") < below)
 
@@ -290,11 +356,15 @@ def mine_lemmas(ids: DataFrame, texts: DataFrame) -> DataFrame:
     letters, or all but one of a shorter part. A form's lemma is the part it stands for most often, the first by name,
     if it is the only one or has twice as many as the next.
     """
-    rows = ids.select("id").join(texts.select("id", "text"), "id").select(F.explode(C.slug_parts(C.slug_of(F.col("id")), C.SLUG_STOP)).alias("part"), C.tokens(C.folded(F.col("text"))).alias("words"))
-    common = lambda w: F.size(F.filter(F.sequence(F.lit(1), F.least(F.length("part"), F.length(w))), lambda i: F.substring(w, F.lit(1), i) == F.substring(F.col("part"), F.lit(1), i)))
-    best = F.array_max(F.transform("words", lambda w, i: F.struct(common(w).alias("n"), (-i).alias("at"), w.alias("form"))))
-    forms = rows.withColumn("b", best).where((F.col("b.n") > 0) & (F.col("b.n") >= F.least(F.lit(5), F.length("part") - 1)) & (F.col("b.form") != F.col("part")))
-    counts = forms.groupBy(F.col("b.form").alias("form"), "part").agg(F.count("*").alias("n"))
+    rows = ids.select("id").join(texts.select("id", "text"), "id").select(F.explode(C.slug_parts(C.slug_of(F.col("id")), C.SLUG_STOP)).alias("part"), "text")
+    told = kept(rows.groupBy("part", "text").agg(F.count("*").alias("n")))
+    # the length of the common beginning is worked out once for each part and word
+    words = told.select("part", "text", "n", F.posexplode(C.tokens(C.folded(F.col("text")))).alias("at", "form"))
+    differs = F.filter(F.sequence(F.lit(1), F.least(F.length("part"), F.length("form"))), lambda i: F.substring("form", i, F.lit(1)) != F.substring("part", i, F.lit(1)))
+    common = words.select("part", "form").distinct().withColumn("same", F.coalesce(F.get(differs, F.lit(0)) - 1, F.least(F.length("part"), F.length("form"))))
+    best = words.join(common, ["part", "form"]).groupBy("part", "text").agg(F.max(F.struct(F.col("same").alias("n"), (-F.col("at")).alias("at"), "form")).alias("b"), F.first("n").alias("n"))
+    forms = best.where((F.col("b.n") > 0) & (F.col("b.n") >= F.least(F.lit(5), F.length("part") - 1)) & (F.col("b.form") != F.col("part")))
+    counts = forms.groupBy(F.col("b.form").alias("form"), "part").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("form").orderBy(F.col("n").desc(), "part")
     ranked = counts.withColumns({"_r": F.row_number().over(w), "_next": F.lead("n").over(w)})
     return ranked.where("_r = 1 and (_next is null or n >= 2 * _next)").select("form", F.col("part").alias("lemma"))

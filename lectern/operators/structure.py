@@ -30,7 +30,9 @@ ALIBI = r"Et\s*a\s*l\s*i\s*b\s*i\b"
 HEADS = ["MARTYROLOGIUM", "ROMANUM", "MARTYROLOGIUM ROMANUM"]
 RUNNING_HEAD = r"""\A\s*[|:.;\-'"“”]*\s*[0-9]*\s*(?:""" + "|".join(m.upper() for m in ENGLISH_MONTHS) + r""")\s*[.,!]?\s*[0-9]*\s*[|:.;]*\s*\z"""
 FINAL = r"[.!?]\z"
-SPACES = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}]+"
+_OTHER = "\\t\\n\\x{b}\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}"
+#: White space that isn't one space: single spaces, by far the most, are left alone without a match.
+SPACES = f"[{_OTHER}][ {_OTHER}]*| [ {_OTHER}]+"
 
 
 def lines_of(text: Column) -> Column:

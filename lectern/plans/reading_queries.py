@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import canonical as C
-from lectern.operators import access, align, placement, read, resolve
+from lectern.operators import access, align, align_late, placement, read, resolve
 from lectern.plans.bindings import bind, with_views
 from lectern.sources import registry, sinks
 
@@ -243,17 +243,51 @@ def q_w11_m8_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.near_misses(pairs, left).select("edition", "month", "day", "idx", "id", "total", "rank")
 
 
-@_query(_ASSIGNED + """
-, d AS (SELECT edition, month, day FROM e GROUP BY ALL), a AS (SELECT DISTINCT edition, month, day, idx, id FROM t WHERE total = 1 AND idx % 2 = 0),
-l AS (SELECT edition, month, day, min(idx) AS idx FROM e ANTI JOIN a USING (edition, month, day, idx) GROUP BY ALL HAVING count(*) = 1),
-f AS (SELECT l.edition, l.month, l.day, min(i.id) AS id FROM l JOIN b_ids i ON l.month = i.month AND l.day = i.day LEFT JOIN (SELECT DISTINCT edition, id FROM a) c ON c.edition = l.edition AND c.id = i.id WHERE c.id IS NULL AND i.p_partkey % 4 = 0 GROUP BY ALL HAVING count(*) = 1)
-SELECT l.edition, l.month, l.day, l.idx, f.id, t.total AS score FROM l JOIN f USING (edition, month, day) JOIN t ON t.edition = l.edition AND t.month = l.month AND t.day = l.day AND t.idx = l.idx AND t.id = f.id WHERE t.total > 0.25
+@_query("""
+, o AS (SELECT DISTINCT id, anchor_month AS month, anchor_day AS day FROM b_elogia WHERE edition = (SELECT min(edition) FROM b_elogia)),
+a AS (SELECT edition, month, day, pos AS idx, id FROM b_elogia WHERE pos > 1),
+l AS (SELECT edition, month, day FROM b_elogia WHERE pos = 1),
+f AS (SELECT l.edition, l.month, l.day, min(o.id) AS id FROM l JOIN o USING (month, day) LEFT JOIN (SELECT DISTINCT edition, id FROM a) c ON c.edition = l.edition AND c.id = o.id WHERE c.id IS NULL GROUP BY ALL HAVING count(*) = 1)
+SELECT edition, month, day, 1 AS idx, id FROM f
 """)
 def q_m5_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of days with one entry left, and one id of an older edition (every fourth id) left, the pair."""
-    entries, ids, pairs = _pairs(spark, sf_dir)
-    got = align.match_elimination(entries, ids.where("p_partkey % 4 = 0"), pairs.where("total = 1 and idx % 2 = 0").select(*align.ENTRY, "id").distinct(), pairs)
-    return got.select(*align.ENTRY, "id", "score")
+    """All entries of a day but the first are matched with the ids they print; where the oldest edition has one id of the day left, the pair."""
+    (elogia,) = bind(spark, sf_dir, "b_elogia")
+    entries = elogia.select("edition", "month", "day", F.col("pos").alias("idx"), "text", "id")
+    oldest = elogia.join(F.broadcast(elogia.agg(F.min("edition").alias("edition"))), "edition").select("id", F.col("anchor_month").alias("month"), F.col("anchor_day").alias("day")).distinct()
+    return align.forced_pairs(entries.drop("id"), oldest, entries.where("idx > 1").select(*align.ENTRY, "id"))
+
+
+@_query(_ASSIGNED + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY edition ORDER BY total DESC, concat(month, '-', day) DESC, idx DESC, id DESC) AS n, concat(month, '-', day, '-', idx) AS entry FROM t),
+g AS (SELECT DISTINCT edition, 0 AS n, ['']::VARCHAR[] AS ids, ['']::VARCHAR[] AS entries, '' AS id, '' AS entry, false AS taken FROM r
+      UNION ALL SELECT edition, n, CASE WHEN free THEN list_append(ids, own) ELSE ids END, CASE WHEN free THEN list_append(entries, place) ELSE entries END, own, place, free
+      FROM (SELECT r.edition, r.n, g.ids, g.entries, r.id AS own, r.entry AS place, NOT list_contains(g.ids, r.id) AND NOT list_contains(g.entries, r.entry) AS free FROM g JOIN r ON r.edition = g.edition AND r.n = g.n + 1))
+SELECT r.edition, r.month, r.day, r.idx, r.id, r.total AS score FROM g JOIN r ON r.edition = g.edition AND r.n = g.n WHERE g.taken
+""")
+def q_m2_global_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a day that share a word, taken from the best on in a whole edition: one id an entry and one entry an id, on whatever day."""
+    return align_late.match_day(_pairs(spark, sf_dir)[2]).select(*align.ENTRY, "id", "score")
+
+
+ORACLES["q_m2_global_greedy"] = ORACLES["q_m2_global_greedy"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def q_m2_m4_m12_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all editions in another language, by translated names, against what an older edition prints and the current ids."""
+    entries, ids = _entries(spark, sf_dir)
+    (elogia,) = bind(spark, sf_dir, "b_elogia")
+    name = lambda c: F.regexp_extract(c, "(?:[Ss]ancti|sanctae|beati) ([A-Z][a-z]+)", 1)
+    told = entries.select(*align.ENTRY, F.concat(F.when(F.col("text").startswith("Octava"), "The octave of ").otherwise("In Rome "), name(F.col("text")), F.lit(", martyr.")).alias("text"))
+    latin = F.lower(name(F.col("text")))
+    names = ids.select(latin.alias("word"), latin.alias("latin")).distinct()
+    older = entries.select("month", "day", F.concat(F.format_string("mr:%02d%02d-", "month", "day"), latin).alias("id"), "text", "edition", "idx")
+    older = older.groupBy("month", "day", "id").agg(F.min_by("text", F.struct("edition", "idx")).alias("text"))
+    pool = align.candidate_pool(older, ids.select("month", "day", "id"), ids.select("id", "text").dropDuplicates(["id"]), ids.select("id", F.concat(F.lit("Saint "), name(F.col("text"))).alias("text")).dropDuplicates(["id"]))
+    return align_late.align_late(told, pool, names, names.limit(0), ["the", "in", "rome"], ["romae", "beati", "sancti", "sanctae", "confessoris", "martyris", "octava"], ["saint", "octave", "martyr"])
+
+
+QUERIES["q_m2_m4_m12_late"] = q_m2_m4_m12_late
 
 
 @_query(_ASSIGNED + """

@@ -111,3 +111,37 @@ def test_mined_lemmas(spark):
     ids = spark.createDataFrame([("mr:0101-macarius",), ("mr:0102-macaria",), ("mr:0103-macarius-et-socii",)], "id string")
     texts = spark.createDataFrame([("mr:0101-macarius", "Sancti Macarii"), ("mr:0102-macaria", "Macarii alia"), ("mr:0103-macarius-et-socii", "ss Macarii")], "id string, text string")
     assert rows(align.mine_lemmas(ids, texts), "form", "lemma") == [("macarii", "macarius")]
+
+
+def test_the_last_of_a_day_and_the_nearest(spark):
+    """A day's last pair needs no shared word; an unmatched entry's nearest ids are those of all pairs."""
+    entries, ids = _book(spark)
+    assigned = align.match_same_day(entries, ids, [])
+    got = rows(align.match_elimination(entries.where("not (day = 4 and idx > 1)"), ids.where("not (day = 4 and id like '%hyginus')"), assigned.where("day = 4 and idx < 1"), []), "day", "idx", "id")
+    assert got == [(4, 1, "mr:0104-theodosius")]
+    odd = spark.createDataFrame([("e", 1, 1, 9, "Zzz qqq"), ("e", 1, 2, 9, "Xxx sancti Macarii Episcopi")], entries.schema)
+    forced = spark.createDataFrame([("e", 1, 1, 9, "mr:0101-basilius")], "edition string, month int, day int, idx int, id string")
+    e, i = align.entry_features(entries.unionByName(odd), []), align.id_features(ids, [])
+    r = align.pair_scores(forced, e, i, "caps").first()
+    assert (r["s_stem"], r["jac"]) == (0.0, 0.0) and r["s_text"] == difflib.SequenceMatcher(None, "zzz qqq", "romae sancti basilii episcopi et confessoris  qui claruit miraculis basilius").ratio()
+    every = entries.unionByName(odd).join(ids.select("id", "month", "day"), ["month", "day"]).select(*align.ENTRY, "id")
+    scores = align.pair_scores(every, e, i, "caps")
+    want = rows(align.near_misses(scores, odd), *align.ENTRY, "id", "rank")
+    assert rows(align.nearest(entries.unionByName(odd), ids, odd, []), *align.ENTRY, "id", "rank") == want and len(want) == 6
+
+
+def test_strong_pairs_miss_none(spark):
+    """The rarest stems pair the same as all of them."""
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abcde", k=6)) for _ in range(14)]
+    ids = spark.createDataFrame([(f"mr:0101-{k}", draw.sample(words, draw.randint(1, 6))) for k in range(60)], "id string, stems array<string>")
+    entries = spark.createDataFrame([("e", 1, 1, k, draw.sample(words, draw.randint(1, 8))) for k in range(40)], "edition string, month int, day int, idx int, zone array<string>")
+    rates = lambda df: {tuple(r): s for *r, s in ((*x[:-1], round(x[-1], 9)) for x in (tuple(r) for r in df.select(*align.ENTRY, "id", "s_stem").collect())) if s >= 0.75}
+    got = rates(align.strong_pairs(entries, ids, "zone", 0.75))
+    assert got == rates(align.stem_scores(entries, ids, "zone", [])) and len(got) > 50
+
+
+def test_labels_of_a_long_chain(spark):
+    n = 300
+    edges = spark.createDataFrame([(f"{k:04d}", f"{k + 1:04d}") for k in range(n)] + [("x", "y")], "a string, b string").repartition(3)
+    assert {r["id"]: r["label"] for r in align.linked(edges).collect()} == {f"{k:04d}": "0000" for k in range(n + 1)} | {"x": "x", "y": "x"}
