@@ -17,6 +17,12 @@ WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u
 SLUG_STOP = ["et", "de", "a", "ab", "in", "cum", "socii"]
 # Endings of a genitive and what a nominative has instead, the first that fits counts.
 ENDINGS = [("ae", "a"), ("ii", "ius"), ("onis", "o"), ("icis", "ix"), ("ntis", "ns")]
+# Endings of names, in their turn, and names that no rule gives.
+NAME_ENDINGS = [("ae", "a"), ("ii", "ius"), ("onis", "o"), ("oris", "or"), ("icis", "ix"), ("ntis", "ns"), ("etis", "es")]
+IRREGULAR = [
+    ("fidei", "fides"), ("spei", "spes"), ("caritatis", "caritas"), ("manuelis", "manuel"), ("sosthenis", "sosthenes"),
+    ("zenaidis", "zenais"), ("irenes", "irene"), ("aristsei", "aristaeus"), ("socratis", "socrates"), ("epistemis", "episteme"),
+]
 # Endings of which a slug part may have either form.
 VARIANTS = [*ENDINGS, ("is", "es")]
 # First parts of a slug that lead a class of unnamed people.
@@ -205,12 +211,18 @@ def stem_variants(slug: Column, stop: list[str], cut: int = 6) -> Column:
     return F.transform(parts, lambda p: F.array_distinct(F.transform(lemma_variants(p), lambda v: F.substring(F.regexp_replace(v, "ae|oe", "e"), 1, cut))))
 
 
-def lemmatized(token: Column, mined: Column) -> Column:
-    """A genitive as a nominative: as it was mined, else by its ending, else the token itself."""
+def lemmatized(token: Column, mined: Column, endings: list[tuple[str, str]] = ENDINGS, least_i: int = 5) -> Column:
+    """A genitive as a nominative: as it was mined, else by its ending, -i from `least_i` letters on, else the token itself."""
     out = F.when(mined.isNotNull(), mined)
-    for end, other in ENDINGS:
+    for end, other in endings:
         out = out.when(token.endswith(end), F.concat(F.substring(token, F.lit(1), F.length(token) - len(end)), F.lit(other)))
-    return out.when(token.endswith("i") & (F.length(token) > 4), F.concat(F.substring(token, F.lit(1), F.length(token) - 1), F.lit("us"))).otherwise(token)
+    return out.when(token.endswith("i") & (F.length(token) >= least_i), F.concat(F.substring(token, F.lit(1), F.length(token) - 1), F.lit("us"))).otherwise(token)
+
+
+def lemmatized_name(token: Column, mined: Column) -> Column:
+    """A name's genitive as a nominative: by the irregular names, else as lemmatized() with the endings of names."""
+    irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR for x in pair])
+    return F.coalesce(F.try_element_at(irregular, token), lemmatized(token, mined, NAME_ENDINGS, 4))
 
 
 def rejoined(raw: Column) -> Column:

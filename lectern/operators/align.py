@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import canonical as C
+from lectern.operators.placement import merge_collisions
 from lectern.storage import kept
 
 ENTRY = ["edition", "month", "day", "idx"]
@@ -373,6 +374,4 @@ def mine_lemmas(ids: DataFrame, texts: DataFrame) -> DataFrame:
 def remapped(elogia: DataFrame, mapping: DataFrame) -> DataFrame:
     """Entries (edition, month, day, pos, id, text) with ids replaced by a mapping (old, new), equal ones of a day merged."""
     new = elogia.join(mapping.select(F.col("old").alias("id"), "new"), "id", "left").withColumn("id", F.coalesce("new", "id"))
-    merged = new.groupBy("edition", "month", "day", "id").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
-    told = F.transform("parts", lambda x, i: F.when(i < F.size("parts") - 1, C.right_stripped(x["text"])).otherwise(x["text"]))
-    return merged.select("edition", "month", "day", "pos", "id", F.array_join(told, " ").alias("text"))
+    return merge_collisions(new).select("edition", "month", "day", "pos", "id", "text")

@@ -48,15 +48,6 @@ def apply_edits(elogia: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.col("op").isNotNull(), F.col("_text")).otherwise(F.col("text"))).select(*elogia.columns)
 
 
-def rejected(edits: DataFrame, elogia: DataFrame, ids: DataFrame) -> DataFrame:
-    """(seq, error) of edits whose id is unknown, or known but not printed in the edition; the first error counts."""
-    known = ids.select("id").distinct().withColumn("known", F.lit(True))
-    printed = elogia.select("edition", "id").distinct().withColumn("printed", F.lit(True))
-    joined = edits.join(known, "id", "left").join(printed, ["edition", "id"], "left")
-    error = F.when(F.col("known").isNull(), "unknown-id").when(F.col("printed").isNull(), "not-in-edition")
-    return joined.select("seq", error.alias("error")).where("error is not null")
-
-
 def month_hashes(elogia: DataFrame) -> DataFrame:
     """(edition, month, current_hash): sha256 of the month's entries in order."""
     entry = F.concat_ws("\n", F.format_string("%02d-%04d", "day", "pos"), "id", "text")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import canonical as C
 from lectern.operators.align import ENTRY
 from lectern.operators.curation import with_margin
+from lectern.operators.placement import merge_collisions
 from lectern.storage import kept
 
 STEM = 6
@@ -120,10 +121,7 @@ def apply_decisions(elogia: DataFrame, deprecated: DataFrame, sidecar: DataFrame
     """
     remap = kept(decisions.where("kind = 'RESLUG' or kind like 'MATCH%'").select("edition", "id", "kind", F.col("new_id").alias("new"), "subject", F.col("method").alias("m_method"), F.col("score").alias("m_score")))
     moved = elogia.join(remap, ["edition", "id"], "left")
-    key = ["edition", "month", "day"]
-    merged = moved.withColumn("id", F.coalesce("new", "id")).groupBy(*key, "id").agg(F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("parts"))
-    parts = F.transform("parts", lambda x, i: F.when(i < F.size("parts") - 1, C.right_stripped(x["text"])).otherwise(x["text"]))
-    entries = merged.select(*key, "pos", "id", F.array_join(parts, " ").alias("text"))
+    entries = merge_collisions(moved.withColumn("id", F.coalesce("new", "id"))).select("edition", "month", "day", "pos", "id", "text")
     renamed = deprecated.join(remap.select("edition", "id", "kind", "new", F.col("subject").alias("s")), ["edition", "id"], "left").where("kind is null or kind = 'RESLUG'")
     left = renamed.withColumns({"id": F.coalesce("new", "id"), "subject": F.when(F.col("new").isNotNull(), F.col("s")).otherwise(F.col("subject"))}).select(*deprecated.columns)
     place = F.struct("month", "day", "pos")

@@ -30,6 +30,15 @@ ALIBI = r"Et\s*a\s*l\s*i\s*b\s*i\b"
 HEADS = ["MARTYROLOGIUM", "ROMANUM", "MARTYROLOGIUM ROMANUM"]
 RUNNING_HEAD = r"""\A\s*[|:.;\-'"“”]*\s*[0-9]*\s*(?:""" + "|".join(m.upper() for m in ENGLISH_MONTHS) + r""")\s*[.,!]?\s*[0-9]*\s*[|:.;]*\s*\z"""
 FINAL = r"[.!?]\z"
+# A day's header as scans of the English book have it, and how they spell the months.
+NOISY_HEADER = (
+    r"(?m)^.{0,8}\b(?:Che|The|Cbe|Ehe|Ghe|che|he|[CGE]he)\s+(\S{2,25})"
+    r"\s+(?:Dap|Day|Davy|Dav|Bay|Pap|day|Dan|Dayp|Duy|Oap)\s+of\s+(\S{3,12})"
+)
+MONTH_SPELLINGS = [
+    "january januarp fjanuarp fanuarp", "february februarp februaty", "march warch mwarch watch ware warcd warci", "april", "may wap map mav wav", "june jume",
+    "july fulp fjulp fulv julp", "august", "september septenrder", "october dctober dectober", "november movember wovmber", "december decenrber",
+]
 _OTHER = "\\t\\n\\x{b}\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}"
 #: White space that isn't one space: single spaces, by far the most, are left alone without a match.
 SPACES = f"[{_OTHER}][ {_OTHER}]*| [ {_OTHER}]+"
@@ -185,6 +194,42 @@ def english_heading(day: Column, month: Column) -> Column:
     return F.concat(F.lit("The "), ordinal, F.lit(" Day of "), name)
 
 
+def month_read(word: Column) -> Column:
+    """The month that a word of a header names, by its known spellings, else null."""
+    told = F.create_map(*[F.lit(x) for m, found in enumerate(MONTH_SPELLINGS, 1) for w in found.split() for x in (w, m)])
+    return F.try_element_at(told, F.btrim(F.lower(word), F.lit(",.")))
+
+
+def english_days(books: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(book, month, day, word, titulus, entries), one row a day, of whole texts with noisy English headers.
+
+    A header may run over a line's end. One whose month can't be read is none: it stays in the day's text. A header's day
+    is its turn among those of its month; `word` is the day as it was read. A text without headers, or null, has no days.
+    """
+    text = F.col(text_col)
+
+    def heads(pieces: Column) -> Column:
+        words, months = (F.regexp_extract_all(text, F.lit(NOISY_HEADER), F.lit(g)) for g in (1, 2))
+        return F.transform(F.regexp_extract_all(text, F.lit(NOISY_HEADER), F.lit(0)), lambda h, i: F.struct(h.alias("header"), F.get(words, i).alias("word"), month_read(F.get(months, i)).alias("month"), F.get(pieces, i + 1).alias("rest")))
+
+    def day(run: Column) -> Column:
+        first = F.get(run, F.lit(0))
+        return F.struct(first["month"].alias("month"), first["word"].alias("word"), F.array_join(F.transform(run, lambda h, i: F.when(i == 0, h["rest"]).otherwise(F.concat(h["header"], h["rest"]))), "").alias("body"))
+
+    found = let(let(F.split(text, NOISY_HEADER, -1), heads), lambda h: F.transform(runs(h, lambda x, i: x["month"].isNotNull()), day))
+    turn = lambda all_, d, i: F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda x: x["month"] == d["month"]))
+    known = let(F.filter(found, lambda d: d["month"].isNotNull()), lambda ds: F.transform(ds, lambda d, i: F.struct(d["month"].alias("month"), turn(ds, d, i).alias("day"), d["word"].alias("word"), d["body"].alias("body"))))
+    each = books.where(text.isNotNull()).select(F.col(id_col).alias("book"), F.explode(known).alias("d")).select("book", "d.*")
+    entries = split_entries(join_lines(clean_english(lines_of(F.col("body")))))
+    return each.select("book", "month", "day", "word", english_heading(F.col("day"), F.col("month")).alias("titulus"), entries.alias("entries"))
+
+
+def missing_days(days: DataFrame, lengths: list[int]) -> DataFrame:
+    """(book, month, day) of the days of a year, months of these lengths, that a book of `days` lacks."""
+    year = F.explode(F.array(*[F.struct(F.lit(m).alias("month"), F.lit(d).alias("day")) for m, n in enumerate(lengths, 1) for d in range(1, n + 1)]))
+    return days.select("book").distinct().select("book", year.alias("y")).select("book", "y.month", "y.day").join(days.select("book", "month", "day"), ["book", "month", "day"], "left_anti")
+
+
 def ordinals_read(rows: DataFrame, word_col: str = "word") -> DataFrame:
     """Distinct words of `rows` with the day that each names best: (word, ordinal), the first of equally similar ones.
 

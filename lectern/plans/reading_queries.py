@@ -126,7 +126,7 @@ def q_p10_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT id, md5(concat('=', id, chr(31), '=', CAST(month AS STRING), chr(31), coalesce('=' || CAST(entry AS STRING), '-'))) AS fingerprint, split_part(substr(id, 9), '-', 1) IN ('martyres', 'fratres', 'milites', 'virgines', 'monachi', 'confessores', 'sorores', 'presbyteri') AS leads FROM (SELECT CASE WHEN p_partkey % 6 = 0 THEN concat(left(id, 8), 'martyres-', substr(id, 9)) ELSE id END AS id, month, entry FROM b_ids)")
 def q_f25_p14_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     (ids,) = bind(spark, sf_dir, "b_ids")
-    renamed = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.left("id", F.lit(8)), F.lit("martyres-"), F.substring("id", 9, 1000))).otherwise(F.col("id"))
+    renamed = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.left("id", F.lit(8)), F.lit("martyres-"), C.slug_of(F.col("id")))).otherwise(F.col("id"))
     d = ids.select(renamed.alias("id"), "month", "entry")
     return d.select("id", C.fingerprint(F.col("id"), F.col("month"), F.col("entry")).alias("fingerprint"), C.leads_class(F.col("id")).alias("leads"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import canonical as C
 from lectern.operators import remediation
 from lectern.operators.align import ENTRY
 from lectern.plans.bindings import bind, with_views
@@ -156,7 +157,7 @@ g AS (SELECT month, day, 0 AS n, coalesce(used, []) AS used, NULL::VARCHAR AS id
 def _to_coin(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every entry of all editions to be given an id by one word of its name, with another as its place; and the ids that are there."""
     elogia, ids = bind(spark, sf_dir, "b_elogia", "b_ids")
-    word = lambda k: F.get(F.split(F.substring("id", 9, 1000), "-"), F.lit(k))
+    word = lambda k: F.get(F.split(C.slug_of(F.col("id")), "-"), F.lit(k))
     entries = elogia.select("edition", "month", "day", F.col("pos").alias("idx"), word(0).alias("slug"), F.when(F.col("pos") % 4 > 0, word(1)).alias("place"))
     lead = F.concat(F.left("id", F.lit(8)), F.split("p_name", " ")[0])
     more = ids.select(F.when(F.col("p_partkey") % 3 == 0, lead).otherwise(F.concat_ws("-", lead, (F.col("p_partkey") % 6).cast("string"))).alias("id"))

@@ -145,3 +145,10 @@ def test_labels_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(f"{k:04d}", f"{k + 1:04d}") for k in range(n)] + [("x", "y")], "a string, b string").repartition(3)
     assert {r["id"]: r["label"] for r in align.linked(edges).collect()} == {f"{k:04d}": "0000" for k in range(n + 1)} | {"x": "x", "y": "x"}
+
+
+def test_names_as_nominatives(spark):
+    told = {"fidei": "fides", "victoris": "victor", "magnetis": "magnes", "leonis": "leo", "titi": "titus", "iuliae": "iulia", "clementis": "clemens", "macarii": "macarius", "vi": "vi", "anna": "anna"}
+    df = spark.createDataFrame([(k, "mined" if k == "anna" else None) for k in told], "t string, m string")
+    got = {r["t"]: r["n"] for r in df.select("t", C.lemmatized_name(F.col("t"), F.col("m")).alias("n")).collect()}
+    assert got == told | {"anna": "mined"}

@@ -1,5 +1,7 @@
 """Texts structured: small books with known answers."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from lectern.operators import structure as S
@@ -56,3 +58,25 @@ def test_ordinals(spark):
     got = S.ordinal_report(spark.createDataFrame(rows, "book int, nth int, month int, word string")).collect()
     assert sorted((r["book"], r["day"], r["ordinal"]) for r in got) == [(1, 2, 22), (2, 1, 2)]
     assert spark.range(1).select(S.english_heading(F.lit(31), F.lit(12)).alias("h")).first()["h"] == "The Thirty-First Day of December"
+
+
+def test_english_days_of_noisy_headers(spark):
+    """Against a plain reading of the same text: headers over a line's end, months misread or unreadable, days in turn."""
+    book = (
+        "front matter\nThe First Day of Januarp.\nAt Rome, Saint A.— In Spain, Saint\nB, mar-\ntyr — \n* note\nmore note\n\n12\nJANUARY 3\nSaint C\n"
+        "Che Second\nDap of fjanuarp, Octave of X.\nThe Fourth Day of Whatever in the text.—Also D.\nxx The Twenty-First Day of map\nSaint E, bishop.\nThe Fifth Day of Jume:\nnothing\nEhe Third Dav of JANUARY\n..\n"
+    )
+    months = {w: m for m, found in enumerate(S.MONTH_SPELLINGS, 1) for w in found.split()}
+    matches = [m for m in re.finditer(S.NOISY_HEADER, book) if m.group(2).lower().strip(",.") in months]
+    seen, want = {}, {}
+    for i, m in enumerate(matches):
+        month = months[m.group(2).lower().strip(",.")]
+        seen[month] = seen.get(month, 0) + 1
+        want[month, seen[month]] = (m.group(1), book[m.end() : matches[i + 1].start() if i + 1 < len(matches) else len(book)])
+    days = S.english_days(spark.createDataFrame([(1, book), (2, None), (3, "no header"), (4, "")], "doc_id int, text string"))
+    got = {(r["month"], r["day"]): r for r in days.collect()}
+    assert set(got) == set(want) == {(1, 1), (1, 2), (1, 3), (5, 1)} and {k: r["word"] for k, r in got.items()} == {k: w for k, (w, _) in want.items()}
+    assert got[1, 1]["entries"] == ["At Rome, Saint A.", "In Spain, Saint B, martyr.", "Saint C."] or got[1, 1]["entries"][:2] == ["At Rome, Saint A.", "In Spain, Saint B, martyr — Saint C."]
+    assert got[1, 2]["titulus"] == "The Second Day of January" and any("Whatever" in e for e in got[1, 2]["entries"]) and got[5, 1]["entries"][0].startswith("Saint E, bishop")
+    lacking = S.missing_days(days, [3, 0, 0, 0, 2]).collect()
+    assert [(r["book"], r["month"], r["day"]) for r in lacking] == [(1, 5, 2)]
