@@ -22,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_report(_table(spark, sf_dir, "documents"), known=secret_scan.known_samples(spark))
 
 
+def secret_models_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.held_out_report(_table(spark, sf_dir, "documents"), known=secret_scan.known_samples(spark))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_exact_dedup, op2_secret_scan, op3_line_dedup, op4_warc_revisit, op5_quality_rules, op6_url_filter, op7_jaccard_join, op8_piece_sampling, op9_mixing, op10_chat_format]
-    own += [op11_merkle_manifest, op12_license_scan, op13_collocations]
+    own += [op11_merkle_manifest, op12_license_scan, op13_collocations, secret_models_held_out]
     return {f.__name__: f for f in own}
 
 

@@ -187,3 +187,24 @@ def secrets_report(docs: DataFrame, **options) -> DataFrame:
         F.sha2(spans_text(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
     )
+
+
+def held_out_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5, known: DataFrame | None = None, seed: int = 7) -> DataFrame:
+    """(kind, n, flagged, share): how the models that scan_secrets() trains judge labelled tokens that they haven't learnt from.
+
+    The tokens are made of every document: random ones of 40 characters of base64, 30 of base62 and 24 capitals and digits,
+    from a digest of its text and the seed, which differ from document to document; and an ordinary one, four distinct words
+    of the text joined by underscores, where it has them and they make 20 characters. flagged counts the tokens whose ratio
+    reaches the threshold: of a random kind its share is the recall, of `ordinary` the false alarms. A null text is empty; an
+    empty table gives no rows. The models learn from the documents' base spans (random), their identifiers outside of them
+    (ordinary), and `known`.
+    """
+    model = learned(materialize(find_candidates(docs, text_col, id_col)), known=known)
+    text = text_of(text_col)
+    drawn = F.replace(F.base64(F.unhex(F.sha2(F.concat(F.lit(f"{seed}:"), text), 512))), F.lit("="), F.lit(""))
+    plain = F.regexp_replace(drawn, "[+/]", "")
+    words = F.array_join(F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[a-z]{4,12}\b"), F.lit(0))), 1, 4), "_")
+    kinds = {"base64": F.left(drawn, F.lit(40)), "base62": F.left(plain, F.lit(30)), "capitals": F.left(F.upper(plain), F.lit(24)), "ordinary": words}
+    told = docs.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("token")) for k, t in kinds.items()])).alias("x")).select("x.*").where(F.char_length("token") >= 20)
+    judged = told.select("kind", (ratio(F.col("token"), model) >= threshold).alias("hit"))
+    return judged.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("hit").alias("flagged"), F.avg(F.col("hit").cast("int")).alias("share"))

@@ -93,6 +93,12 @@ def test_random_strings_of_every_alphabet_are_caught(spark):
     assert len(share) == 10 and all(v >= (0.85 if k.startswith("lower") else 0.97) for k, v in share.items()), share
 
 
+def test_secret_models_on_held_out_tokens(spark, none):
+    share = {r["kind"]: r["share"] for r in queries.queries()["secret_models_held_out"](spark, SF).collect()}
+    assert share.pop("ordinary") <= 0.01 and min(share.values()) >= 0.97 and len(share) == 3
+    assert secret_scan.held_out_report(none).count() == 0
+
+
 def test_quality(spark, docs, none):
     text = " ".join(["a b c d e f g h"] * 2 + [f"x{i}" for i in range(40)]) + "\nsame line\nsame line\n#$"
     got = {r["doc_id"]: r for r in quality_rules.judge(docs.unionByName(spark.createDataFrame([(20, text, "s", "c", 0)], docs.schema)), docs.where("doc_id = 5").select("doc_id")).collect()}
