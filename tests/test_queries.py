@@ -1,9 +1,9 @@
 import pytest
 
-from lectern.plans import curation_queries, queries, reading_queries, remediation_queries
+from lectern.plans import curation_queries, queries, reading_queries, remediation_queries, source_queries
 from tests.oracle import holds
 
-PARTS = (queries, reading_queries, curation_queries, remediation_queries)
+PARTS = (queries, reading_queries, curation_queries, remediation_queries, source_queries)
 QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in PARTS for k, v in p.ORACLES.items()}
 
