@@ -69,7 +69,11 @@ def parsed(formatted: Column) -> Column:
 
 
 def chat_report(turns: DataFrame, **options) -> DataFrame:
-    """What a reader finds in the formatted conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What a reader finds in the formatted conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Null texts and roles are empty, null ids one conversation; an empty table gives no rows. A very long text is escaped and
+    read back whole.
+    """
     read = format_chats(turns, **options).withColumn("turns", parsed(F.col("formatted")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == TRAINED_ROLE), lambda t: t["text"]), "")

@@ -89,7 +89,8 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the smallest id stays; null ids come last; of repeated rows with one id one stays. An
-    empty table gives no rows. Columns of `docs` other than id and text are not read.
+    empty table gives no rows. Columns of `docs` other than id and text are not read. A very long text is cut into more
+    blocks, its names halve in number with every level.
     """
     rows = block_identities(docs, text_col, id_col, block_bytes)
     first = F.min(F.struct(F.col("id").isNull().alias("void"), F.col("id").alias("id"), F.col("rid").alias("rid")))

@@ -225,7 +225,8 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     A text without words (or null) has an empty set and is linked with nothing; one with fewer words than a shingle has
     the one shingle of all its words. component_id is the smallest id of the component, null ids left out; kept marks
     one row of each component, of the row of that id, and every row without words. Repeated rows are copies of each
-    other. An empty table gives no rows. Other columns are not read.
+    other. An empty table gives no rows. Other columns are not read. A very long text has all its shingles in its set; a
+    quarter of them and one is posted.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -297,7 +298,7 @@ def link_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def component_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row, null, empty and repeated ones as link_components() has them."""
     return link_components(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 

@@ -149,7 +149,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     base has every place of the fixed phrases, found the templates' best scores and whether they are licences of the file.
     A null or empty text has no words and no licences; an empty table gives no rows; repeated rows give repeated results.
-    Other columns are not read. Ties of frequency go by the word, then by its position.
+    Other columns are not read. Ties of frequency go by the word, then by its position. A very long text is one row: it takes
+    a few steps for each of its words, and some dozen for each place that a leading word leads to.
     """
     files = docs.select(F.col(id_col).alias("doc_id"), words_of(text_of(text_col)).alias("words"))
     idf = inverse_frequencies(files, sorted({w for text in [t for _, t, _ in templates] + [p for _, p in phrases] for w in plain_words(text)}))

@@ -107,7 +107,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 def line_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 (of the kept lines joined by line feeds), for every row.
 
-    A null or empty text has one empty line. Repeated rows give repeated results; an empty table gives none.
+    A null or empty text has one empty line. Repeated rows give repeated results; an empty table gives none. A very long
+    text is hashed once, and its lines are rows of their own until its bitmap comes back.
     """
     only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kept = apply_bitmaps(only, line_bitmaps(only, **options))

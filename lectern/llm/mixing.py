@@ -163,7 +163,7 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
 
 
 def mixing_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row."""
+    """doc_id, size, source_size, target, taken of every row; null, empty, repeated and very long texts as mix() has them."""
     return mix(docs, **options).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 

@@ -383,7 +383,9 @@ def sample_pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """`docs` with a column `out` of sampled piece ids (array of int), with or without their text.
 
     The row's key is the hash of its id and the seed: repeated rows, and rows of null id and one text, get one
-    segmentation. A null text counts as empty; an empty text has no pieces. An existing column `out` is replaced.
+    segmentation. A null text counts as empty; an empty text has no pieces. An existing column `out` is replaced. A very
+    long text is sampled whole; Spark hands texts to the task in batches of 64 MB (spark.sql.execution.arrow.maxBytesPerBatch)
+    or of one text.
     """
     vocabulary, key, text = docs.sparkSession.sparkContext.broadcast(load_pieces(model)), free_name(docs, "_key"), free_name(docs, "_text")
     kept = docs.drop(out) if keep_text else docs.drop(out, text_col)
@@ -413,7 +415,8 @@ def decode_pieces(encoded: DataFrame, pieces_col: str = "pieces", out: str = "te
 def pieces_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: str = MODEL, seed: int = 0) -> DataFrame:
     """doc_id, n_pieces, pieces_sha256 (of the ids as 4-byte little-endian integers), decoded_sha256, lossless.
 
-    One pass: a text is encoded, its ids are decoded again and compared in the same task.
+    One pass: a text is encoded, its ids are decoded again and compared in the same task. A null text counts as empty and
+    has no pieces; repeated rows give repeated results; an empty table gives no rows.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("key"), text_of(text_col).alias("text"))

@@ -182,7 +182,7 @@ def judge(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: s
 
     threshold: what a score must reach; without it the one that fit() finds with `junk`. A null text counts as empty: no
     words, so it fails. Repeated rows get the same verdict each. An empty table gives no rows. Columns other than id and
-    text are not read.
+    text are not read. A very long text is judged whole, in its own row.
     """
     model, least = _learned(docs, trusted, text_col, id_col, threshold, limit, junk)
     judged = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text")).select("doc_id", quality_columns(F.col("_text"), model, least).alias("q"))

@@ -160,7 +160,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     samples: (sample, random) to train from; without it the documents' own, labelled by the patterns: what the base
     spans hold against identifiers outside of any span. known: more of them, of a fixed set, to train from besides. A
     null or empty text has no spans; an empty table gives no rows; repeated rows give repeated results. Other columns
-    are not read.
+    are not read. A very long text takes n log n steps for its n matches.
     """
     found = materialize(find_candidates(docs, text_col, id_col))
     model = learned(found, samples, limit, known)
@@ -176,7 +176,7 @@ def spans_text(spans: Column) -> Column:
 
 
 def secrets_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, counts of the base kinds, digest of the base spans, all spans as text."""
+    """doc_id, counts of the base kinds, digest of the base spans, all spans as text, of every row; else as scan_secrets()."""
     spans = scan_secrets(docs, **options)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return spans.select(

@@ -143,7 +143,7 @@ def with_listed(rows: DataFrame, key: str, listed: DataFrame, out: str, **option
 
 
 def listed_hosts(pages: DataFrame, url_col: str = "url", labels: list[str] = LISTED_LABELS) -> DataFrame:
-    """The distinct hosts of the pages that have one of the labels: the list of the registered query."""
+    """The distinct hosts of the pages that have one of the labels: the list of the registered query. A null url has an empty host, which has none."""
     return pages.select(host_of(F.col(url_col)).alias("host")).where(F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels]))).distinct()
 
 

@@ -106,6 +106,10 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def revisit_report(pages: DataFrame) -> DataFrame:
-    """record_id, url_key, refers_to, status, headers as text, for every revisit drawn from `pages`."""
+    """record_id, url_key, refers_to, status, headers as text, for every revisit drawn from `pages`.
+
+    A null url is a key of its own, the empty one; of a null html the size is 0; a very long one is only measured. Repeated
+    pages give repeated revisits; an empty table gives none.
+    """
     told = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
     return resolve_revisits(captures(pages)).select("record_id", "url_key", "refers_to", "status", told.alias("headers"))

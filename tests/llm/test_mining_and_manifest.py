@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import collocations, licenses, line_dedup, merkle_manifest, secret_scan
+from lectern.llm import chat_format, collocations, exact_dedup, jaccard_join, licenses, line_dedup, merkle_manifest, mixing, piece_sampling, quality_rules, secret_scan
 
 MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including'
 NAMES = "tree leaf rank n path no area node rid at name key words lookups hits".split()
@@ -172,4 +172,11 @@ def test_very_long_texts(spark):
     assert all(r["verified"] for r in timed("op11", merkle_manifest.manifest_report(df)) if zlib.crc32(str(r["doc_id"]).encode()) % 7)
     assert {r["n_base"] for r in timed("op12", licenses.license_report(df))} == {100_000, 0}
     assert {r["phrase"]: r["a"] for r in timed("op13", collocations.collocations(df))}["under the mit license"] == 200_000
+    assert {r["doc_id"]: r["kept"] for r in timed("op1", exact_dedup.exact_duplicates(df))} == {1: True, 2: False, 3: True}
+    assert {r["doc_id"]: r["n_words"] for r in timed("op5", quality_rules.judge(df, df.where("doc_id = 3").select("doc_id")))} == {1: 1_000_000, 2: 1_000_000, 3: 1}
+    assert {r["doc_id"]: r["component_id"] for r in timed("op7", jaccard_join.component_report(df))} == {1: 1, 2: 1, 3: 3}
+    assert all(r["lossless"] for r in timed("op8", piece_sampling.pieces_report(df)))
+    assert {r["size"] for r in timed("op9", mixing.mixing_report(df))} == {1_000_000, 1}
+    turns = df.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+    assert {r["loss_chars"] for r in timed("op10", chat_format.chat_report(turns))} == {len(long), 1}
     assert max(took.values()) < 120, took
