@@ -26,14 +26,28 @@ COMPARED = 300
 
 
 def similarity(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """`pairs` with difflib's ratio of two text columns, in this order: the ratio isn't symmetric. Null or empty gives 0."""
+    """`pairs` with difflib's ratio of two text columns, in this order: the ratio isn't symmetric. Null or empty gives 0.
+
+    Pairs of one second text are compared one after the other, so that it is indexed once.
+    """
     schema = pairs.withColumn(out, F.lit(0.0)).schema
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher, held = difflib.SequenceMatcher(), None
         for pdf in batches:
-            yield pdf.assign(**{out: [difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(pdf[a], pdf[b], strict=True)]})
+            rates = []
+            for x, y in zip(pdf[a], pdf[b], strict=True):
+                if not x or not y:
+                    rates.append(0.0)
+                    continue
+                if y != held:
+                    matcher.set_seq2(y)
+                    held = y
+                matcher.set_seq1(x)
+                rates.append(matcher.ratio())
+            yield pdf.assign(**{out: rates})
 
-    return pairs.mapInPandas(rate, schema)
+    return pairs.repartition(a, b).sortWithinPartitions(b).mapInPandas(rate, schema)
 
 
 def name_zone(raw: Column) -> Column:
@@ -279,8 +293,10 @@ def match_elimination(entries: DataFrame, ids: DataFrame, assigned: DataFrame, s
 
 def same_month_pairs(entries: DataFrame, ids: DataFrame, claimed: DataFrame) -> DataFrame:
     """(entry key, id, cand_day, jac) of entries and unclaimed ids (edition, id) of the same month on other days that share a word."""
-    at = ids.select("id", "month", F.col("day").alias("cand_day"), "id_sig").drop("day")
-    found = word_pairs(entries, at.withColumnRenamed("cand_day", "_d"), ["month"]).join(at.select("id", "cand_day"), "id").where("cand_day <> day")
+    left = entries.select(*ENTRY, F.size("sig").alias("a"), F.explode("sig").alias("w"))
+    free = ids.select("id", "month", F.col("day").alias("cand_day"), F.size("id_sig").alias("b"), F.explode("id_sig").alias("w"))
+    met = left.join(free, ["month", "w"]).where("cand_day <> day").groupBy(*ENTRY, "id", "cand_day", "a", "b").agg(F.count("*").alias("n"))
+    found = met.select(*ENTRY, "id", "cand_day", (F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("jac"))
     return found.join(claimed.select("edition", "id").distinct(), ["edition", "id"], "left_anti").select(*ENTRY, "id", "cand_day", "jac")
 
 
