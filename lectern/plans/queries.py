@@ -192,17 +192,17 @@ def q_a9_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.duplicate_ids(bind(spark, sf_dir, "b_elogia")[0])
 
 
-_GRANTS = """
+GRANTS = """
 , g AS (SELECT "user", relation, body, arg_max(op, seq) AS op FROM b_grants WHERE relation IN ('admin', 'editor', 'reader') GROUP BY ALL)
 """
 
 
-@_query(_GRANTS + """SELECT "user", relation, body FROM g WHERE op = 'grant'""")
+@_query(GRANTS + """SELECT "user", relation, body FROM g WHERE op = 'grant'""")
 def q_c11_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.fold_grants(bind(spark, sf_dir, "b_grants")[0]).select("user", "relation", "body")
 
 
-@_query(_GRANTS + """
+@_query(GRANTS + """
 , h AS (SELECT DISTINCT "user", body FROM g WHERE op = 'grant')
 SELECT e.edition, e.id, e.month, e.day, e.pos, e.l_orderkey % 50 AS reader,
   CASE WHEN CAST(substr(e.edition, 4) AS INT) % 5 <> 0 OR h.body IS NOT NULL THEN e.text END AS text,
@@ -216,7 +216,7 @@ def q_p9_j9_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("edition", "id", "month", "day", "pos", F.col("user").alias("reader"), "text", "access")
 
 
-@_query(_GRANTS + """
+@_query(GRANTS + """
 , a AS (SELECT "user", body FROM g WHERE op = 'grant' AND relation = 'admin'),
 r AS (SELECT event_id AS seq, user_id * 7 % 50 AS caller, CASE WHEN event_id % 23 = 0 THEN NULL ELSE user_id END AS "user", CASE WHEN event_id % 9 = 0 THEN 'owner' ELSE 'reader' END AS relation, concat('ed_', CAST(user_id * 7 % 50 % 10 AS STRING)) AS body FROM events)
 SELECT seq, CASE WHEN r."user" IS NULL THEN 'invalid-payload' WHEN relation = 'owner' THEN 'unknown-relation' ELSE 'forbidden' END AS error
@@ -229,7 +229,7 @@ def q_c11_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.refused_grants(asked, access.fold_grants(log))
 
 
-@_query(_GRANTS + """
+@_query(GRANTS + """
 , h AS (SELECT DISTINCT "user", body FROM g WHERE op = 'grant' AND relation IN ('admin', 'editor'))
 SELECT e.edition, e.id, e.month, e.day, e.pos FROM b_elogia e JOIN h ON h."user" = e.l_orderkey % 50 AND h.body = e.edition WHERE h."user" % 3 <> 0
 """)

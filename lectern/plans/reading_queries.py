@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import canonical as C
 from lectern.operators import access, align, align_late, placement, read, resolve
+from lectern.plans import queries
 from lectern.plans.bindings import bind, with_views
 from lectern.sources import registry, sinks
 
@@ -86,6 +87,14 @@ def q_read_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["q_read_path"] = q_read_path
+ORACLES["q_read_path"] = with_views(f"""
+, r AS ({queries.ORACLES['q_j3_resolve']})
+{queries.GRANTS}
+, h AS (SELECT DISTINCT "user", body FROM g WHERE op = 'grant'),
+o AS (SELECT r.o_orderkey AS request, r.resolved_edition AS edition, q.month, q.day FROM r JOIN b_requests q USING (o_orderkey) WHERE r.resolve_error IS NULL)
+SELECT o.request, o.edition, count(e.id) AS entries, count(CASE WHEN CAST(substr(o.edition, 4) AS INT) % 5 <> 0 OR h.body IS NOT NULL THEN e.text END) AS texts, max(CASE WHEN e.id IS NULL THEN 'unknown-day' END) AS error
+FROM o LEFT JOIN b_elogia e ON e.edition = o.edition AND e.month = o.month AND e.day = o.day LEFT JOIN h ON h."user" = o.request % 50 AND h.body = o.edition GROUP BY o.request, o.edition
+""")
 
 
 @_query("SELECT i.id, s.subject FROM b_ids i LEFT JOIN (SELECT id, subject FROM b_subjects WHERE locale = 'en') s ON i.id = s.id")
