@@ -7,14 +7,17 @@ exact, and no list of keys is joined to the corpus.
 
 Keys are dealt to blocks by hash, each with a cascade of its own of bounded size. Levels that fit into an expression are
 constants of it; larger ones are a table of one row a block, in which a page finds its block's bits by the block's number.
+Where that table is too large for a broadcast, every distinct key of the corpus finds its block, once, and brings the answer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bloom_positions, bloom_words, constant_longs, free_name, materialize
+from lectern.llm.common import bloom_positions, bloom_words, constant_longs, free_name, materialize, own_columns, renamed
 
 # Fixed values of the contract: rules as (host, path, verdict).
 RULES = [
@@ -82,18 +85,30 @@ def _block(key: Column, blocks: int) -> Column:
 class Cascade:
     """Levels of a Bloom filter cascade, in constants or in a table of blocks; exact for every key that it was built over."""
 
-    def __init__(self, sizes: list[int], constants: list[list[int]] | None = None, table: DataFrame | None = None, blocks: int = 1):
-        self.sizes, self.constants, self.table, self.blocks = sizes, constants, table, blocks
+    def __init__(self, sizes: list[int], constants: list[list[int]] | None = None, table: DataFrame | None = None, blocks: int = 1, most: int = MAX_BROADCAST):
+        self.sizes, self.constants, self.table, self.blocks, self.most = sizes, constants, table, blocks, most
 
     def mark(self, rows: DataFrame, key: str, out: str) -> DataFrame:
         """`rows` with a boolean column `out`: whether the key is listed."""
         if self.table is None:
             return rows.withColumn(out, _answer(F.col(key), [constant_longs(w) for w in self.constants], self.sizes))
+        if 8 * self.blocks * sum(self.sizes) <= self.most:
+            return self._answered(rows, key, out, F.broadcast)
+        # each distinct key finds its block once; the keys of very many rows bring their answer by a broadcast, so that no
+        # key's rows meet in one task, and no row carries a block's bits
+        many, own, told = renamed(rows, "_many", "_key", "_told")
+        keys = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(own)).agg(F.count("*").alias(many))
+        answers = materialize(self._answered(keys, own, told, lambda t: t).select(own, many, told))
+        heavy = F.broadcast(answers.where(F.col(many) >= max(1000, -(-rows.count() // 1000))).select(own, told))
+        same = F.col(key) == F.col(own)
+        often = rows.join(heavy, same).select(*own_columns(rows), F.col(told).alias(out))
+        rest = rows.join(heavy, same, "left_anti").join(answers.select(own, told), same, "left")
+        return often.unionByName(rest.select(*own_columns(rows), F.coalesce(told, F.lit(False)).alias(out)))
+
+    def _answered(self, rows: DataFrame, key: str, out: str, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
         at = free_name(rows, "_block")
         names = [free_name(rows, f"_level{i}") for i in range(len(self.sizes))]
-        table = self.table.toDF(at, *names)
-        table = F.broadcast(table) if 8 * self.blocks * sum(self.sizes) <= MAX_BROADCAST else table
-        joined = rows.withColumn(at, F.coalesce(_block(F.col(key), self.blocks), F.lit(0))).join(table, at, "left")
+        joined = rows.withColumn(at, F.coalesce(_block(F.col(key), self.blocks), F.lit(0))).join(near(self.table.toDF(at, *names)), at, "left")
         return joined.withColumn(out, _answer(F.col(key), [F.col(n) for n in names], self.sizes)).drop(at, *names)
 
 
@@ -110,7 +125,7 @@ def _level(keys: DataFrame, blocks: int, words: int, seed: int) -> DataFrame:
     return every.select("block", F.concat(full, F.array_repeat(F.lit(0).cast("long"), F.lit(words) - F.size(full))).alias("words"))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bytes: int = MAX_BYTES, block_keys: int = BLOCK_KEYS) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bytes: int = MAX_BYTES, block_keys: int = BLOCK_KEYS, most_broadcast: int = MAX_BROADCAST) -> Cascade:
     """The cascade for one-column frames of listed keys and of all keys of the corpus.
 
     Null keys are left out, repeated keys count once, an empty list gives a cascade without levels. Where level 1 fits
@@ -134,7 +149,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = BI
             table = bits.withColumnRenamed("words", "level0") if table is None else table.join(bits.withColumnRenamed("words", f"level{level}"), "block")
             hit = test.join(bits, "block").where(_holds(F.col("key"), F.col("words"), words, level)).drop("words")
         encode, test = materialize(hit), encode
-    return Cascade(sizes, constants if table is None else None, table if table is None else materialize(table), blocks)
+    return Cascade(sizes, constants if table is None else None, table if table is None else materialize(table), blocks, most_broadcast)
 
 
 def with_listed(rows: DataFrame, key: str, listed: DataFrame, out: str, **options) -> DataFrame:

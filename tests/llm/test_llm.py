@@ -148,7 +148,7 @@ def test_urls(spark):
     urls = ["https://A.example.com/en/71?x", "x://com/en/", "no scheme", None, "http://spam-farm.example.org/fr/1", "http://ok.example.org/fr#f", "http://example.net/de/81"] + [f"http://h{i}.org/" for i in range(500)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     listed = spark.createDataFrame([(f"h{i}.org",) for i in range(0, 500, 3)] + [("spam-farm.example.org",), ("absent",), (None,)], "host string")
-    for options in ({}, {"max_bytes": 8, "block_keys": 40}):
+    for options in ({}, {"max_bytes": 8, "block_keys": 40}, {"max_bytes": 8, "block_keys": 40, "most_broadcast": 0}):
         got = {r["page_id"]: r for r in url_filter.filter_urls(pages, listed, **options).collect()}
         assert [got[i]["verdict"] for i in range(7)] == ["allow", "block", "allow", "allow", "block", "allow", "block"]
         assert all((got[7 + i]["verdict"] == "block") == (i % 3 == 0) for i in range(500))
@@ -167,6 +167,15 @@ def test_a_list_of_millions_goes_through_the_cascade(spark):
     assert told.where("found <> is_listed").count() == 0 and told.count() == 2_000_000
 
 
+def test_a_long_list_and_a_host_of_most_rows(spark):
+    """Beyond what is broadcast: a listed and an unlisted host of thousands of rows, rare ones and nulls each get their answer."""
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "warm").when(F.col("id") % 5 > 0, F.concat(F.lit("h"), F.col("id").cast("string"))).alias("host"), F.col("id").alias("_key"))
+    listed = rows.where("host = 'hot' or host like 'h%7'").select("host")
+    got = url_filter.with_listed(rows, "host", listed, "found", max_bytes=8, block_keys=40, most_broadcast=0)
+    assert got.columns == ["host", "_key", "found"] and got.count() == 9000
+    assert got.where("found <> coalesce(host = 'hot' or host like 'h%7', false)").count() == 0
+
+
 def test_components(spark, docs, none):
     got = {r["doc_id"]: r for r in jaccard_join.component_report(docs).collect()}
     assert [got[i]["component_id"] for i in (1, 2, 3, 4, 5, 6, 7)] == [1, 1, 3, 4, 5, 5, 5] and got[3]["n_shingles"] == 0 and got[1]["n_shingles"] == 1
