@@ -118,7 +118,7 @@ def _phrase_places(phrase: list[str], idf: dict[str, float]) -> Column:
 def _best(template: Column) -> Column:
     """Struct (label, score, held) of a template in the file: its best score, and whether a place of enough has the key phrases.
 
-    The score is 0 where the leading words that the file lacks rule out LEAST.
+    A score below LEAST is 0; no place is tried where the leading words that the file lacks rule out LEAST.
     """
     leads = F.slice(template["postings"], F.lit(1), template["leading"])
     absent = F.filter(leads, lambda x: ~F.array_contains("lookups", x["word"]))
@@ -139,9 +139,9 @@ def _best(template: Column) -> Column:
     judged = lambda found: F.struct(
         template["label"].alias("label"),
         F.least(F.coalesce(F.array_max(found)["score"], F.lit(0.0)), F.lit(1.0)).alias("score"),
-        F.exists(F.filter(found, lambda s: s["score"] >= LEAST), verified).alias("held"),
+        F.exists(found, verified).alias("held"),
     )
-    return F.get(F.transform(F.array(F.transform(begins, scored)), judged), F.lit(0))
+    return F.get(F.transform(F.array(F.filter(F.transform(begins, scored), lambda s: s["score"] >= LEAST)), judged), F.lit(0))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates: list[tuple[str, str, list[str]]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
@@ -170,7 +170,7 @@ def license_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row, as scan_licenses() finds them.
 
     n_base counts the places of the fixed phrases, first_word and last_word are the least and the largest of them, null
-    where there is none. score is 1 where a phrase stands, else the best share of a template's weight, 0 where none can reach LEAST.
+    where there is none. score, to six decimals, is 1 where a phrase stands, else the best share of a template's weight, 0 below LEAST.
     """
     found = scan_licenses(docs, **options)
     places = F.flatten(F.transform("base", lambda b: b["places"]))
@@ -181,5 +181,5 @@ def license_report(docs: DataFrame, **options) -> DataFrame:
     return told.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         joined(F.col("base_labels")).alias("base_labels"), joined(F.concat("base_labels", "labels")).alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.round(F.coalesce("best", F.lit(0.0)), 6)).alias("score"),
     )

@@ -186,6 +186,31 @@ r AS (SELECT doc_id, leaf, b.h AS subroot, (SELECT h FROM upper_nodes WHERE n =
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: coalesce(x.h, '')), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM r
 """
 
+_TEMPLATES = ", ".join(f"({n}, '{label}', {licenses.plain_words(text)!r}, {[f' {k} ' for k in keys]!r})" for n, (label, text, keys) in enumerate(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"('{label}', {p.split()!r})" for label, p in licenses.PHRASES)
+
+_OP12 = rf"""
+WITH t(n, label, tw, keys) AS (VALUES {_TEMPLATES}),
+q(label, pw) AS (VALUES {_PHRASES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+v AS (SELECT DISTINCT unnest(tw) AS w FROM t),
+f AS (SELECT w, count(*) AS c FROM (SELECT r, unnest(list_distinct(ws)) AS w FROM d) JOIN v USING (w) GROUP BY w),
+i AS (SELECT w, ln(1 + ((SELECT count(*) FROM d) + 1) / (coalesce(c, 0) + 1)) AS idf FROM v LEFT JOIN f USING (w)),
+x AS (SELECT n, w, k - 1 AS spot, idf FROM (SELECT n, unnest(tw) AS w, generate_subscripts(tw, 1) AS k FROM t) JOIN i USING (w) QUALIFY row_number() OVER (PARTITION BY n ORDER BY idf DESC, w, k) <= {licenses.INDEXED}),
+p AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM d),
+s AS (SELECT r, n, pos - spot AS b, sum(idf) AS weight FROM p JOIN x USING (w) GROUP BY ALL),
+a AS (SELECT r, n, b, weight / total AS score FROM s JOIN (SELECT n, sum(idf) AS total FROM x GROUP BY n) USING (n) WHERE weight / total >= {licenses.LEAST}),
+h AS (SELECT r, label, least(score, 1.0) AS score,
+             list_bool_and(list_transform(keys, lambda k: contains(concat(' ', array_to_string(ws[greatest(b - {licenses.SLACK}, 0) + 1:greatest(b - {licenses.SLACK}, 0) + len(tw) + {2 * licenses.SLACK}], ' '), ' '), k))) AS held
+      FROM a JOIN t USING (n) JOIN d USING (r)),
+m AS (SELECT r, max(score) AS score, list(DISTINCT label) FILTER (held) AS labels FROM h GROUP BY r),
+o AS (SELECT r, label, k - 1 AS place FROM (SELECT r, ws, label, pw, unnest(range(1, len(ws) + 1)) AS k FROM d, q) WHERE ws[k:k + len(pw) - 1] = pw),
+b AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM o GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE round(coalesce(m.score, 0), 6) END AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)
+"""
+
 _OP13 = rf"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
@@ -206,4 +231,4 @@ WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_line_dedup": _OP3, "op4_warc_revisit": _OP4, "op6_url_filter": _OP6, "op10_chat_format": _OP10, "op11_merkle_manifest": _OP11, "op13_collocations": _OP13}
+    return {"op1_exact_dedup": _OP1, "op3_line_dedup": _OP3, "op4_warc_revisit": _OP4, "op6_url_filter": _OP6, "op10_chat_format": _OP10, "op11_merkle_manifest": _OP11, "op12_license_scan": _OP12, "op13_collocations": _OP13}
