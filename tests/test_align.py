@@ -4,10 +4,11 @@ import difflib
 import random
 import unicodedata
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import canonical as C
-from lectern.operators import align
+from lectern.operators import align, align_late
 
 NAMES = "Concordius Basilius Gregorius Macarius Euphrosyna Telesphorus Genovefa Lucianus Raimundus Marcellinus Hyginus Theodosius".split()
 
@@ -152,3 +153,27 @@ def test_names_as_nominatives(spark):
     df = spark.createDataFrame([(k, "mined" if k == "anna" else None) for k in told], "t string, m string")
     got = {r["t"]: r["n"] for r in df.select("t", C.lemmatized_name(F.col("t"), F.col("m")).alias("n")).collect()}
     assert got == told | {"anna": "mined"}
+
+
+def test_leading_pairs(spark):
+    """Entries and ids of few signatures: the first k pairs of each entry, and a choice from as many as there are rivals, against all pairs."""
+    draw = random.Random(8)
+    sig = lambda: draw.sample("abcd", 2)
+    entries = spark.createDataFrame([(e, 1, d, i, sig()) for e in "ef" for d in (1, 2) for i in range(1, 6)], "edition string, month int, day int, idx int, sig array<string>")
+    ids = spark.createDataFrame([(f"i{k:02}", 1, draw.randint(1, 2), sig()) for k in range(30)], "id string, month int, day int, id_sig array<string>")
+    every = align.word_pairs(entries, ids, ["month", "day"])
+    w = Window.partitionBy(*align.ENTRY).orderBy(F.col("jac").desc(), F.col("id").desc())
+    ranked = every.withColumn("rank", F.row_number().over(w))
+    for k in (1, 3):
+        assert rows(align.leading_pairs(entries, ids, ["month", "day"], k), *align.ENTRY, "id", "jac", "rank") == rows(ranked.where(f"rank <= {k}"), *align.ENTRY, "id", "jac", "rank")
+    few = align.leading_pairs(entries, ids, ["month", "day"], rivals=["edition", "month", "day"])
+    chosen = lambda df: rows(align_late.match_day(df.withColumnRenamed("jac", "total")), *align.ENTRY, "id", "score")
+    assert chosen(few) == chosen(every) and few.count() < every.count()
+
+
+def test_same_month_pairs_of_all_words(spark):
+    entries = spark.createDataFrame([("e", 1, 1, 1, ["a", "b"]), ("e", 1, 2, 1, ["c", "b"]), ("e", 2, 1, 1, [])], "edition string, month int, day int, idx int, sig array<string>")
+    ids = spark.createDataFrame([("x", 1, 1, ["b", "a"]), ("y", 1, 3, ["b", "a"]), ("z", 1, 3, ["b", "c"]), ("w", 1, 4, ["b", "a"]), ("v", 2, 2, [])], "id string, month int, day int, id_sig array<string>")
+    claimed = spark.createDataFrame([("e", "w")], "edition string, id string")
+    got = align.same_month_pairs(entries, ids, claimed, whole=True)
+    assert rows(got, "day", "id", "cand_day", "jac") == [(1, "y", 3, 1.0), (2, "z", 3, 1.0)] == rows(align.same_month_pairs(entries, ids, claimed).where("jac = 1"), "day", "id", "cand_day", "jac")
