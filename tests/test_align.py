@@ -131,6 +131,23 @@ def test_the_last_of_a_day_and_the_nearest(spark):
     assert rows(align.nearest(entries.unionByName(odd), ids, odd, []), *align.ENTRY, "id", "rank") == want and len(want) == 6
 
 
+def test_forced_by_words_is_forced_by_pairs(spark):
+    """Counted by sets of words it is the same as with all pairs; the registered query tells the score of what it gives."""
+    from lectern.plans.reading_queries import QUERIES
+
+    draw = random.Random(5)
+    word = lambda: sorted(draw.sample("abc", 2))
+    entries = spark.createDataFrame([(e, 1, d, i, word()) for e in "xyz" for d in range(1, 13) for i in range(1, draw.randint(2, 5))], "edition string, month int, day int, idx int, words array<string>")
+    ids = spark.createDataFrame([(f"{d}-{n}", 1, d, word()) for d in range(1, 13) for n in range(draw.randint(1, 4))], "id string, month int, day int, words array<string>")
+    matched = entries.where("idx % 2 = 0").join(ids.select("month", "day", "words").distinct(), ["month", "day", "words"], "left_semi")
+    pairs = matched.join(ids, ["month", "day", "words"]).select(*align.ENTRY, "id")
+    # an entry without ids of its words isn't matched in either
+    want = rows(align.forced_pairs(entries, ids, pairs), *align.ENTRY, "id")
+    assert rows(align.forced_by_words(entries.join(matched.select(*align.ENTRY, F.lit(True).alias("m")), align.ENTRY, "left").withColumn("matched", F.col("m").isNotNull()), ids), *align.ENTRY, "id") == want and want
+    got = QUERIES["q_m5_elimination"](spark, "/root/testdata/sf0.001")
+    assert got.columns == [*align.ENTRY, "id", "score"] and got.count() == 89
+
+
 def test_strong_pairs_miss_none(spark):
     """The rarest stems pair the same as all of them."""
     draw = random.Random(11)
