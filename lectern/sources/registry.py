@@ -78,10 +78,17 @@ def edition_shapes(months: DataFrame) -> DataFrame:
     return shapes.select("edition", F.when(F.col("key").startswith("mr:"), "flat").otherwise("days").alias("shape"))
 
 
+def _of_shape(months: DataFrame, shape: str) -> DataFrame:
+    """The month files of the editions of a shape, as edition_shapes() tells it. Documents are read once."""
+    key = F.get(F.json_object_keys("raw"), F.lit(0))
+    first = F.min_by("_key", F.when(F.col("_key").isNotNull(), F.col("month"))).over(Window.partitionBy("edition"))
+    told = months.where("edition is not null").withColumn("_key", key).withColumn("_first", first)
+    return told.where(F.when(F.col("_first").startswith("mr:"), "flat").otherwise("days") == shape).drop("_key", "_first")
+
+
 def parse_days(months: DataFrame) -> DataFrame:
     """(edition, month, day, titulus, conclusio, unaligned, elogia) of the month files laid out by day."""
-    by_day = months.join(edition_shapes(months).where("shape = 'days'"), "edition", "left_semi")
-    day = by_day.select("edition", "month", F.explode(members(F.col("raw"))).alias("m")).select("edition", "month", F.col("m.key").try_cast("int").alias("day"), F.from_json("m.value", "titulus string, elogia string, conclusio string").alias("d"))
+    day = _of_shape(months, "days").select("edition", "month", F.explode(members(F.col("raw"))).alias("m")).select("edition", "month", F.col("m.key").try_cast("int").alias("day"), F.from_json("m.value", "titulus string, elogia string, conclusio string").alias("d"))
     return day.select("edition", "month", "day", "d.titulus", "d.conclusio", F.col("d.elogia").startswith("[").alias("unaligned"), "d.elogia")
 
 
@@ -94,8 +101,7 @@ def parse_elogia(days: DataFrame) -> DataFrame:
 
 def parse_flat(months: DataFrame, ids: DataFrame) -> DataFrame:
     """(edition, month, day, pos, id, text) of the flat month files: current ids of that month, in the registry's order."""
-    flat = months.join(edition_shapes(months).where("shape = 'flat'"), "edition", "left_semi")
-    texts = flat.select("edition", "month", F.explode(members(F.col("raw"))).alias("m")).select("edition", "month", F.col("m.key").alias("id"), F.col("m.value").alias("text"))
+    texts = _of_shape(months, "flat").select("edition", "month", F.explode(members(F.col("raw"))).alias("m")).select("edition", "month", F.col("m.key").alias("id"), F.col("m.value").alias("text"))
     placed = texts.join(ids.where("not deprecated").select("id", "month", "day", "entry", "unnumbered"), ["id", "month"])
     order = Window.partitionBy("edition", "month", "day").orderBy(~F.col("unnumbered"), F.col("entry").asc_nulls_last(), "id")
     return placed.select("edition", "month", "day", F.row_number().over(order).alias("pos"), "id", "text")

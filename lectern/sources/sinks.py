@@ -13,7 +13,7 @@ def write_elogia(elogia: DataFrame, path: str) -> None:
 
 def _text(value: Column) -> Column:
     """A string as JSON, with its quotes."""
-    return F.regexp_extract(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return F.btrim(F.to_json(F.array(value)), F.lit("[]"))
 
 
 def month_documents(elogia: DataFrame, days: DataFrame) -> DataFrame:

@@ -160,6 +160,17 @@ def test_days_months_and_metadata(spark):
     assert rows(edits.routed(meta.select("edition"), spark.createDataFrame([("f",)], "edition string")), "edition", "repository") == [("e", "public"), ("f", "private")]
 
 
+def test_documents_and_days_are_read_once(spark):
+    """The printed lines are joined once for documents, and no more than three times where days and edits come of them too."""
+    from lectern.plans import curation_queries, reading_queries
+
+    read_ = lambda q: q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+    assert read_(curation_queries.QUERIES["q_c1_u5_validate_days"]) == 1
+    assert read_(curation_queries.QUERIES["q_c6_patch_days"]) <= 3
+    assert read_(reading_queries.QUERIES["q_s5_s6_s11_documents"]) <= 2
+    assert read_(reading_queries.QUERIES["q_j2_s6_flat"]) == 1
+
+
 def test_an_edit_meets_the_first_place_only(spark):
     elogia = spark.createDataFrame([("e", 1, 1, 1, "i", "one", 2), ("e", 2, 3, 1, "i", "two", 2), ("e", 2, 3, 2, "j", "three", 2)], ENTRY + ", anchor_month int")
     log = spark.createDataFrame([(1, "e", "i", "patch", "no"), (2, "e", "i", "patch", "yes"), (3, "e", "j", "delete", None)], "seq long, edition string, id string, op string, text string")
