@@ -11,6 +11,8 @@ from lectern.functions.arrays import let, runs
 ID = "id string, month int, day int, entry int, asterisk boolean, country string, unnumbered boolean"
 DEPRECATED = "id string, month int, day int, entry int, country string, attested_in string"
 EDITION = "id string, book string, nature string, language string, scope string, promulgated string, decree string, predecessor string, successor string, translation_of string, note string"
+#: So many members of a JSON object are held against one another.
+FEW = 64
 MONTH_FILE = r"([^/]+)/(0[1-9]|1[0-2])\.json$"
 
 
@@ -43,14 +45,18 @@ def read_editions(spark: SparkSession, path: str, book: str) -> DataFrame:
 
 def members(raw: Column) -> Column:
     """(key, raw value) of a JSON object in its order; a repeated key has its first place and its last value."""
-    placed = F.array_sort(F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value"))))
-
     def once(s: Column) -> Column:
         same = runs(s, lambda x, i: x["key"] != F.get(s, i - 1)["key"])
         told = F.transform(same, lambda r: F.struct(F.get(r, F.lit(0))["at"].alias("at"), F.get(r, F.lit(0))["key"].alias("key"), F.element_at(r, -1)["value"].alias("value")))
         return F.transform(F.array_sort(told), lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value")))
 
-    return let(placed, once)
+    def told(m: Column) -> Column:
+        # few keys that all differ stay as they are; to tell so of many takes longer than to sort them
+        plain = F.when(F.size(m) <= FEW, F.size(F.array_distinct(F.transform(m, lambda e: e["key"]))) == F.size(m)).otherwise(False)
+        placed = F.array_sort(F.transform(m, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value"))))
+        return F.when(plain, m).otherwise(let(placed, once))
+
+    return let(F.map_entries(F.from_json(raw, "map<string,string>")), told)
 
 
 def read_subjects(spark: SparkSession, path: str) -> DataFrame:

@@ -160,6 +160,17 @@ def test_days_months_and_metadata(spark):
     assert rows(edits.routed(meta.select("edition"), spark.createDataFrame([("f",)], "edition string")), "edition", "repository") == [("e", "public"), ("f", "private")]
 
 
+def test_members_of_few_and_of_many_keys(spark):
+    """A repeated key has its first place and its last value, however many keys there are."""
+    from lectern.sources.registry import FEW, members
+
+    for n in (0, 1, 3, FEW - 1, FEW, FEW + 1, 3 * FEW):
+        for keys in ([f"k{n - i}" for i in range(n)], [f"k{n - i}" for i in range(n)] + ["k1", "z", "k1"]):
+            raw = "{" + ",".join(f'"{k}": "v{i}"' for i, k in enumerate(keys)) + "}"
+            got = spark.createDataFrame([(raw,)], "raw string").select(members(F.col("raw")).alias("m")).first()["m"]
+            assert [tuple(m) for m in got] == list({k: f"v{i}" for i, k in enumerate(keys)}.items())
+
+
 def test_documents_and_days_are_read_once(spark):
     """The printed lines are joined once for documents, and no more than three times where days and edits come of them too."""
     from lectern.plans import curation_queries, reading_queries
