@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.canonical import is_canonical, stripped
-from lectern.operators.placement import first_placements
 
 
 def overlay(published: DataFrame, draft: DataFrame, draft_months: DataFrame) -> DataFrame:
@@ -42,10 +41,12 @@ def apply_edits(elogia: DataFrame, edits: DataFrame) -> DataFrame:
 
     delete takes that entry out, any other op sets its text. Other placements of the id stay as they are.
     """
-    first = first_placements(elogia).select("edition", "id", "month", "day", "pos")
-    at = first.join(fold_edits(edits).select("edition", "id", "op", F.col("text").alias("_text")), ["edition", "id"])
-    joined = elogia.join(at, ["edition", "id", "month", "day", "pos"], "left").where("op is null or op <> 'delete'")
-    return joined.withColumn("text", F.when(F.col("op").isNotNull(), F.col("_text")).otherwise(F.col("text"))).select(*elogia.columns)
+    last = fold_edits(edits).select("edition", "id", "op", F.col("text").alias("_text"))
+    place = Window.partitionBy("edition", "id").orderBy(F.col("month") != F.col("anchor_month"), "month", "day", "pos")
+    # entries and edits are dealt by edition and id once, for the join and for the first place
+    joined = elogia.withColumn("_nth", F.row_number().over(place)).join(last, ["edition", "id"], "left")
+    meets = F.col("op").isNotNull() & (F.col("_nth") == 1)
+    return joined.where(~meets | (F.col("op") != "delete")).withColumn("text", F.when(meets, F.col("_text")).otherwise(F.col("text"))).select(*elogia.columns)
 
 
 def month_hashes(elogia: DataFrame) -> DataFrame:

@@ -178,6 +178,7 @@ def test_documents_and_days_are_read_once(spark):
     read_ = lambda q: q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
     assert read_(curation_queries.QUERIES["q_c1_u5_validate_days"]) == 1
     assert read_(curation_queries.QUERIES["q_c6_patch_days"]) <= 3
+    assert read_(curation_queries.QUERIES["q_c4_c5_apply_edits"]) == 1
     assert read_(reading_queries.QUERIES["q_s5_s6_s11_documents"]) <= 2
     assert read_(reading_queries.QUERIES["q_j2_s6_flat"]) == 1
 
