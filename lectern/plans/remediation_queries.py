@@ -61,7 +61,7 @@ def _named(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     slug = F.when(key % 11 == 0, F.concat(F.lit("martyres-"), key.cast("string"))).when(key % 7 == 0, F.concat(words[0], F.lit("-et-socii"))).otherwise(F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), key.cast("string")))
     more = F.concat(words, F.array(F.lower("p_type"), F.replace(F.lower("p_brand"), F.lit("brand#"), F.lit("b"))))
     persons = F.when((key % 11 == 0) & (key % 5 == 0), F.array().cast("array<string>")).when((key % 11 == 0) & (key % 3 == 0), words).otherwise(more)
-    part = session(spark).read.parquet(f"{sf_dir}/part.parquet").select(key, month.alias("month"), day.alias("day"), persons.alias("persons"), F.concat(F.format_string("mr:%02d%02d-", month, day), slug).alias("id"))
+    part = session(spark, measured=True).read.parquet(f"{sf_dir}/part.parquet").select(key, month.alias("month"), day.alias("day"), persons.alias("persons"), F.concat(F.format_string("mr:%02d%02d-", month, day), slug).alias("id"))
     ids = part.where("p_partkey % 11 <> 0").groupBy("id").agg(F.min("month").alias("month"), F.min("day").alias("day"), remediation.name_stems(F.flatten(F.collect_list("persons"))).alias("names"))
     old = part.where("p_partkey % 11 = 0").select(F.lit("e").alias("edition"), "p_partkey", "id", "month", "day", F.lit("Sancti Martyres").alias("subject"), "persons", F.lit("sanctorum").alias("marker"))
     pos = F.row_number().over(Window.partitionBy("month", "day").orderBy("p_partkey"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import remediation as R
+from lectern.plans import remediation_queries
 from lectern.sources import publishing as P
 
 ENTRY = "edition string, month int, day int, idx int"
@@ -63,6 +64,13 @@ def test_decisions_and_what_follows(spark):
     assert dict(rows(R.outcome_counts(decided), "outcome", "n"))["RESLUG"] == 3
 
 
+@pytest.mark.parametrize("name", ["q_m10_decisions", "q_m11_sidecar"])
+def test_no_broadcast_by_estimate(spark, name):
+    """Names and ids made of an encoded file are many times its size: what is broadcast is told by rows that were shuffled."""
+    planned = remediation_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" in planned and "Broadcast" not in planned
+
+
 def test_names_of_an_id(spark):
     df = spark.createDataFrame([(["macarius", "leo"], "basilii", "basilius"), (["leo"], "martyres", "martyres"), ([], "12345", "12345")], "p array<string>, lead string, lemma string")
     got = [r["n"] for r in df.select(R.id_names(F.col("p"), F.col("lead"), F.col("lemma"), ["martyres"]).alias("n")).collect()]
