@@ -67,12 +67,19 @@ def alignment_violations(entries: DataFrame, assigned: DataFrame, coined: DataFr
     an entry of the older edition (entry key, id) has none. unmatched: no id was given. given-twice: two of an edition's
     entries, or one entry twice. coined-exists and coined-twice: a coined id that is there, or was coined for another entry.
     """
-    given = assigned.select(*ENTRY, "id").unionByName(coined.select(*ENTRY, "id"))
-    many = lambda df, *keys: df.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n > 1").drop("n")
-    rules = [
-        _rule(entries.where("id is not null"), "aligned-input"), _rule(entries.select(*ENTRY).join(given.select(*ENTRY).distinct(), ENTRY, "left_anti"), "unmatched"),
-        _rule(many(given, "edition", "id").unionByName(many(given, *ENTRY)).distinct(), "given-twice"), _rule(coined.join(existing.select("id").distinct(), "id", "left_semi"), "coined-exists"), _rule(many(coined, "id"), "coined-twice"),
-    ]
+    tagged = lambda df, of: df.select(*ENTRY, "id", F.lit(of).alias("_of"))
+    rows = tagged(entries, "entry").unionByName(tagged(assigned, "assigned")).unionByName(tagged(coined, "coined"))
+    rows = rows.withColumn("_n", F.count(F.when(F.col("_of") != "entry", 1)).over(Window.partitionBy(*ENTRY)))
+    mine = F.col("_of") == "coined"
+    # laid out by id once, for all that is told of it
+    given = rows.where("_of <> 'entry'").withColumn("_coined", F.count(F.when(mine, 1)).over(Window.partitionBy("id")))
+    given = given.withColumns({"_same": F.count("*").over(Window.partitionBy("edition", "id")), "_nth": F.row_number().over(Window.partitionBy("id", *ENTRY).orderBy("_of"))})
+    given = given.join(existing.select("id").distinct().withColumn("_held", F.lit(True)), "id", "left")
+    twice = ((F.col("_n") > 1) | (F.col("_same") > 1)) & (F.col("_nth") == 1)
+    broken = [F.when(twice, "given-twice"), F.when(mine & F.col("_held").isNotNull(), "coined-exists"), F.when(mine & (F.col("_coined") > 1), "coined-twice")]
+    told = lambda df, rules, id_=F.col("id"): df.withColumn("rule", F.explode(F.array_compact(F.array(*rules)))).withColumn("id", id_).select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in VIOLATION.split(", ")])
+    left = [F.when(F.col("id").isNotNull(), "aligned-input"), F.when(F.col("_n") == 0, "unmatched")]
+    rules = [told(rows.where("_of = 'entry'"), left, F.when(F.col("rule") == "aligned-input", F.col("id"))), told(given, broken)]
     if older is not None:
         rules.append(_rule(older.where("id is null"), "unaligned-older"))
     return reduce(DataFrame.unionByName, rules)
