@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.canonical import mmdd, slug_of
@@ -26,32 +26,25 @@ def resolve_explicit(requests: DataFrame, editions: DataFrame, available: DataFr
     return joined.withColumns({"resolved_edition": answer, "resolve_error": error}).drop("_known", "_held", "_error")
 
 
-def find_by_slug(elogia: DataFrame) -> DataFrame:
-    """The first entry, by position, of each (edition, month, day, slug) as printed; entries without an id have no slug."""
-    named = elogia.where("id is not null").withColumn("slug", slug_of(F.col("id"))).where("slug is not null")
-    return named.groupBy("edition", "month", "day", "slug").agg(F.min_by(F.struct("pos", "id", "text"), "pos").alias("e")).select("edition", "month", "day", "slug", "e.*")
-
-
 def read_content(requests: DataFrame, elogia: DataFrame, days: DataFrame) -> DataFrame:
     """(request, day, pos, id, text, error): what each request (request, edition, month, day, slug) finds.
 
     Without a day the whole month, nothing if it has no days; with one that day, or unknown-day; with a slug the first
     entry of it on that day, or unknown-eulogy. A day without entries gives one row without one. A miss is one row.
     """
-    printed = elogia.select("edition", "month", "day", "pos", "id", "text")
-    known = days.select("edition", "month", "day").distinct()
-    content = known.join(printed, ["edition", "month", "day"], "left")
-    whole = requests.where("day is null").select("request", "edition", "month").join(content, ["edition", "month"])
-    whole = whole.select("request", "day", "pos", "id", "text", F.lit(None).cast("string").alias("error"))
-
-    dated = requests.where("day is not null")
-    there = content.withColumn("there", F.lit(True))
-    day = dated.where("slug is null").join(there, ["edition", "month", "day"], "left")
-    day = day.select("request", "day", "pos", "id", "text", F.when(F.col("there").isNull(), "unknown-day").alias("error"))
-
-    one = dated.where("slug is not null").join(known.withColumn("there", F.lit(True)), ["edition", "month", "day"], "left").join(find_by_slug(printed), ["edition", "month", "day", "slug"], "left")
-    missing = F.when(F.col("there").isNull(), "unknown-day").when(F.col("id").isNull(), "unknown-eulogy")
-    return whole.unionByName(day).unionByName(one.select("request", "day", "pos", "id", "text", missing.alias("error")))
+    known = days.select("edition", "month", "day").distinct().withColumn("there", F.lit(True))
+    whole = requests.where("day is null").select("request", "edition", "month").join(known, ["edition", "month"]).withColumn("slug", F.lit(None).cast("string"))
+    dated = requests.where("day is not null").select("request", "edition", "month", "day", "slug").join(known, ["edition", "month", "day"], "left")
+    asked = whole.unionByName(dated)
+
+    # entries are read once, and meet the requests as they are laid out by day
+    own = slug_of(F.col("id"))
+    nth = F.row_number().over(Window.partitionBy("edition", "month", "day", own).orderBy("pos"))
+    printed = elogia.select(*[F.col(c).alias(f"e_{c}") for c in ("edition", "month", "day")], "pos", "id", "text", own.alias("e_slug"), nth.alias("nth"))
+    on_day = [F.col(c) == F.col(f"e_{c}") for c in ("edition", "month", "day")]
+    meant = F.when(F.col("slug").isNull(), F.col("there")).otherwise((F.col("slug") == F.col("e_slug")) & (F.col("nth") == 1))
+    error = F.when(F.col("there").isNull(), "unknown-day").when(F.col("slug").isNotNull() & F.col("id").isNull(), "unknown-eulogy")
+    return asked.join(printed, [*on_day, meant], "left").select("request", "day", "pos", "id", "text", error.alias("error"))
 
 
 def filter_editions(rows: DataFrame, wanted: Column, edition: str = "edition") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import remediation as R
+from lectern.operators.read import read_content
 from lectern.plans import remediation_queries
 from lectern.sources import publishing as P
 
@@ -77,6 +78,29 @@ def test_names_of_an_id(spark):
     assert got == [["basili", "leo", "macari"], ["leo"], []]
 
 
+def test_gates_and_reads_take_entries_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(row):
+        read.add(1)
+        return row
+
+    counted = lambda rows, schema: spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(told), schema)
+    entries, given, made = ([("e", 1, 1, k, i) for k, i in x] for x in ([(1, None), (2, "old"), (3, None)], [(1, "a"), (1, "b")], [(2, "a"), (2, "a")]))
+    found = P.alignment_violations(*[counted(x, ENTRY + ", id string") for x in (entries, given, made)], spark.createDataFrame([("a",)], "id string"))
+    assert rows(found, "rule", "idx", "id") == sorted([
+        ("aligned-input", 2, "old"), ("unmatched", 3, None), *[("given-twice", k, i) for k, i in ((1, "a"), (1, "b"), (2, "a"))], *[("coined-exists", 2, "a")] * 2, *[("coined-twice", 2, "a")] * 2,
+    ], key=str)
+    assert read.value == 7
+    read.value = 0
+    printed = counted([("e", 1, 1, 1, "mr:0101-a", "x"), ("e", 1, 1, 2, "mr:0101-a", "y"), ("e", 1, 2, 1, None, "z")], "edition string, month int, day int, pos int, id string, text string")
+    days = spark.createDataFrame([("e", 1, 1), ("e", 1, 2), ("e", 1, 3)], "edition string, month int, day int")
+    asked = spark.createDataFrame([(1, "e", 1, None, None), (2, "e", 1, 1, "a"), (3, "e", 1, 2, "a"), (4, "e", 1, 9, None), (5, "e", 1, 3, None)], "request int, edition string, month int, day int, slug string")
+    got = rows(read_content(asked, printed, days), "request", "day", "pos", "text", "error")
+    assert got == sorted([(1, 1, 1, "x", None), (1, 1, 2, "y", None), (1, 2, 1, "z", None), (1, 3, None, None, None), (2, 1, 1, "x", None), (3, 2, None, None, "unknown-eulogy"), (4, 9, None, None, "unknown-day"), (5, 3, None, None, None)], key=str)
+    assert read.value == 3
+
+
 def test_gates(spark, tmp_path):
     """What breaks a rule is written but never published; what is published is read until the next one is."""
     path = str(tmp_path / "book")
