@@ -5,7 +5,8 @@ prints on a day and those that are current on it, each with a Latin text, a text
 may lie in the pools of several days. The passes are: the best pairs of a day, one entry an id in the whole edition; then
 entries that are left, in their order, against what other days of their month have left; then the one entry and the one
 older id that a day has left. Pairs are made where entry and id share a stem or a word, and only such are scored; a pair's
-texts are compared letter by letter only where the other scores leave it a chance.
+texts are compared letter by letter only where the other scores leave it a chance. Entries of one day with one text score
+the same, so that pairs are made of lines, the distinct texts of a day.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import canonical as C
-from lectern.operators.align import COMPARED, ENTRY, greedy, match_in_turn, similarity, stem_hits
+from lectern.operators.align import COMPARED, ENTRY, greedy, greedy_lines, lines, match_in_turn, similarity, stem_hits
 from lectern.storage import kept
 
 # Words of slugs that are no names: stop words, groups of people and numbers; beginnings of feasts.
@@ -76,16 +77,21 @@ def _stems(places: DataFrame) -> DataFrame:
     return one.select("id", F.posexplode("stems").alias("nth", "variants")).select("id", "nth", F.explode("variants").alias("stem"))
 
 
+def _begun(entries: DataFrame) -> DataFrame:
+    """(entry key, token), the first six letters of each tok: no stem is longer, so that they tell all of its hits."""
+    return entries.select(*ENTRY, F.explode(F.array_distinct(F.transform("toks", lambda t: F.substring(t, 1, 6)))).alias("token"))
+
+
 def best_hits(entries: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, nth, token, hit): what a token says of an id's part at best over the part's variants, 1 or 0.8."""
+    """(id, nth, token, hit): what the beginning of a token says of an id's part at best over the part's variants, 1 or 0.8."""
     stems = _stems(places)
-    hits = stem_hits(stems, entries.select(F.explode("toks").alias("token")), by_five=True)
+    hits = stem_hits(stems, _begun(entries).select("token"), by_five=True)
     return kept(stems.join(hits, "stem").groupBy("id", "nth", "token").agg(F.max("hit").alias("hit")))
 
 
 def scores(pairs: DataFrame, entries: DataFrame, places: DataFrame, hits: DataFrame) -> DataFrame:
     """The pairs (PAIR) with s_stem, s_first, jac_la, jac_en and what accepted() and the total need besides."""
-    toks = pairs.join(entries.select(*ENTRY, F.explode("toks").alias("token")), ENTRY)
+    toks = pairs.join(_begun(entries), ENTRY)
     best = toks.join(hits, ["id", "token"]).groupBy(*PAIR, "nth").agg(F.max("hit").alias("hit"))
     stem = best.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("nth", "hit"))).alias("hits"))
     told = pairs.join(entries.select(*ENTRY, "begun", "folded", "sig"), ENTRY).join(places, PLACE).join(stem, PAIR, "left")
@@ -112,10 +118,8 @@ def accepted(s_text: Column) -> Column:
 
 def totals(scored: DataFrame) -> DataFrame:
     """Scored pairs with s_text, the similarity of their texts, and their total. Texts that repeat are compared once."""
-    told = kept(scored)
-    rates = similarity(told.select("text", "en_text").distinct(), "text", "en_text", "s_text")
     total = 1.5 * F.col("s_stem") + 1.2 * F.col("jac_la") + 1.0 * F.col("s_text") + 0.8 * F.col("jac_en")
-    return told.join(rates, ["text", "en_text"]).withColumn("total", total).drop("text", "en_text")
+    return similarity(scored, "text", "en_text", "s_text").withColumn("total", total).drop("text", "en_text")
 
 
 def _of_places(places: DataFrame, *columns) -> DataFrame:
@@ -124,12 +128,11 @@ def _of_places(places: DataFrame, *columns) -> DataFrame:
 
 def same_day_pairs(entries: DataFrame, places: DataFrame, hits: DataFrame) -> DataFrame:
     """The pairs of one day that share a stem or a word of either language."""
-    said = entries.select(*ENTRY, F.explode("toks").alias("token"))
-    at = [F.col(e) == F.col(c) for e, c in zip(DAY, ("cand_month", "cand_day"), strict=True)]
-    stem = said.join(hits.select("id", "token").distinct(), "token").join(_of_places(places), "id").where(at[0] & at[1]).select(*PAIR)
+    on_day = dict(zip(DAY, (F.col("cand_month"), F.col("cand_day")), strict=True))
+    stem = _begun(entries).join(hits.select("id", "token").distinct().join(_of_places(places), "id").withColumns(on_day), [*DAY, "token"]).select(*PAIR)
 
     def shared(mine: str, theirs: str) -> DataFrame:
-        word = _of_places(places, F.explode(theirs).alias("w")).withColumns(dict(zip(DAY, (F.col("cand_month"), F.col("cand_day")), strict=True)))
+        word = _of_places(places, F.explode(theirs).alias("w")).withColumns(on_day)
         return entries.select(*ENTRY, F.explode(mine).alias("w")).join(word, [*DAY, "w"]).select(*PAIR)
 
     return stem.unionByName(shared("begun", "la_sig")).unionByName(shared("sig", "en_sig")).distinct()
@@ -141,7 +144,7 @@ def leading_stems(hits: DataFrame, places: DataFrame, entries: DataFrame) -> Dat
     A pair of three quarters of an id's parts misses n // 4 of them at most, so that it has one of the rarest; how rare a
     part is tell the entries that hit it.
     """
-    known = entries.select(F.explode("toks").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    known = _begun(entries).groupBy("token").agg(F.count("*").alias("n"))
     df = hits.join(known, "token").groupBy("id", "nth").agg(F.sum("n").alias("df"))
     one = places.groupBy("id").agg(F.first("stems").alias("stems"), F.first("lead").alias("lead"), F.first("older").alias("older"))
     every = one.select("id", "lead", "older", F.size("stems").alias("k"), F.explode(F.sequence(F.lit(0), F.size("stems") - 1)).alias("nth")).where("k > 0")
@@ -153,8 +156,8 @@ def leading_stems(hits: DataFrame, places: DataFrame, entries: DataFrame) -> Dat
 def same_month_pairs(entries: DataFrame, places: DataFrame, hits: DataFrame) -> DataFrame:
     """The pairs of one month on other days that share a leading part."""
     leading = hits.join(leading_stems(hits, places, entries), ["id", "nth"]).select("id", "token").distinct()
-    said = entries.select(*ENTRY, F.explode("toks").alias("token"))
-    return said.join(leading, "token").join(_of_places(places), "id").where("month = cand_month and day <> cand_day").select(*PAIR).distinct()
+    there = leading.join(_of_places(places), "id").withColumn("month", F.col("cand_month"))
+    return _begun(entries).join(there, ["month", "token"]).where("day <> cand_day").select(*PAIR).distinct()
 
 
 def match_day(pairs: DataFrame) -> DataFrame:
@@ -200,10 +203,16 @@ def match_last(entries: DataFrame, places: DataFrame, hits: DataFrame, assigned:
 
 def align_late(entries: DataFrame, pool: DataFrame, names: DataFrame, words: DataFrame, stop: list[str], la_stop: list[str], own_stop: list[str]) -> DataFrame:
     """(entry key, id, score, method) of the entries that the three passes match; an id is taken once an edition."""
-    e, p = entry_features(entries, names, words, stop, own_stop), pool_features(pool, la_stop, own_stop)
+    entries, texts = lines(entries)
+    e, p = entry_features(texts, names, words, stop, own_stop), pool_features(pool, la_stop, own_stop)
     hits = best_hits(e, p)
     day = totals(scores(same_day_pairs(e, p, hits), e, p, hits).where(accepted(F.lit(1.0)))).where(accepted(F.col("s_text")))
-    assigned = kept(match_day(day))
-    rest = e.join(assigned.select(*ENTRY), ENTRY, "left_anti")
-    assigned = kept(assigned.unionByName(match_month(scores(same_month_pairs(rest, p, hits), rest, p, hits), assigned)))
-    return assigned.unionByName(match_last(e, p, hits, assigned))
+    order = [F.concat_ws("-", "month", "day").desc(), F.col("idx").desc()]
+    found = greedy_lines(entries, day.select(F.col("idx").alias("line"), "id", "total"), ["edition", "id"], order)
+    assigned = kept(found.select(*ENTRY, "id", F.col("total").alias("score"), F.lit("same-day").alias("method")))
+    left = kept(entries.join(assigned.select(*ENTRY), ENTRY, "left_anti"))
+    rest = kept(left.join(e.drop("edition", *DAY).withColumnRenamed("idx", "line"), "line"))
+    unread = e.join(left.select(F.col("line").alias("idx")).distinct(), "idx", "left_semi")
+    month = scores(same_month_pairs(unread, p, hits), unread, p, hits).drop("edition", *DAY).withColumnRenamed("idx", "line")
+    assigned = kept(assigned.unionByName(match_month(left.join(month, "line").drop("line"), assigned)))
+    return assigned.unionByName(match_last(rest, p, hits, assigned))
