@@ -194,3 +194,13 @@ def test_same_month_pairs_of_all_words(spark):
     claimed = spark.createDataFrame([("e", "w")], "edition string, id string")
     got = align.same_month_pairs(entries, ids, claimed, whole=True)
     assert rows(got, "day", "id", "cand_day", "jac") == [(1, "y", 3, 1.0), (2, "z", 3, 1.0)] == rows(align.same_month_pairs(entries, ids, claimed).where("jac = 1"), "day", "id", "cand_day", "jac")
+
+
+def test_a_text_is_scored_once_a_day(spark, monkeypatch):
+    """However many editions print a text on a day, its pairs are made once; each edition has its own choice."""
+    made, scored = [], align.scored_pairs
+    monkeypatch.setattr(align, "scored_pairs", lambda *a: made.append(scored(*a)) or made[-1])
+    entries = spark.createDataFrame([(f"e{n}", 1, 1, i, "Romae sancti Macarii Confessoris.") for n in range(3) for i in (1, 2)], "edition string, month int, day int, idx int, text string")
+    ids = spark.createDataFrame([("mr:0101-macarius", 1, 1, "Romae sancti Macarii Confessoris."), ("mr:0101-macariana", 1, 1, "Antiochiae sanctae Macarianae.")], "id string, month int, day int, text string")
+    got = sorted((r["edition"], r["idx"], r["id"]) for r in align.match_same_day(entries, ids, []).collect())
+    assert got == [(f"e{n}", i, x) for n in range(3) for i, x in ((1, "mr:0101-macariana"), (2, "mr:0101-macarius"))] and made[0].count() == 2
