@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.arrays import let  # noqa: F401 - handed on to the operators
 from lectern.storage import kept as materialize
-from lectern.storage import shared_folder
+from lectern.storage import stored  # noqa: F401 - handed on to the operators
 
 #: The white space of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]"
@@ -138,14 +137,6 @@ def bloom_holds(key: Column, words: list[int], seed: int = 0, hashes: int = 5) -
     return every
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like materialize(), as a Parquet table in the shared folder: for wide or many rows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
     """Within, Arrow batches hold few rows, so that a batch of long texts stays small."""

@@ -204,3 +204,43 @@ def test_a_text_is_scored_once_a_day(spark, monkeypatch):
     ids = spark.createDataFrame([("mr:0101-macarius", 1, 1, "Romae sancti Macarii Confessoris."), ("mr:0101-macariana", 1, 1, "Antiochiae sanctae Macarianae.")], "id string, month int, day int, text string")
     got = sorted((r["edition"], r["idx"], r["id"]) for r in align.match_same_day(entries, ids, []).collect())
     assert got == [(f"e{n}", i, x) for n in range(3) for i, x in ((1, "mr:0101-macariana"), (2, "mr:0101-macarius"))] and made[0].count() == 2
+
+
+def test_text_leaders_are_the_best_of_all_pairs(spark):
+    """Each line's first pairs without comparing all texts, against all of them compared; long texts, ties, empty ones and bounds."""
+    draw = random.Random(4)
+    text = lambda n: "".join(draw.choice("abcde ") for _ in range(draw.randint(0, n)))
+    for longest in (12, 64, 90):
+        left, right = [text(longest) for _ in range(20)] + ["", "abc"], [text(longest) for _ in range(20)] + ["", "abc"]
+        most = align.most_shared(left, right)
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                assert most[i, j] >= sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+    for longest in (12, 90):
+        lines = [(1, d, 10 * d + i, draw.choice("xyz"), text(longest), draw.randint(1, 5)) for d in (1, 2) for i in range(10)]
+        ids = [(1, d, f"i{d}{i:02d}", draw.choice("pqr"), draw.choice([text(longest), "abc abc"])) for d in (1, 2) for i in range(30)]
+        pairs = [(1, d, a, b, draw.choice([0.8, 1.2, 1.5]), draw.choice([0.0, 0.4]), draw.choice([0.0, 0.3])) for d in (1, 2) for a in "xy" for b in "pqr" if (a, b) != ("y", "q")]
+        want = set()
+        for _, d, line, mine, t, n in lines:
+            rated = []
+            for _, day, a, b, before, after, least in pairs:
+                for _, e, i, theirs, other in ids:
+                    s = difflib.SequenceMatcher(None, t, other).ratio() if t and other else 0.0
+                    if d == day == e and a == mine and b == theirs and s >= least:
+                        rated.append(((before + 1.3 * s) + after, i))
+            want |= {(line, i, total, r) for r, (total, i) in enumerate(sorted(rated, reverse=True)[:n], 1)}
+        got = align.text_leaders(
+            spark.createDataFrame(lines, "month int, day int, line long, profile string, text string, n int").repartition(3), spark.createDataFrame(ids, "month int, day int, id string, id_profile string, id_text string"),
+            spark.createDataFrame(pairs, "month int, day int, profile string, id_profile string, before double, after double, least double"), 1.3)
+        assert {(r["line"], r["id"], r["total"], r["r"]) for r in got.collect()} == want
+
+
+def test_same_day_pairs_go_by_profiles(spark, monkeypatch):
+    """Texts and ids that share the beginning of their name are few pairs of profiles, however many they are."""
+    name = lambda i: "macari" + "".join("bcdfglmnprst"[i // 12**k % 12] + "aeiou"[k] for k in range(3))
+    entries = spark.createDataFrame([("e", 1, 1, i, f"Romae sancti {name(i).capitalize()} Confessoris.") for i in range(300)], "edition string, month int, day int, idx int, text string")
+    ids = spark.createDataFrame([(f"mr:0101-{name(i)}", 1, 1, f"Romae beati {name(i).capitalize()} Confessoris.") for i in range(300)], "id string, month int, day int, text string")
+    made, scored = [], align.scored_pairs
+    monkeypatch.setattr(align, "scored_pairs", lambda *a: made.append(scored(*a)) or made[-1])
+    got = align.match_same_day(entries, ids, ["romae", "confessoris"])
+    assert {(r["idx"], r["id"]) for r in got.collect()} == {(i, f"mr:0101-{name(i)}") for i in range(300)} and made[0].count() == 1
