@@ -11,12 +11,14 @@ the same, so that pairs are made of lines, the distinct texts of a day.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import canonical as C
-from lectern.operators.align import COMPARED, ENTRY, greedy, greedy_lines, lines, match_in_turn, similarity, stem_hits
-from lectern.storage import kept
+from lectern.operators.align import COMPARED, ENTRY, greedy, greedy_lines, least_text, lines, match_in_turn, profile, similarity, spelled, stem_hits, text_leaders
+from lectern.storage import kept, stored
 
 # Words of slugs that are no names: stop words, groups of people and numbers; beginnings of feasts.
 LATE_STOP = [*C.SLUG_STOP, "sociorum", "sancti", "sanctae", "sanctorum", "beati", "beatae"]
@@ -54,7 +56,7 @@ def entry_features(entries: DataFrame, names: DataFrame, words: DataFrame, stop:
     """Entries with toks, the beginnings of their toks, folded text and signature. own_stop: stop words of the entries' language."""
     folded = F.col("folded")
     found = translated(entries, names, words, stop).withColumn("folded", C.folded_english(F.col("text")))
-    return kept(found.select(*ENTRY, "toks", F.array_distinct(F.transform("toks", lambda t: F.substring(t, 1, 5))).alias("begun"), "folded", C.signature(folded, own_stop, 5).alias("sig")))
+    return stored(found.select(*ENTRY, "toks", F.array_distinct(F.transform("toks", lambda t: F.substring(t, 1, 5))).alias("begun"), "folded", C.signature(folded, own_stop, 5).alias("sig")))
 
 
 def pool_features(pool: DataFrame, la_stop: list[str], own_stop: list[str]) -> DataFrame:
@@ -64,7 +66,7 @@ def pool_features(pool: DataFrame, la_stop: list[str], own_stop: list[str]) -> D
     bases = C.slug_parts(F.translate(slug, "j", "i"), LATE_STOP)
     la, en = (C.folded_english(F.coalesce(c, F.lit(""))) for c in ("la", "en"))
     lead = F.get(F.filter(F.transform(bases, lambda b, i: F.when(~b.isin(GROUPS), i)), lambda i: i.isNotNull()), F.lit(0))
-    return kept(pool.join(older, "id", "left").select(
+    return stored(pool.join(older, "id", "left").select(
         F.col("month").alias("cand_month"), F.col("day").alias("cand_day"), "id", "from_older", C.stem_variants(slug, LATE_STOP).alias("stems"), lead.alias("lead"),
         C.signature(la, la_stop, 5).alias("la_sig"), C.signature(en, own_stop, 5).alias("en_sig"), F.substring(en, 1, COMPARED).alias("en_text"),
         (F.col("la").isNotNull() & F.coalesce("older", F.lit(False))).alias("in_older"), F.coalesce("older", F.lit(False)).alias("older"),
@@ -201,18 +203,44 @@ def match_last(entries: DataFrame, places: DataFrame, hits: DataFrame, assigned:
             return found
 
 
+def day_leaders(texts: DataFrame, places: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What greedy_lines() asks for the pairs of one day: of asked lines the first accepted pairs, by total.
+
+    texts, places: as entry_features(), of lines, and pool_features() give them. What a pair scores but for its texts goes
+    by profiles: the beginnings of tokens, words and whether it is a feast; an id's stems, words and where it comes from.
+    """
+    feast = F.ltrim("folded").rlike(FEAST)
+    begun = F.array_sort(F.array_distinct(F.transform("toks", lambda t: F.substring(t, 1, 6))))
+    told = texts.select("edition", *DAY, F.col("idx").alias("line"), begun.alias("toks"), F.array_sort("begun").alias("begun"), F.array_sort("sig").alias("sig"), F.when(feast, "octava").otherwise("").alias("folded"), F.substring("folded", 1, COMPARED).alias("text"))
+    told = stored(told.withColumn("profile", profile(spelled("toks"), spelled("begun"), spelled("sig"), F.col("folded"))))
+    mine = kept(told.drop("line", "text").distinct().withColumn("idx", F.monotonically_increasing_id()))
+    known = places.withColumns({c: F.array_sort(c) for c in ("la_sig", "en_sig")})
+    stems = F.array_join(F.transform("stems", spelled), "\x1c")
+    known = stored(known.withColumn("id_profile", profile(stems, F.col("lead").cast("string"), spelled("la_sig"), spelled("en_sig"), *[F.col(c).cast("string") for c in ("in_older", "older")])))
+    theirs = kept(known.select("cand_month", "cand_day", F.col("id_profile").alias("id"), "stems", "lead", "la_sig", "en_sig", "in_older", "older").withColumn("en_text", F.lit("")).distinct())
+    hits = best_hits(mine, theirs)
+    met = scores(same_day_pairs(mine, theirs, hits), mine, theirs, hits).where(accepted(F.lit(1.0))).join(mine.select(*ENTRY, "profile"), ENTRY)
+    before, after = 1.5 * F.col("s_stem") + 1.2 * F.col("jac_la"), 0.8 * F.col("jac_en")
+    pairs = kept(met.select(*DAY, "profile", F.col("id").alias("id_profile"), before.alias("before"), after.alias("after"), least_text(accepted, [0.4, 0.45, 0.55]).alias("least")))
+    ids = known.select(F.col("cand_month").alias("month"), F.col("cand_day").alias("day"), "id", "id_profile", F.col("en_text").alias("id_text"))
+    return lambda asked: text_leaders(told.select(*DAY, "line", "profile", "text").join(asked, "line"), ids, pairs, 1.0)
+
+
 def align_late(entries: DataFrame, pool: DataFrame, names: DataFrame, words: DataFrame, stop: list[str], la_stop: list[str], own_stop: list[str]) -> DataFrame:
     """(entry key, id, score, method) of the entries that the three passes match; an id is taken once an edition."""
     entries, texts = lines(entries)
     e, p = entry_features(texts, names, words, stop, own_stop), pool_features(pool, la_stop, own_stop)
-    hits = best_hits(e, p)
-    day = totals(scores(same_day_pairs(e, p, hits), e, p, hits).where(accepted(F.lit(1.0)))).where(accepted(F.col("s_text")))
     order = [F.concat_ws("-", "month", "day").desc(), F.col("idx").desc()]
-    found = greedy_lines(entries, day.select(F.col("idx").alias("line"), "id", "total"), ["edition", "id"], order)
-    assigned = kept(found.select(*ENTRY, "id", F.col("total").alias("score"), F.lit("same-day").alias("method")))
-    left = kept(entries.join(assigned.select(*ENTRY), ENTRY, "left_anti"))
+    # days whose pools share no id are chosen on apart from each other
+    roams = p.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    found = greedy_lines(entries, day_leaders(e, p), ["edition", "id"], order, ["edition", *DAY] if roams.isEmpty() else ["edition"])
+    assigned = stored(found.select(*ENTRY, "id", F.col("total").alias("score"), F.lit("same-day").alias("method")))
+    left = stored(entries.join(assigned.select(*ENTRY), ENTRY, "left_anti"))
+    if left.isEmpty():
+        return assigned
     rest = kept(left.join(e.drop("edition", *DAY).withColumnRenamed("idx", "line"), "line"))
-    unread = e.join(left.select(F.col("line").alias("idx")).distinct(), "idx", "left_semi")
+    unread = stored(e.join(left.select(F.col("line").alias("idx")).distinct(), "idx", "left_semi"))
+    hits = best_hits(unread, p)
     month = scores(same_month_pairs(unread, p, hits), unread, p, hits).drop("edition", *DAY).withColumnRenamed("idx", "line")
-    assigned = kept(assigned.unionByName(match_month(left.join(month, "line").drop("line"), assigned)))
+    assigned = stored(assigned.unionByName(match_month(left.join(month, "line").drop("line"), assigned)))
     return assigned.unionByName(match_last(rest, p, hits, assigned))
