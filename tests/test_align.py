@@ -244,3 +244,13 @@ def test_same_day_pairs_go_by_profiles(spark, monkeypatch):
     monkeypatch.setattr(align, "scored_pairs", lambda *a: made.append(scored(*a)) or made[-1])
     got = align.match_same_day(entries, ids, ["romae", "confessoris"])
     assert {(r["idx"], r["id"]) for r in got.collect()} == {(i, f"mr:0101-{name(i)}") for i in range(300)} and made[0].count() == 1
+
+
+def test_overrides_of_what_none_overrides(spark):
+    """overridden() is apply_overrides() without looking for the overridden entries among all."""
+    key = "edition string, month int, day int, idx int, "
+    assigned = spark.createDataFrame([("e", 1, 1, i, f"x{i}", 1.0, "same-day") for i in range(8)], key + "id string, score double, method string")
+    over = spark.createDataFrame([("e", 1, 1, 1, 1, "assign", "x5"), ("e", 1, 1, 2, 2, "drop", None), ("e", 1, 1, 3, 3, "assign", "x5")], key + "ord int, action string, id string")
+    rest = assigned.join(over.select(*align.ENTRY), align.ENTRY, "left_anti")
+    told = lambda df: rows(df.fillna("-", ["id", "method", "action"]), "idx", "id", "method", "action")
+    assert told(align.overridden(rest, over)) == told(align.apply_overrides(assigned, over)) and len(told(align.overridden(rest, over))) == 6
