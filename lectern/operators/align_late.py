@@ -162,9 +162,14 @@ def same_month_pairs(entries: DataFrame, places: DataFrame, hits: DataFrame) ->
     return _begun(entries).join(there, ["month", "token"]).where("day <> cand_day").select(*PAIR).distinct()
 
 
+def day_order() -> list[Column]:
+    """The order of entries that ask for one id at one total: by the day as text, then idx, the largest first."""
+    return [F.concat_ws("-", "month", "day").desc(), F.col("idx").desc()]
+
+
 def match_day(pairs: DataFrame) -> DataFrame:
     """Pairs of one day with their totals, one entry an id in the whole edition: the best first, ties by the day as text, idx and id, the largest first."""
-    order = [F.col("total").desc(), F.concat_ws("-", "month", "day").desc(), F.col("idx").desc(), F.col("id").desc()]
+    order = [F.col("total").desc(), *day_order(), F.col("id").desc()]
     found = greedy(pairs.select(*ENTRY, "id", "total"), ENTRY, ["edition", "id"], order)
     return found.select(*ENTRY, "id", F.col("total").alias("score"), F.lit("same-day").alias("method"))
 
@@ -230,10 +235,9 @@ def align_late(entries: DataFrame, pool: DataFrame, names: DataFrame, words: Dat
     """(entry key, id, score, method) of the entries that the three passes match; an id is taken once an edition."""
     entries, texts = lines(entries)
     e, p = entry_features(texts, names, words, stop, own_stop), pool_features(pool, la_stop, own_stop)
-    order = [F.concat_ws("-", "month", "day").desc(), F.col("idx").desc()]
     # days whose pools share no id are chosen on apart from each other
     roams = p.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    found = greedy_lines(entries, day_leaders(e, p), ["edition", "id"], order, ["edition", *DAY] if roams.isEmpty() else ["edition"])
+    found = greedy_lines(entries, day_leaders(e, p), ["edition", "id"], day_order(), ["edition", *DAY] if roams.isEmpty() else ["edition"])
     assigned = stored(found.select(*ENTRY, "id", F.col("total").alias("score"), F.lit("same-day").alias("method")))
     left = stored(entries.join(assigned.select(*ENTRY), ENTRY, "left_anti"))
     if left.isEmpty():

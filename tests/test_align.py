@@ -254,3 +254,18 @@ def test_overrides_of_what_none_overrides(spark):
     rest = assigned.join(over.select(*align.ENTRY), align.ENTRY, "left_anti")
     told = lambda df: rows(df.fillna("-", ["id", "method", "action"]), "idx", "id", "method", "action")
     assert told(align.overridden(rest, over)) == told(align.apply_overrides(assigned, over)) and len(told(align.overridden(rest, over))) == 6
+
+
+def test_signatures_choose_as_entries_do(spark):
+    """The choice over lines of one signature is greedy() over every entry's pairs, without a row for each."""
+    draw = random.Random(6)
+    told = [(e, 1, d, i, draw.sample("abc", 2)) for e in "xy" for d in (1, 11) for i in range(1, 6)]
+    entries = spark.createDataFrame(told, "edition string, month int, day int, idx int, sig array<string>")
+    ids = spark.createDataFrame([(f"i{d:02d}{n}", 1, d, draw.sample("abcd", 2)) for d in (1, 11) for n in range(9)], "id string, month int, day int, id_sig array<string>")
+    on = ["month", "day"]
+    want = align_late.match_day(align.leading_pairs(entries, ids, on, rivals=["edition", *on]).withColumnRenamed("jac", "total"))
+    best = align.leading_ids(entries.select(*on, "sig").distinct(), ids, on, ids.select(*on).distinct().withColumn("_most", F.lit(5))).withColumnRenamed("jac", "total")
+    lines = spark.createDataFrame([(r["month"], r["day"], r["sig"], n) for n, r in enumerate(best.select(*on, "sig").distinct().collect())], "month int, day int, sig array<string>, line long")
+    numbered, pairs = entries.join(lines, [*on, "sig"]).select(*align.ENTRY, "line"), best.join(lines, [*on, "sig"]).select("line", "id", "total")
+    got = align.greedy_lines(numbered, pairs, ["edition", "id"], align_late.day_order(), ["edition", *on])
+    assert rows(got, *align.ENTRY, "id", "total") == rows(want.withColumnRenamed("score", "total"), *align.ENTRY, "id", "total")
