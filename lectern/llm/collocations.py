@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ascii_lower, joined, ordered, small_batches, stored, text_of
+from lectern.llm.common import ascii_lower, joined, met, ordered, small_batches, stored, text_of
 
 #: Fixed values of the contract: what parts a text into pieces, and what parts a piece into words.
 CUT, GAP = r".,;:!?\x0A-\x0D", r"\x20\x09"
@@ -103,6 +103,18 @@ def _counts(relation: DataFrame) -> DataFrame:
     return relation.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _sorted_keys(frequent: DataFrame) -> np.ndarray:
+    """The keys, ascending, 8 bytes each: the driver gets one packed value of each task and no row of a key."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch.column("key").to_numpy(zero_copy_only=False).tobytes() for batch in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["keys"])
+
+    keys = np.frombuffer(bytearray().join(r["keys"] for r in frequent.select("key").mapInArrow(pack, "keys binary").toLocalIterator()), np.int64)
+    keys.sort()
+    return keys
+
+
 def _semi_joined(rows: DataFrame, frequent: DataFrame, most_keys: int, extend: bool) -> DataFrame:
     """The relation of the occurrences whose key is frequent, written.
 
@@ -124,8 +136,7 @@ def _semi_joined(rows: DataFrame, frequent: DataFrame, most_keys: int, extend: b
         return pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(some)), *lists], ["rid", "at", name])
 
     if frequent.count() <= most_keys:
-        keys = np.sort(frequent.select("key").toPandas()["key"].to_numpy(np.int64))
-        sent = rows.sparkSession.sparkContext.broadcast(keys)
+        sent = rows.sparkSession.sparkContext.broadcast(_sorted_keys(frequent))
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = sent.value
@@ -135,7 +146,9 @@ def _semi_joined(rows: DataFrame, frequent: DataFrame, most_keys: int, extend: b
                 known = np.zeros(len(key), bool) if not len(held) else held[np.minimum(name, len(held) - 1)] == key
                 yield relation(batch, row[known], at[known], name[known].astype(np.int32), pa.int32(), "name")
 
-        return stored(rows.mapInArrow(find, f"rid long, {RELATION}"))
+        found = stored(rows.mapInArrow(find, f"rid long, {RELATION}"))
+        sent.destroy()
+        return found
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +184,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             left = found[-1].select("lang", F.col("name").alias("left"), F.col("words").alias("lw"), F.col("first").alias("lf"))
             right = found[-1].select(F.col("name").alias("right"), F.col("words").alias("rw"), F.col("last").alias("rl"))
             own = F.array("n")
-            found.append(stored(named.join(left, "left").join(right, "right").select(
+            found.append(stored(met(met(named, left, ["left"]), right, ["right"]).select(
                 "lang", "name", "left", "right", F.concat("lw", F.slice("rw", -1, 1)).alias("words"), F.concat("lf", own).alias("first"), F.concat("rl", own).alias("last")
             )))
             if k < longest:
@@ -199,7 +212,7 @@ def _covers(found: list[DataFrame], k: int) -> DataFrame:
     for longer in range(k + 1, len(found) + 1):
         held = sides(found[longer - 1], [F.get("first", F.lit(longer - 1)).alias("n")])
         for size in range(longer - 1, k, -1):
-            held = held.join(found[size - 1].select("name", "left", "right"), "name").select(F.explode(F.array("left", "right")).alias("name"), "n")
+            held = met(held, found[size - 1].select("name", "left", "right"), ["name"]).select(F.explode(F.array("left", "right")).alias("name"), "n")
         covers = held if covers is None else covers.unionByName(held)
     return covers.groupBy("name").agg(F.max("n").alias("most"))
 
@@ -216,7 +229,7 @@ def collocations(docs: DataFrame, top: int = TOP, text_col: str = "text", lang_c
     for k in range(2, len(found) + 1):
         one = found[k - 1].select("lang", "name", F.array_join("words", " ").alias("phrase"), F.get("first", F.lit(k - 1)).alias("a"), _weakest_cut(k).alias("cut"))
         if k < len(found):
-            one = one.join(_covers(found, k), "name", "left").where(F.col("most").isNull() | (100 * F.col("most") < COVERED * F.col("a"))).drop("most")
+            one = one.join(_covers(found, k).hint("merge"), "name", "left").where(F.col("most").isNull() | (100 * F.col("most") < COVERED * F.col("a"))).drop("most")
         one = one.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
         scored = one if scored is None else scored.unionByName(one)
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]

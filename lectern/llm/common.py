@@ -93,6 +93,12 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
 
 
+def met(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of `rows` with a written table, which is broadcast by its rows, never by the bytes of its files."""
+    few = small(table)
+    return rows.join(table.hint("merge") if few is table else few, on)
+
+
 def ordered(rows: DataFrame, by: list[str], before: dict[str, str] | None = None, rank: str = "rank") -> DataFrame:
     """`rows` with their rank from 0 in the order of `by`, which tells all of them apart, and sums over the rows before.
 

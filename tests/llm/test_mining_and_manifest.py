@@ -180,3 +180,17 @@ def test_very_long_texts(spark):
     turns = df.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
     assert {r["loss_chars"] for r in timed("op10", chat_format.chat_report(turns))} == {len(long), 1}
     assert max(took.values()) < 120, took
+
+
+def test_phrases_pass_the_driver_packed(spark, monkeypatch):
+    """The driver gets packed keys, no row of a key, and no join broadcasts a table by the bytes of its files."""
+    from pyspark.sql import DataFrame
+
+    keys = spark.createDataFrame([(i * 7919 % 1000 - 500,) for i in range(1000)], "key long").repartition(5)
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    assert collocations._sorted_keys(keys).tolist() == sorted(range(-500, 500)) and collocations._sorted_keys(keys.limit(0)).tolist() == []
+    rows = [(i, None, "en", 1, "a b c d " * 6) for i in range(3)]
+    monkeypatch.setattr("lectern.llm.common.MOST_BROADCAST", 0)
+    found, _ = collocations.frequent_phrases(frame(spark, rows), least=3)
+    plan = collocations._covers(found, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
