@@ -269,3 +269,12 @@ def test_signatures_choose_as_entries_do(spark):
     numbered, pairs = entries.join(lines, [*on, "sig"]).select(*align.ENTRY, "line"), best.join(lines, [*on, "sig"]).select("line", "id", "total")
     got = align.greedy_lines(numbered, pairs, ["edition", "id"], align_late.day_order(), ["edition", *on])
     assert rows(got, *align.ENTRY, "id", "total") == rows(want.withColumnRenamed("score", "total"), *align.ENTRY, "id", "total")
+
+
+def test_same_month_pairs_are_spread_over_tasks(spark):
+    """Pairs of all words are made in many tasks, though the rows that make them are few bytes."""
+    sides = [(f"i{n}", 1, n % 5, [f"w{n % 12}", f"v{n % 12}"]) for n in range(240)]
+    ids = spark.createDataFrame(sides, "id string, month int, day int, id_sig array<string>")
+    entries = ids.select(F.col("id").alias("edition"), "month", "day", F.lit(1).alias("idx"), F.col("id_sig").alias("sig"))
+    got = align.same_month_pairs(entries, ids, ids.select(F.lit("").alias("edition"), "id").where("false"), whole=True)
+    assert got.count() == 12 * 20 * 16 and got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
